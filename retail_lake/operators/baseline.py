@@ -1,11 +1,11 @@
-"""Promotion baseline per category, from daily totals."""
+"""Sales of a category with and without its promotions, from daily totals."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_lake.functions.exprs import mean
+from retail_lake.functions.exprs import mean, ratio, rnd
 from retail_lake.operators.intervals import active_days
 
 
@@ -28,28 +28,45 @@ def sales_on_promoted_days(daily: DataFrame, promotions: DataFrame) -> DataFrame
     return daily.join(days, (F.col("region") == F.col("_r")) & (F.col("day") == F.col("_d"))).drop("_r", "_d")
 
 
-def category_baseline(daily: DataFrame, promoted: DataFrame, categories: DataFrame) -> DataFrame:
-    """Transactions without a promotion of the category, and their mean, per category.
+def category_baseline(daily: DataFrame, promotions: DataFrame, categories: DataFrame) -> DataFrame:
+    """Per category: transactions and mean value without and with a promotion of it.
 
-    These are all transactions less those on the promoted days of the category: one number
-    for the whole table and one row per category, instead of transactions times stock rows.
+    Without are all transactions less those on the promoted days of the category, for the
+    listed categories: one number for the whole table and one row per category, instead of
+    transactions times stock rows. With follows the pairs (transaction, open promotion).
+    A side that has no transactions is NULL.
     """
-    taken = promoted.groupBy(F.col("product_category").alias("_c")).agg(
-        F.sum("n").alias("_n"), F.sum("n_value").alias("_n_value"), F.sum("total").alias("_total")
+    n, active = F.col("n"), F.col("active")
+    taken = (
+        sales_on_promoted_days(daily, promotions)
+        .groupBy(F.col("product_category").alias("_c"))
+        .agg(
+            F.sum("n").alias("_n"),
+            F.sum("n_value").alias("_n_value"),
+            F.sum("total").alias("_total"),
+            mean(F.sum(F.col("total") * active), F.sum(F.col("n_value") * active)).alias("avg_value_with_promo"),
+            rnd(ratio(F.sum(n * F.col("discounts")), F.sum(n * F.col("discounted"))) * 100.0).alias(
+                "avg_discount"
+            ),
+        )
     )
 
     def left_of(name: str):
         everything = daily.agg(F.coalesce(F.sum(name), F.lit(0))).scalar()
         return everything - F.coalesce(f"_{name}", F.lit(0))
 
+    listed = categories.select(F.col("product_category").alias("_listed")).distinct()
+    has_base = F.col("_listed").isNotNull() & (F.col("_left") > 0)
     return (
-        categories.select("product_category")
-        .distinct()
-        .join(taken, F.col("product_category") == F.col("_c"), "left")
+        listed.join(taken, F.col("_listed") == F.col("_c"), "full")
+        .withColumn("_left", left_of("n"))
         .select(
-            "product_category",
-            left_of("n").alias("transactions_no_promo"),
-            mean(left_of("total"), left_of("n_value")).alias("avg_value_no_promo"),
+            F.coalesce("_listed", "_c").alias("category"),
+            F.when(has_base, F.col("_left")).alias("transactions_no_promo"),
+            F.when(has_base, mean(left_of("total"), left_of("n_value"))).alias("avg_value_no_promo"),
+            F.col("_n").alias("transactions_with_promo"),
+            "avg_value_with_promo",
+            "avg_discount",
         )
-        .filter(F.col("transactions_no_promo") > 0)
+        .filter(F.coalesce("transactions_no_promo", "transactions_with_promo").isNotNull())
     )

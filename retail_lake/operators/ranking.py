@@ -34,12 +34,14 @@ def keep_latest(
     return kept.select(*[F.col(c) if c in keys else F.col("_best")[c].alias(c) for c in df.columns])
 
 
-def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_pos") -> DataFrame:
+def global_row_number(
+    df: DataFrame, order: Sequence[Column], name: str = "row_pos", total: str | None = None
+) -> DataFrame:
     """Add the 0-based position of each row in the order, which must have no ties.
 
     Rows are range-partitioned and sorted, numbered inside their partition, and shifted
     by the sizes of the partitions before. The sorted rows are frozen first: sizes and
-    rows must come from the same partitioning.
+    rows must come from the same partitioning. ``total`` names a column for the row count.
     """
     tagged = freeze(
         df.repartitionByRange(*order)
@@ -50,7 +52,11 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_p
     sizes = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     # one row per shuffle partition, so one window task and a broadcast are fine
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))
+    offsets = sizes.select(
+        "_part",
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
+        *([F.sum("_size").over(Window.partitionBy()).alias(total)] if total else []),
+    )
     local = F.col("_tag").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     return (
         tagged.withColumn("_part", part)
@@ -62,16 +68,14 @@ def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "row_p
 
 def exact_ntile(df: DataFrame, k: int, order: Sequence[Column], name: str) -> DataFrame:
     """NTILE(k) over all rows: the first ``n mod k`` buckets hold one row more."""
-    numbered = global_row_number(df, order, "_pos")
-    # a one-row frame: the row count
-    total = numbered.agg(F.count(F.lit(1)).alias("n")).scalar()
-    size = F.floor(total / F.lit(k))
-    longer = total % F.lit(k)
+    numbered = global_row_number(df, order, "_pos", "_total")
+    size = F.floor(F.col("_total") / F.lit(k))
+    longer = F.col("_total") % F.lit(k)
     split = longer * (size + 1)
     bucket = F.when(F.col("_pos") < split, F.floor(F.col("_pos") / (size + 1))).otherwise(
         longer + F.floor((F.col("_pos") - split) / F.greatest(size, F.lit(1)))
     )
-    return numbered.withColumn(name, (bucket + 1).cast("int")).drop("_pos")
+    return numbered.withColumn(name, (bucket + 1).cast("int")).drop("_pos", "_total")
 
 
 def ranks(

@@ -154,7 +154,7 @@ def _purchases(tx: DataFrame, promotions: DataFrame, campaigns: DataFrame, fanou
 
 def _scores(df: DataFrame, who: str, plan: dict[str, tuple[str, bool]]) -> DataFrame:
     """Add a 1-5 score per measure; ``plan`` is score name -> (measure, descending)."""
-    out = freeze(df)  # the aggregation over all sales runs once, not once per score
+    out = df
     for name, (measure, descending) in plan.items():
         c = F.col(measure)
         first = c.desc_nulls_last() if descending else c.asc_nulls_last()
@@ -236,11 +236,14 @@ def churn(tx: DataFrame, as_of: Day) -> DataFrame:
     )
 
 
-def client_profile(tx: DataFrame, customers: DataFrame, promotions: DataFrame, as_of: Day) -> DataFrame:
+def client_profile(
+    tx: DataFrame, customers: DataFrame, promotions: DataFrame, as_of: Day, scores: bool = True
+) -> DataFrame:
     """One row per buyer: purchases, scores, person and segments.
 
     Scores are quintiles over buyers; the promotion share is the share of transactions with
-    at least one open promotion; segments follow the fixed cuts in ``labels``.
+    at least one open promotion; segments follow the fixed cuts in ``labels``. A reader that
+    does not look at the scores saves their sorts with ``scores=False``, which leaves them NULL.
     """
     days = active_days(promotions).select(F.col("region").alias("_r"), F.col("day").alias("_d"))
     bought = (
@@ -256,15 +259,15 @@ def client_profile(tx: DataFrame, customers: DataFrame, promotions: DataFrame, a
         )
         .withColumn("jours_depuis_dernier_achat", days_between("dernier_achat", day(as_of)))
     )
-    scored = _scores(
-        bought,
-        "client",
-        {
-            "score_recence": ("jours_depuis_dernier_achat", True),
-            "score_frequence": ("nb_achats", False),
-            "score_monetaire": ("total_depense", False),
-        },
-    )
+    plan = {
+        "score_recence": ("jours_depuis_dernier_achat", True),
+        "score_frequence": ("nb_achats", False),
+        "score_monetaire": ("total_depense", False),
+    }
+    if scores:
+        scored = _scores(bought, "client", plan)
+    else:
+        scored = bought.withColumns({name: F.lit(None).cast("int") for name in plan})
     people = customers.select(
         F.col("customer_id").alias("_customer"),
         "name",
@@ -431,7 +434,7 @@ def promotion_analysis(tx: DataFrame, promotions: DataFrame) -> DataFrame:
     ROI compares the revenue per day of the promotion with the revenue per day of its region
     between the region's first and last sale, in percent above it.
     """
-    daily = daily_totals(tx)
+    daily = freeze(daily_totals(tx))
     known = daily.filter(F.col("day").isNotNull())
     usual = known.groupBy(F.col("region").alias("_r")).agg(
         ratio(F.sum("total"), days_between(F.min("day"), F.max("day")) + 1).alias("_usual")

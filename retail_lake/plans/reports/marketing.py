@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from retail_lake.functions.exprs import apply_filters, avg, dbl, money, ratio, rnd, rows
 from retail_lake.operators.intervals import active_days, daily_totals, interval_sums
 from retail_lake.operators.ranking import top_k
+from retail_lake.session import freeze
 
 
 def filtered(
@@ -39,10 +40,10 @@ def kpis(campaigns: DataFrame, **filters) -> DataFrame:
     )
 
 
-def campaign_sales(tx: DataFrame, campaigns: DataFrame) -> DataFrame:
+def campaign_sales(daily: DataFrame, campaigns: DataFrame) -> DataFrame:
     """Every campaign with its transactions and revenue; revenue is NULL without sales."""
     summed = interval_sums(
-        campaigns, daily_totals(tx), "region", "start_date", "end_date",
+        campaigns, daily, "region", "start_date", "end_date",
         {"n": "n", "n_value": "n_value", "total": "total"},
     )
     return summed.withColumn("revenue", F.when(F.col("n_value") > 0, F.col("total")))
@@ -50,7 +51,7 @@ def campaign_sales(tx: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 def all_campaign_roi(tx: DataFrame, campaigns: DataFrame, **filters) -> DataFrame:
     revenue = F.col("revenue")
-    return campaign_sales(tx, filtered(campaigns, **filters)).select(
+    return campaign_sales(daily_totals(tx), filtered(campaigns, **filters)).select(
         "campaign_id",
         "campaign_name",
         "campaign_type",
@@ -129,7 +130,8 @@ def by_region(tx: DataFrame, campaigns: DataFrame, fanout_safe: bool = False, **
     period. ``fanout_safe`` counts each campaign once.
     """
     campaigns = filtered(campaigns, **filters)
-    per_campaign = campaign_sales(tx, campaigns)
+    daily = freeze(daily_totals(tx))
+    per_campaign = campaign_sales(daily, campaigns)
     copies = F.lit(1) if fanout_safe else F.greatest(F.col("n"), F.lit(1))
     rate = F.col("conversion_rate")
     sums = per_campaign.groupBy("region").agg(
@@ -143,8 +145,7 @@ def by_region(tx: DataFrame, campaigns: DataFrame, fanout_safe: bool = False, **
     )
     open_days = active_days(campaigns, ("region",)).withColumnsRenamed({"region": "_r", "day": "_d"})
     distinct = (
-        daily_totals(tx)
-        .join(open_days, (F.col("region") == F.col("_r")) & (F.col("day") == F.col("_d")))
+        daily.join(open_days, (F.col("region") == F.col("_r")) & (F.col("day") == F.col("_d")))
         .groupBy(F.col("region").alias("_region"))
         .agg(F.sum("n").alias("_n"))
     )

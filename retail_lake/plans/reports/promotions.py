@@ -26,6 +26,7 @@ from retail_lake.functions.exprs import (
 from retail_lake.operators.baseline import category_baseline, sales_on_promoted_days
 from retail_lake.operators.intervals import active_days, daily_totals, interval_sums
 from retail_lake.operators.ranking import top_k
+from retail_lake.session import freeze
 
 
 def kpis(promotions: DataFrame, category: str | None = None, region: str | None = None) -> DataFrame:
@@ -49,13 +50,16 @@ def vs_no_promotion(tx: DataFrame, promotions: DataFrame, category: str | None =
     promotions of that category or of none; one that only other categories cover is in
     neither group.
     """
+    return _vs_no_promotion(daily_totals(tx), promotions, category)
+
+
+def _vs_no_promotion(daily: DataFrame, promotions: DataFrame, category: str | None = None) -> DataFrame:
     kept = F.lit(1)
     if category is not None:
         of_interest = (F.col("product_category") == category) | F.col("product_category").isNull()
         kept = F.when(of_interest, 1).otherwise(0)
     days = active_days(promotions, ("region",), measures={"kept": kept.cast("long")})
     days = days.withColumnsRenamed({"region": "_r", "day": "_d"})
-    daily = daily_totals(tx)
     weight = F.coalesce("kept", F.lit(1))
     status = F.when(F.col("_r").isNotNull(), labels.WITH_PROMO).otherwise(labels.WITHOUT_PROMO)
     grouped = (
@@ -84,6 +88,10 @@ def vs_no_promotion(tx: DataFrame, promotions: DataFrame, category: str | None =
 
 def by_discount(tx: DataFrame, promotions: DataFrame, category: str | None = None) -> DataFrame:
     """Sales under promotion by size of the discount."""
+    return _by_discount(daily_totals(tx), promotions, category)
+
+
+def _by_discount(daily: DataFrame, promotions: DataFrame, category: str | None = None) -> DataFrame:
     promotions = apply_filters(promotions, {"product_category": category})
     percent = F.col("discount_percentage") * 100
     ranged = promotions.withColumn("discount_range", labels.DISCOUNT_RANGE.of(percent))
@@ -97,8 +105,7 @@ def by_discount(tx: DataFrame, promotions: DataFrame, category: str | None = Non
     ).withColumnsRenamed({"region": "_r", "day": "_d"})
     n, active = F.col("n"), F.col("active")
     return (
-        daily_totals(tx)
-        .join(days, (F.col("region") == F.col("_r")) & (F.col("day") == F.col("_d")))
+        daily.join(days, (F.col("region") == F.col("_r")) & (F.col("day") == F.col("_d")))
         .groupBy("discount_range")
         .agg(
             F.sum(n * active).alias("nb_transactions"),
@@ -114,15 +121,7 @@ def by_discount(tx: DataFrame, promotions: DataFrame, category: str | None = Non
 
 def sensitivity(tx: DataFrame, promotions: DataFrame, inventory: DataFrame, k: int = 15) -> DataFrame:
     """Mean basket with a promotion of the category against the mean without, in percent."""
-    daily = daily_totals(tx)
-    promoted = sales_on_promoted_days(daily, promotions)
-    base = category_baseline(daily, promoted, inventory)
-    n, active = F.col("n"), F.col("active")
-    promo = promoted.groupBy(F.col("product_category").alias("_c")).agg(
-        F.sum("n").alias("transactions_with_promo"),
-        mean(F.sum(F.col("total") * active), F.sum(F.col("n_value") * active)).alias("avg_value_with_promo"),
-        rnd(ratio(F.sum(n * F.col("discounts")), F.sum(n * F.col("discounted"))) * 100.0).alias("avg_discount"),
-    )
+    sides = category_baseline(freeze(daily_totals(tx)), promotions, inventory)
 
     def zero(name: str):
         return F.coalesce(F.col(name), F.lit(0.0))
@@ -137,9 +136,7 @@ def sensitivity(tx: DataFrame, promotions: DataFrame, inventory: DataFrame, k: i
         .otherwise(labels.SENSITIVITY[3])
     )
     out = (
-        base.join(promo, F.col("product_category") == F.col("_c"), "full")
-        .withColumn("category", F.coalesce("product_category", "_c"))
-        .filter(F.col("category").isNotNull())
+        sides.filter(F.col("category").isNotNull())
         .withColumn("lift", lift)
         .select(
             "category",
@@ -164,7 +161,7 @@ def roi_by_category(
     contributes its discount once.
     """
     promotions = apply_filters(promotions, {"region": region})
-    daily = daily_totals(tx)
+    daily = freeze(daily_totals(tx))
     per_promo = interval_sums(
         promotions, daily, "region", "start_date", "end_date",
         {"n": "n", "n_value": "n_value", "total": "total"},
@@ -219,9 +216,10 @@ def low_lift(lifts: DataFrame, k: int = 3) -> DataFrame:
 
 def best_discount(tx: DataFrame, promotions: DataFrame) -> DataFrame:
     """The discount range whose mean basket rises most above the basket without promotion."""
-    ranges = by_discount(tx, promotions)
+    daily = freeze(daily_totals(tx))
+    ranges = _by_discount(daily, promotions)
     plain = (
-        vs_no_promotion(tx, promotions)
+        _vs_no_promotion(daily, promotions)
         .filter(F.col("promo_status") == labels.WITHOUT_PROMO)
         .agg(F.max("avg_transaction_value"))
         .scalar()

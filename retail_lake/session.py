@@ -47,5 +47,9 @@ def freeze(df: DataFrame) -> DataFrame:
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if a count proves it small; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast ``df`` if a count proves it small; otherwise leave the join to Spark.
+
+    The frame is frozen, so that counting it and joining it compute it once.
+    """
+    frozen = freeze(df)
+    return F.broadcast(frozen) if frozen.limit(max_rows + 1).count() <= max_rows else frozen
