@@ -14,7 +14,7 @@ def promoted_days(promotions: DataFrame) -> DataFrame:
     discount = F.col("discount_percentage")
     return active_days(
         promotions,
-        ("product_category", "region"),
+        groups=("product_category",),
         measures={
             "discounts": F.coalesce(discount, F.lit(0)),
             "discounted": F.when(discount.isNull(), 0).otherwise(1).cast("long"),

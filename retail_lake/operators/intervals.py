@@ -12,10 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_lake.session import broadcast_checked
-
-# Groups whose prefix arrays are broadcast: at a few hundred kilobytes each, some ten megabytes.
-PREFIX_GROUPS = 64
+from retail_lake.session import freeze
 
 
 def _usable(dim: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
@@ -94,16 +91,20 @@ def active_days(
     start: str = "start_date",
     end: str = "end_date",
     measures: Mapping[str, Column] | None = None,
+    groups: Sequence[str] = (),
 ) -> DataFrame:
     """Days on which a group has at least one open interval, with how many are open.
 
     Each interval adds its measures on its first day and takes them back the day after its
     last; a running sum over the days of change gives what is open in between. Columns:
-    ``by``, ``day``, ``active`` and one per measure.
+    ``groups``, ``by``, ``day``, ``active`` and one per measure. The ``by`` keys are those
+    facts are matched on, so intervals without one are left out; ``groups`` only split the
+    result and may be NULL.
     """
     measures = {"active": F.lit(1).cast("long"), **(measures or {})}
     names = list(measures)
-    usable = _usable(dim, by, start, end).select(
+    matched, by = by, [*groups, *by]
+    usable = _usable(dim, matched, start, end).select(
         *by, F.col(start).alias("_s"), F.col(end).alias("_e"), *[m.alias(n) for n, m in measures.items()]
     )
     opened = F.struct(F.col("_s").alias("day"), *[F.col(n) for n in names])
@@ -141,7 +142,7 @@ def interval_sums(
     ``measures`` maps daily columns to new names. A prefix sum per group, kept as one array
     over its calendar days, makes each sum a difference of two entries, whatever the length
     of the interval. Intervals without any day in the data get zeros. The prefixes hold one
-    entry per group and calendar day; they are broadcast if a count finds few groups.
+    entry per group and calendar day and are written first, so that Spark knows their size.
     """
     names = list(measures)
     per_group = Window.partitionBy(by).orderBy("day")
@@ -169,11 +170,12 @@ def interval_sums(
     low = F.greatest(F.datediff(F.col(start), F.col("_first")), F.lit(0))
     high = F.least(F.datediff(F.col(end), F.col("_first")), F.size("_sums") - 1)
     joined = (
-        dim.join(broadcast_checked(prefix, PREFIX_GROUPS), F.col(by) == F.col("_group"), "left")
+        dim.join(freeze(prefix), F.col(by) == F.col("_group"), "left")
         .withColumn("_low", low)
         .withColumn("_high", high)
     )
-    hit = F.col("_low") <= F.col("_high")
+    hit = (F.col(start) <= F.col(end)) & (F.col("_low") <= F.col("_high"))
+
     # element_at counts from 1: entry _high + 1 minus the entry before _low
     def span(name: str) -> Column:
         upto_high = F.element_at("_sums", F.when(hit, F.col("_high") + 1))[name]
@@ -200,12 +202,15 @@ def distinct_in_intervals(
     day, previous day), and intervals to their distinct (group, start, end), before they
     meet; no row per fact and interval is made.
     """
-    visits = purchases.select(by, day, who).filter(
+    days = F.array_sort(F.collect_set(day))  # of one person: bounded by the calendar
+    visits = purchases.filter(
         F.col(by).isNotNull() & F.col(day).isNotNull() & F.col(who).isNotNull()
-    ).distinct()
-    before = F.lag(day).over(Window.partitionBy(by, who).orderBy(day))
+    ).groupBy(by, who).agg(days.alias("_days"))
+    before = F.transform(
+        "_days", lambda d, i: F.struct(d.alias("_d"), F.get("_days", i - 1).alias("_prev"))
+    )
     cells = (
-        visits.select(F.col(by).alias("_g"), F.col(day).alias("_d"), before.alias("_prev"))
+        visits.select(F.col(by).alias("_g"), F.inline(before))
         .groupBy("_g", "_d", "_prev")
         .agg(F.count(F.lit(1)).alias("_n"))
     )

@@ -20,7 +20,7 @@ from retail_lake.operators.intervals import (
 )
 from retail_lake.operators.ranking import exact_ntile, ranks
 from retail_lake.plans.silver import Day, day
-from retail_lake.session import broadcast_checked, freeze
+from retail_lake.session import freeze
 
 
 def sales_enriched(
@@ -129,9 +129,12 @@ def _fanout(promotions: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 
 def _on_day(tx: DataFrame, days: DataFrame) -> DataFrame:
-    """Left join to a frame with at most one row per region (_r) and day (_d)."""
+    """Left join to a frame with at most one row per region (_r) and day (_d).
+
+    It is written first: by its true size Spark can broadcast it and leave the sales unshuffled.
+    """
     same = (F.col("region") == F.col("_r")) & (F.col("transaction_date") == F.col("_d"))
-    return tx.join(broadcast_checked(days), same, "left")
+    return tx.join(freeze(days), same, "left")
 
 
 def _purchases(tx: DataFrame, promotions: DataFrame, campaigns: DataFrame, fanout_safe: bool) -> DataFrame:

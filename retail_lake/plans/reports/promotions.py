@@ -97,7 +97,7 @@ def _by_discount(daily: DataFrame, promotions: DataFrame, category: str | None =
     ranged = promotions.withColumn("discount_range", labels.DISCOUNT_RANGE.of(percent))
     days = active_days(
         ranged,
-        ("discount_range", "region"),
+        groups=("discount_range",),
         measures={
             "discounts": F.coalesce(percent, F.lit(0)),
             "discounted": F.when(percent.isNull(), 0).otherwise(1).cast("long"),

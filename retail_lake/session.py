@@ -1,11 +1,11 @@
-"""Session settings and the reliable-checkpoint helper."""
+"""Session settings and frames written once to the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # Runtime SQL settings the plans rely on. Skewed sort-merge joins are split even
 # when that costs one more exchange: a third of all rows may share one key.
@@ -16,9 +16,6 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-# Frames whose row count is checked to be at most this are broadcast explicitly.
-BROADCAST_ROWS = 1_000_000
-
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_CONF.items():
@@ -41,15 +38,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and go on from there."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` if a count proves it small; otherwise leave the join to Spark.
+    """Write ``df`` once below the checkpoint folder and go on from the written rows.
 
-    The frame is frozen, so that counting it and joining it compute it once.
+    Readers share one evaluation, a lost executor costs no recomputation, and Spark knows
+    the true size, by which it decides whether a join broadcasts the frame.
     """
-    frozen = freeze(df)
-    return F.broadcast(frozen) if frozen.limit(max_rows + 1).count() <= max_rows else frozen
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/frames/{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

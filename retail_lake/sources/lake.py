@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from retail_lake.plans import silver
 from retail_lake.session import configure
 from retail_lake.sources.fixture_spec import AS_OF, BRONZE, RAW_TEXT_COLUMNS, SILVER
+from retail_lake.sources.schemas import TEST_TABLES
 
 
 class ParquetLake:
@@ -21,7 +22,8 @@ class ParquetLake:
         self.as_of = as_of
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        path = f"{self.folder}/{table}.parquet"
+        return self.spark.read.schema(TEST_TABLES[table]).parquet(path)
 
     def silver(self, table: str, columns: Iterable[str] | None = None) -> DataFrame:
         spec = SILVER[table]

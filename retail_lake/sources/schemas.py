@@ -128,5 +128,44 @@ SCHEMAS = {
     ),
 }
 
+_DOUBLE, _STAMP = T.DoubleType(), T.TimestampNTZType()
+
+# The generic test tables the fixtures start from.
+TEST_TABLES = {
+    "region": _schema(r_regionkey=_INT, r_name=_TEXT),
+    "nation": _schema(n_nationkey=_INT, n_name=_TEXT, n_regionkey=_INT),
+    "customer": _schema(
+        c_custkey=_LONG, c_name=_TEXT, c_nationkey=_INT, c_acctbal=_DOUBLE, c_mktsegment=_TEXT
+    ),
+    "supplier": _schema(s_suppkey=_LONG, s_name=_TEXT, s_nationkey=_INT, s_acctbal=_DOUBLE),
+    "part": _schema(
+        p_partkey=_LONG, p_name=_TEXT, p_brand=_TEXT, p_type=_TEXT, p_size=_INT, p_retailprice=_DOUBLE
+    ),
+    "orders": _schema(
+        o_orderkey=_LONG,
+        o_custkey=_LONG,
+        o_orderstatus=_TEXT,
+        o_totalprice=_DOUBLE,
+        o_orderdate=_STAMP,
+        o_orderpriority=_TEXT,
+    ),
+    "lineitem": _schema(
+        l_orderkey=_LONG,
+        l_partkey=_LONG,
+        l_suppkey=_LONG,
+        l_linenumber=_INT,
+        l_quantity=_DOUBLE,
+        l_extendedprice=_DOUBLE,
+        l_discount=_DOUBLE,
+        l_tax=_DOUBLE,
+        l_returnflag=_TEXT,
+        l_linestatus=_TEXT,
+        l_shipdate=_STAMP,
+    ),
+    "events": _schema(
+        event_id=_LONG, ts=_STAMP, user_id=_LONG, event_type=_TEXT, value=_DOUBLE, props=_TEXT
+    ),
+}
+
 # How each raw file is laid out; the rest is comma-separated.
 FORMATS = {"product_reviews": "tsv", "inventory": "json", "store_locations": "json"}
