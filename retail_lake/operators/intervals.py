@@ -12,8 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retail_lake.session import freeze
-
 
 def _usable(dim: DataFrame, by: Sequence[str], start: str, end: str) -> DataFrame:
     """Intervals that can match at all: known keys and bounds, not reversed."""
@@ -142,7 +140,8 @@ def interval_sums(
     ``measures`` maps daily columns to new names. A prefix sum per group, kept as one array
     over its calendar days, makes each sum a difference of two entries, whatever the length
     of the interval. Intervals without any day in the data get zeros. The prefixes hold one
-    entry per group and calendar day and are written first, so that Spark knows their size.
+    entry per group and calendar day. Pass frozen daily totals: by their true size Spark can
+    broadcast the prefixes instead of shuffling the intervals by group.
     """
     names = list(measures)
     per_group = Window.partitionBy(by).orderBy("day")
@@ -170,7 +169,7 @@ def interval_sums(
     low = F.greatest(F.datediff(F.col(start), F.col("_first")), F.lit(0))
     high = F.least(F.datediff(F.col(end), F.col("_first")), F.size("_sums") - 1)
     joined = (
-        dim.join(freeze(prefix), F.col(by) == F.col("_group"), "left")
+        dim.join(prefix, F.col(by) == F.col("_group"), "left")
         .withColumn("_low", low)
         .withColumn("_high", high)
     )

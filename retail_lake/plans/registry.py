@@ -343,8 +343,8 @@ def promotion_analysis(k: ParquetLake) -> DataFrame:
     return gold.promotion_analysis(k.transactions(*REGION_DAY), k.promotions())
 
 
-def campaign_performance(k: ParquetLake) -> DataFrame:
-    return gold.campaign_performance(k.transactions(*REGION_DAY, "entity"), k.campaigns(*CAMPAIGN))
+def campaign_performance(k: ParquetLake, buyers: bool = True) -> DataFrame:
+    return gold.campaign_performance(k.transactions(*REGION_DAY, "entity"), k.campaigns(*CAMPAIGN), buyers)
 
 
 def _features() -> dict[str, Query]:
@@ -362,8 +362,8 @@ def _features() -> dict[str, Query]:
     def promos(k):
         return f.promotions(promotion_analysis(k))
 
-    def campagnes(k):
-        return f.campaigns(campaign_performance(k))
+    def campagnes(k, buyers=True):
+        return f.campaigns(campaign_performance(k, buyers))
 
     return {
         "feat_clients": clients,
@@ -395,15 +395,15 @@ def _features() -> dict[str, Query]:
         "feat_promos_combos": lambda k: f.promos_combos(promos(k)),
         "feat_promos_preview": lambda k: f.preview(promos(k), "promotion_id"),
         "feat_campaigns": campagnes,
-        "feat_campaigns_count": lambda k: f.row_count(campagnes(k), "campagnes"),
-        "feat_campaigns_type": lambda k: f.campaigns_type(campagnes(k)),
+        "feat_campaigns_count": lambda k: f.row_count(campagnes(k, buyers=False), "campagnes"),
+        "feat_campaigns_type": lambda k: f.campaigns_type(campagnes(k, buyers=False)),
         "feat_campaigns_audience": lambda k: f.campaigns_audience(campagnes(k)),
-        "feat_campaigns_budget": lambda k: f.campaigns_budget(campagnes(k)),
-        "feat_campaigns_season": lambda k: f.campaigns_season(campagnes(k)),
+        "feat_campaigns_budget": lambda k: f.campaigns_budget(campagnes(k, buyers=False)),
+        "feat_campaigns_season": lambda k: f.campaigns_season(campagnes(k, buyers=False)),
         "feat_campaigns_flags": lambda k: f.campaigns_flags(campagnes(k)),
-        "feat_campaigns_combos": lambda k: f.campaigns_combos(campagnes(k)),
+        "feat_campaigns_combos": lambda k: f.campaigns_combos(campagnes(k, buyers=False)),
         "feat_campaigns_preview": lambda k: f.preview(campagnes(k), "campaign_id"),
-        "feat_summary": lambda k: f.summary(clients(k, scores=False), produits(k), promos(k), campagnes(k)),
+        "feat_summary": lambda k: f.summary(clients(k, scores=False), produits(k), promos(k), campagnes(k, buyers=False)),
     }
 
 

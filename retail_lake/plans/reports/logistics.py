@@ -158,7 +158,7 @@ def stock_vs_reviews(inventory: DataFrame, reviews: DataFrame, fanout_safe: bool
         )
     )
     # a review may be filed under several products, so ids are counted per category
-    ids = reviews.select(F.col("product_id").alias("_p"), "review_id").distinct()
+    ids = reviews.select(F.col("product_id").alias("_p"), "review_id")
     reviewed = (
         stock.select("product_id", F.col("product_category").alias("_c"))
         .join(ids, F.col("product_id") == F.col("_p"))

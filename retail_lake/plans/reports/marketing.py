@@ -51,7 +51,7 @@ def campaign_sales(daily: DataFrame, campaigns: DataFrame) -> DataFrame:
 
 def all_campaign_roi(tx: DataFrame, campaigns: DataFrame, **filters) -> DataFrame:
     revenue = F.col("revenue")
-    return campaign_sales(daily_totals(tx), filtered(campaigns, **filters)).select(
+    return campaign_sales(freeze(daily_totals(tx)), filtered(campaigns, **filters)).select(
         "campaign_id",
         "campaign_name",
         "campaign_type",
@@ -203,7 +203,7 @@ def acquisition_cost(tx: DataFrame, campaigns: DataFrame) -> DataFrame:
     A customer has one first day, so first purchases add up over days like sales do.
     """
     first = tx.groupBy("region", "entity").agg(F.min("transaction_date").alias("day"))
-    daily = first.groupBy("region", "day").agg(rows().alias("n"))
+    daily = freeze(first.groupBy("region", "day").agg(rows().alias("n")))
     out = interval_sums(campaigns, daily, "region", "start_date", "end_date", {"n": "new_customers"})
     return out.select(
         "campaign_id",

@@ -19,9 +19,12 @@ def create_or_replace_table(
 ) -> None:
     """Write ``df`` as the table ``name``, replacing what was there.
 
-    ``partition_by`` lets readers skip files; ``bucket_by`` (number, keys) saves the shuffle
-    of later joins and groupings on the keys.
+    ``partition_by`` lets readers skip files; the rows are gathered per partition first, and
+    Spark splits those that are too large, so that files have an even size. ``bucket_by``
+    (number, keys) saves the shuffle of later joins and groupings on the keys.
     """
+    if partition_by:
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
