@@ -21,13 +21,6 @@ def _usable(dim: DataFrame, by: Sequence[str], start: str, end: str) -> DataFram
     return dim.filter(known)
 
 
-def _fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark's own size estimate is within its broadcast limit."""
-    limit = int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return 0 <= size <= limit
-
-
 def interval_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -36,39 +29,36 @@ def interval_join(
     start: str,
     end: str,
     how: str = "left",
-    strategy: str = "auto",
+    strategy: str = "days",
     salts: int = 1,
     salt_on: str | None = None,
 ) -> DataFrame:
     """Join every fact to the intervals of its group that contain its day.
 
     The columns of ``dim`` must not repeat those of ``fact``, save the ``by`` keys.
-    ``broadcast`` ships the dimension; ``explode`` gives it one row per covered day and joins
-    on (keys, day), which spreads the facts of a large group over its days. ``auto``
-    broadcasts only what Spark estimates to fit. With ``salts`` > 1 the facts of one day are
-    spread further by a hash of ``salt_on``, for days that hold too much by themselves.
+    ``days`` gives an interval one row per covered day and joins on (keys, day): every pair
+    that meets is a result, and the facts of a large group are spread over its days. Spark
+    broadcasts the days if they are small and splits partitions that are too large. With
+    ``salts`` > 1 the facts of one day are spread further by a hash of ``salt_on``. ``range``
+    joins on the keys and tests the bounds of each pair; it is for few and very long intervals.
     """
     usable = _usable(dim, by, start, end)
-    if strategy == "auto":
-        strategy = "broadcast" if _fits_broadcast(usable) else "explode"
     renamed = usable.select(
         *[F.col(k).alias(f"_by_{k}") for k in by], *[c for c in dim.columns if c not in by]
     )
     match = F.lit(True)
     for key in by:
         match &= F.col(key) == F.col(f"_by_{key}")
-    if strategy == "broadcast":
+    if strategy == "range":
         match &= F.col(point).between(F.col(start), F.col(end))
-        joined = fact.join(F.broadcast(renamed), match, how)
-    else:
-        days = renamed.withColumn("_day", F.explode(F.sequence(start, end)))
-        match &= F.col(point) == F.col("_day")
-        if salts > 1:
-            fact = fact.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
-            days = days.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-            match &= F.col("_salt") == F.col("_copy")
-        joined = fact.join(days, match, how).drop("_day", "_salt", "_copy")
-    return joined.drop(*[f"_by_{k}" for k in by])
+        return fact.join(renamed, match, how).drop(*[f"_by_{k}" for k in by])
+    days = renamed.withColumn("_day", F.explode(F.sequence(start, end)))
+    match &= F.col(point) == F.col("_day")
+    if salts > 1:
+        fact = fact.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
+        days = days.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        match &= F.col("_salt") == F.col("_copy")
+    return fact.join(days, match, how).drop("_day", "_salt", "_copy", *[f"_by_{k}" for k in by])
 
 
 def daily_totals(

@@ -28,7 +28,7 @@ def sales_enriched(
     customers: DataFrame,
     promotions: DataFrame,
     campaigns: DataFrame,
-    strategy: str = "auto",
+    strategy: str = "days",
     salts: int = 1,
 ) -> DataFrame:
     """Transactions with their customer, the promotions and the campaigns of region and day.
