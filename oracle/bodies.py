@@ -134,6 +134,10 @@ def _products() -> dict[str, str]:
                    {big('sum(v.helpful_votes)')} as total_helpful_votes, {big('sum(v.total_votes)')} as total_votes
             from rev v left join inv i on v.product_id = i.product_id group by 1
             order by review_count desc, product_id limit 20""",
+        "prod_top_reviewed_once": f"""
+            select product_id, count(*) as review_count, {mean('rating')} as avg_rating,
+                   {big('sum(helpful_votes)')} as total_helpful_votes, {big('sum(total_votes)')} as total_votes
+            from rev group by 1 order by review_count desc, product_id limit 20""",
         "prod_best_rated": f"""
             select product_id, count(*) as review_count, {mean('rating')} as avg_rating from rev group by 1
             having count(*) >= 10 order by avg_rating desc nulls last, review_count desc, product_id limit 20""",
@@ -762,6 +766,9 @@ def _cleaning() -> dict[str, str]:
         "faults_employee_records": faults(
             "emp", hired_before_birth="date_of_birth >= hire_date", unknown_birth="date_of_birth is null"
         ),
+        "csv_transactions": f"select * replace ({d('amount')} as amount) from b_tx",
+        "csv_customers": f"select * replace ({d('annual_income')} as annual_income) from b_cust0",
+        "tsv_reviews": "select * from b_rev",
         "distribution_status": f"""
             select status as value, count(*) as row_count, {pct('count(*)', 'sum(count(*)) over ()')} as percentage
             from ship group by 1""",

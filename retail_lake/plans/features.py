@@ -24,7 +24,7 @@ from retail_lake.functions.exprs import (
     season,
 )
 from retail_lake.operators.ranking import top_k
-from retail_lake.operators.timeseries import rolling
+from retail_lake.operators.timeseries import calendar_frame, rolling
 
 
 def _exact_mean(name: str, digits: int = 2):
@@ -85,14 +85,16 @@ def clients(profile: DataFrame) -> DataFrame:
     )
 
 
-def sales(daily: DataFrame) -> DataFrame:
+def sales(daily: DataFrame, calendar_days: bool = False) -> DataFrame:
     """Features per day, region and promotion category over ``gold.daily_sales``.
 
     The rolling mean takes the last seven rows of a region and category, the current one
-    included; a series is as long as the calendar.
+    included, or with ``calendar_days`` the last seven days; a series is as long as the
+    calendar.
     """
     day, n = F.col("transaction_date"), F.col("nb_ventes_jour")
-    week = rolling("transaction_date", 7, ("region", "categorie_promo"))
+    frame = calendar_frame if calendar_days else rolling
+    week = frame("transaction_date", 7, ("region", "categorie_promo"))
     trend = mean(F.sum("ca_jour").over(week), F.count("ca_jour").over(week), None)
     out = daily.withColumn("ca_moyenne_7j", trend).withColumn("ca_jour", dbl(F.col("ca_jour")))
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retail_lake.functions.exprs import dbl
 from retail_lake.plans import features, gold, profiling, silver
 from retail_lake.plans.reports import (
     customers,
@@ -22,6 +24,7 @@ from retail_lake.session import checkpoint_dir
 from retail_lake.sources import readers, sinks
 from retail_lake.sources.fixture_spec import RAW_TABLES, SILVER
 from retail_lake.sources.lake import ParquetLake
+from retail_lake.sources.schemas import FORMATS, SCHEMAS
 
 Query = Callable[[ParquetLake], DataFrame]
 
@@ -120,6 +123,11 @@ def _products() -> dict[str, Query]:
         "prod_top_reviewed": lambda k: products.top_reviewed(
             k.reviews("product_id", "rating", "helpful_votes", "total_votes"), k.inventory("product_id")
         ),
+        "prod_top_reviewed_once": lambda k: products.top_reviewed(
+            k.reviews("product_id", "rating", "helpful_votes", "total_votes"),
+            k.inventory("product_id"),
+            fanout_safe=True,
+        ),
         "prod_best_rated": lambda k: products.best_rated(k.reviews("product_id", "rating")),
         "prod_category_ratings": lambda k: products.category_ratings(
             k.reviews("product_category", "rating", "product_id", "reviewer_id")
@@ -314,7 +322,7 @@ def _gold() -> dict[str, Query]:
             k.promotions(*PROMO),
             k.campaigns("campaign_id", *PERIOD),
         ),
-        "gold_daily_sales": lambda k: daily(k).withColumn("ca_jour", features.dbl(features.F.col("ca_jour"))),
+        "gold_daily_sales": lambda k: daily(k).withColumn("ca_jour", dbl(F.col("ca_jour"))),
         "gold_product_performance": product_performance,
         "gold_promotion_analysis": promotion_analysis,
         "gold_campaign_performance": campaign_performance,
@@ -407,6 +415,15 @@ def _features() -> dict[str, Query]:
     }
 
 
+def _raw_file(k: ParquetLake, table: str) -> DataFrame:
+    """The bronze rows of a table written as its raw text file and read back."""
+    path = f"{checkpoint_dir(k.spark)}/raw/{uuid4().hex}"
+    sep = "\t" if FORMATS.get(table) == "tsv" else ","
+    writer = k.bronze(table).select(*SCHEMAS[table].names).write.option("header", True).option("sep", sep)
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return readers.read_table_file(k.spark, table, path)
+
+
 def _cleaning() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for table, cleaner in silver.CLEANERS.items():
@@ -416,6 +433,13 @@ def _cleaning() -> dict[str, Query]:
     for table, rules in profiling.FAULTS.items():
         out[f"faults_{table}"] = lambda k, t=table, r=rules: profiling.violations(k.bronze(t), r())
     out |= {
+        "csv_transactions": lambda k: _raw_file(k, "financial_transactions").withColumn(
+            "amount", dbl(F.col("amount"))
+        ),
+        "csv_customers": lambda k: _raw_file(k, "customer_demographics").withColumn(
+            "annual_income", dbl(F.col("annual_income"))
+        ),
+        "tsv_reviews": lambda k: _raw_file(k, "product_reviews"),
         "distribution_status": lambda k: profiling.distribution(k.shipping("status"), "status"),
         "duplicates_transactions": lambda k: profiling.duplicates(
             k.bronze("financial_transactions"), ["transaction_id"]

@@ -18,8 +18,14 @@ def _desc(name: str):
     return F.col(name).desc_nulls_last()
 
 
-def top_reviewed(reviews: DataFrame, inventory: DataFrame, k: int = 20) -> DataFrame:
-    """Most reviewed products; each review counts once per stock row of its product."""
+def top_reviewed(
+    reviews: DataFrame, inventory: DataFrame, k: int = 20, fanout_safe: bool = False
+) -> DataFrame:
+    """Most reviewed products.
+
+    As defined, each review counts once per stock row of its product; with ``fanout_safe``
+    it counts once.
+    """
     per_product = reviews.groupBy("product_id").agg(
         rows().alias("n"),
         F.sum("rating").alias("stars"),
@@ -28,7 +34,7 @@ def top_reviewed(reviews: DataFrame, inventory: DataFrame, k: int = 20) -> DataF
         F.sum("total_votes").alias("votes"),
     )
     stock_rows = inventory.groupBy(F.col("product_id").alias("_p")).agg(rows().alias("copies"))
-    copies = F.coalesce("copies", F.lit(1))
+    copies = F.lit(1) if fanout_safe else F.coalesce("copies", F.lit(1))
     out = per_product.join(stock_rows, F.col("product_id") == F.col("_p"), "left").select(
         "product_id",
         (F.col("n") * copies).alias("review_count"),
