@@ -12,6 +12,7 @@ from oracle.preamble import (
     d,
     days,
     mean,
+    mean_of,
     month,
     pct,
     quarter,
@@ -52,7 +53,7 @@ def _sales() -> dict[str, str]:
         return (
             f"with s as (select {month('transaction_date')} as month, sum(amount) as total from tx group by 1) "
             f"select month, {d('total')} as revenue, "
-            f"{r(quot(f'sum(total) {frame}', f'count(total) {frame}'))} as moving_avg_{k}months from s"
+            f"{mean_of(f'sum(total) {frame}', f'count(total) {frame}')} as moving_avg_{k}months from s"
         )
 
     avg = f", {mean('amount')} as avg_transaction_value"

@@ -74,8 +74,16 @@ def quot(num: str, den: str) -> str:
 
 
 def mean(value: str, digits: int | None = 2) -> str:
-    out = quot(f"sum({value})", f"count({value})")
-    return out if digits is None else r(out, digits)
+    return mean_of(f"sum({value})", f"count({value})", digits)
+
+
+def mean_of(total: str, n: str, digits: int | None = 2) -> str:
+    """Sum over count in whole numbers, half up: floor of the mean in result digits plus a half."""
+    if digits is None:
+        return quot(total, n)
+    micro = f"cast(cast({total} as decimal(38,6)) * 1000000 as hugeint)"
+    unit = f"nullif(cast({n} as hugeint) * {10 ** (6 - digits)}, 0)"
+    return f"(sign({micro}) * cast((2 * abs({micro}) + {unit}) // (2 * {unit}) as double) / {10 ** digits})"
 
 
 def pct(num: str, den: str, digits: int = 2) -> str:

@@ -34,9 +34,18 @@ def ratio(num: Column, den: Column) -> Column:
 
 
 def mean(total: Column, n: Column, digits: int | None = 2) -> Column:
-    """Mean from an exact sum and a count; NULL for an empty group."""
-    value = ratio(total, n)
-    return value if digits is None else rnd(value, digits)
+    """Mean from an exact sum (whole or up to six decimals) and a count; NULL for an empty group.
+
+    Rounded half up in whole numbers, so that means of any size round right: with the sum in
+    millionths N and the count in the same unit per result digit D, it is (2N + D) div 2D.
+    """
+    if digits is None:
+        return ratio(total, n)
+    millionths = (F.abs(total).cast("decimal(30,6)") * F.lit(1_000_000)).cast("decimal(37,0)")
+    unit = F.nullif(n.cast("decimal(20,0)") * F.lit(10 ** (6 - digits)), F.lit(0))
+    twice = (millionths * 2 + unit).cast("decimal(38,0)")
+    steps = F.call_function("div", twice, (unit * 2).cast("decimal(38,0)"))
+    return F.signum(dbl(total)) * dbl(steps) / F.lit(float(10**digits))
 
 
 def avg(col: str | Column, digits: int | None = 2) -> Column:

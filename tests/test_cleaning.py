@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retail_lake.functions import labels
-from retail_lake.functions.exprs import iso_weekday, lookup, pct, ratio, rnd, season
+from retail_lake.functions.exprs import iso_weekday, lookup, mean, pct, ratio, rnd, season
 from retail_lake.plans import profiling, silver
 from tests.helpers import day, dec, rows
 
@@ -178,3 +178,12 @@ def test_distribution_violations_duplicates_percentiles(spark):
     assert bad == {"big": 2}
     assert {r["copies"]: r["key_count"] for r in profiling.duplicates(df, ["k"]).collect()} == {1: 2, 2: 1}
     assert profiling.percentiles(df, "v", (0.5,)).first()["percentiles"] == [2]
+
+
+@pytest.mark.parametrize(
+    ("total", "n", "expected"),
+    [("2791720861.35", 6, 465286810.23), ("-0.05", 10, -0.01), ("0.01", 3, 0.0), ("5", 0, None), (None, 2, None)],
+)
+def test_means_round_exactly(spark, total, n, expected):
+    df = spark.createDataFrame([(dec(total), n)], "t decimal(24,2), n long")
+    assert df.select(mean(F.col("t"), F.col("n"))).first()[0] == expected
