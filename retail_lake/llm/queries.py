@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import packing, token_output
+from retail_lake.llm import packing, positional, sql, token_output, warc
 from retail_lake.llm.common import RANKS, VOCABULARY, read_table
 from retail_lake.session import configure
 
 
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read_table(spark, sf_dir, "pages")).drop("payload", "url")
+
+
 def op2_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(read_table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, RANKS)
     return packed.select(
@@ -29,7 +33,18 @@ def op4_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_matrix(read_table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, RANKS)
 
 
-QUERIES = [op2_differencing_packing, op4_token_matrix]
+def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional.contamination(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
+QUERIES = [
+    op1_warc_capture_index,
+    op2_differencing_packing,
+    op4_token_matrix,
+    op10_positional_decontamination,
+]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -40,4 +55,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ALL)
