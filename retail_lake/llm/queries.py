@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import packing, positional, sql, token_output, warc
+from retail_lake.llm import packing, positional, sql, token_groups, token_output, warc
 from retail_lake.llm.common import RANKS, VOCABULARY, read_table
 from retail_lake.session import configure
 
@@ -33,6 +33,11 @@ def op4_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_matrix(read_table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, RANKS)
 
 
+def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return token_groups.near_groups(docs, "doc_id", "text", k=3, t=90).drop("text_key")
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -43,6 +48,7 @@ QUERIES = [
     op1_warc_capture_index,
     op2_differencing_packing,
     op4_token_matrix,
+    op8_token_group_join,
     op10_positional_decontamination,
 ]
 

@@ -45,7 +45,31 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+GROUPS = f"""
+WITH RECURSIVE d AS (
+    SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS shingle
+    FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), met AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+    FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), link AS (
+    SELECT a, b FROM met JOIN n p ON a = p.doc_id JOIN n q ON b = q.doc_id
+    WHERE 100 * shared >= 90 * (p.n + q.n - shared)
+), reach AS (
+    SELECT doc_id AS a, doc_id AS b FROM d
+    UNION
+    SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)
+"""
+
 ALL = {
+    "op8_token_group_join": GROUPS,
     "op1_warc_capture_index": WARC,
     "op10_positional_decontamination": CONTAMINATION,
 }
