@@ -68,7 +68,35 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
 FROM (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) LEFT JOIN n USING (doc_id)
 """
 
+REPEATS = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s
+    FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 49)) AS i FROM d WHERE strlen(h) >= 100)
+), f AS (
+    SELECT s, min(doc_id) AS first FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1
+), c AS (
+    SELECT w.doc_id, i, lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) AS before FROM w JOIN f USING (s) WHERE w.doc_id > first
+), r AS (
+    SELECT doc_id, i, sum(CASE WHEN before >= i - 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM c
+), span AS (
+    SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, run
+), piece AS (
+    SELECT d.doc_id, h, coalesce(list(a ORDER BY a) FILTER (a IS NOT NULL), []) AS a, coalesce(list(b ORDER BY a) FILTER (a IS NOT NULL), []) AS b
+    FROM d LEFT JOIN span USING (doc_id) GROUP BY d.doc_id, h
+), kept AS (
+    SELECT doc_id, strlen(h) // 2 AS n, len(a) AS spans,
+           array_to_string([substr(h, 2 * x[1] + 1, 2 * (x[2] - x[1])) FOR x IN list_zip([0] || b, a || [strlen(h) // 2])], '') AS k
+    FROM piece
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - strlen(k) // 2 AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans,
+       sha256(unhex(k)) AS kept_sha256
+FROM kept
+"""
+
 ALL = {
+    "op7_suffix_dedup": REPEATS,
     "op8_token_group_join": GROUPS,
     "op1_warc_capture_index": WARC,
     "op10_positional_decontamination": CONTAMINATION,
