@@ -1,11 +1,14 @@
 """Jaccard self-join of word shingles with a token-group matrix.
 
-Equal sets are one class. Similar classes form groups: a class follows the smallest class that
-shares one of its leading tokens. The matrix holds, per token, the groups whose members have it
+Equal sets are one class. Similar classes form groups: a class follows the smallest class of
+most of its leading tokens. The matrix holds, per token, the groups whose members have it
 among their leading tokens; counting a class's tokens against it bounds its overlap with every
 group at once, and only groups over the bound are opened. Opened groups are compared block by
 block, first against the union of the block's tokens, then against its members.
 
+Tokens of many classes are hot and left out wherever the others suffice, so chance meetings grow
+with the rows, not with their square.
+
 Exactness. Tokens are 64-bit hashes in one order: frequent tokens last, else by hash. With
 alpha = ceil(t * n), two sets of similarity t or more share at least l of their first
 n - alpha + l tokens (l at most alpha). The order only decides how much work is done.
@@ -26,7 +29,9 @@ from retail_lake.llm.words import SPACED, Words, find, mix, slices
 from retail_lake.session import freeze
 
 #: Leading tokens that two similar sets must share.
-SHARED = 6
+SHARED = 8
+#: Classes that share a token from which on it is hot.
+HOT = 64
 #: A token counts as frequent from this share of all texts on; at most so many are kept (2 MB).
 FREQUENT, FREQUENT_KEPT = 1e-3, 1 << 18
 #: Shingles counted together by a task.
@@ -197,6 +202,52 @@ def _open(queries: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
     return asked.cogroup(members.groupBy("grp", "block")).applyInArrow(run, "a long, b long")
 
 
+def _groups(shared: DataFrame) -> DataFrame:
+    """Per class: its group, how many of its leading tokens are hot, and whether hot ones count.
+
+    The group is the class that leads most of its tokens; with too few for similarity, itself.
+    """
+    votes = shared.groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("cls").agg(F.max(F.struct("votes", -F.col("lead"))).alias("best"))
+    own = shared.groupBy("cls", "n", "need").agg(F.count_if("hot").alias("hots"))
+    led = F.when(F.col("best.votes") >= F.col("need"), -F.col("best.col2")).otherwise(F.col("cls"))
+    whole = (F.col("hots") >= F.col("need")) | (F.col("n") <= 2 * SHARED)
+    return own.join(best, "cls").select("cls", "n", "need", "hots", whole.alias("whole"), led.alias("grp"))
+
+
+def _over_the_bound(grouped: DataFrame) -> DataFrame:
+    """(cls, grp): the other groups whose tokens could hold enough of a class's.
+
+    Similar sets share SHARED leading tokens. If fewer of a class's are hot, one that is not hot
+    is among them: such a class asks by its other tokens, of which it must share SHARED less its
+    hot ones. All others (and tiny sets) ask among themselves by all tokens.
+    """
+    some = grouped.filter("not hot")
+    matrix = some.select("token", "grp").distinct().withColumnRenamed("grp", "other")
+    plain = (
+        some.filter("not whole")
+        .join(matrix, "token")
+        .filter("grp <> other")
+        .groupBy("cls", "need", "hots", "other")
+        .agg(F.count(F.lit(1)).alias("bound"))
+        .filter("bound >= need - hots")
+        .select("cls", "other")
+    )
+    all_ = grouped.filter("whole")
+    needs = all_.groupBy("grp").agg(F.min("need").alias("least")).withColumnRenamed("grp", "other")
+    matrix = all_.select("token", "grp").distinct().withColumnRenamed("grp", "other")
+    whole = (
+        all_.join(matrix, "token")
+        .filter("other < grp")  # both sides would ask
+        .groupBy("cls", "need", "other")
+        .agg(F.count(F.lit(1)).alias("bound"))
+        .join(needs, "other")
+        .filter(F.col("bound") >= F.least("need", "least"))
+        .select("cls", "other")
+    )
+    return plain.unionByName(whole).withColumnRenamed("other", "grp")
+
+
 def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their class, and the links between classes that join its components.
 
@@ -214,32 +265,18 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
         .select("row", "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     )
     heads = sets.join(rows.filter("row = cls").select("row"), "row", "left_semi").select(
-        F.col("row").alias("cls"), "need", F.explode("head").alias("token")
+        F.col("row").alias("cls"), "n", "need", F.explode("head").alias("token")
     )
     lead = heads.groupBy("token").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = freeze(heads.join(lead.select("token", "lead"), "token"))  # tokens of one class alone are gone
-    group = shared.groupBy("cls", "need").agg(F.min("lead").alias("grp"))
-    group = freeze(group)
-    matrix = (
-        shared.select("cls", "token")
-        .join(group.select("cls", "grp"), "cls")
-        .select("token", "grp")
-        .distinct()
-    )
-    least = group.groupBy("grp").agg(F.min("need").alias("least"))
-    counts = (
-        shared.select("cls", "need", "token")
-        .join(matrix, "token")
-        .groupBy("cls", "need", "grp")
-        .agg(F.count(F.lit(1)).alias("bound"))
-        .filter((F.col("bound") >= F.col("need")) | (F.col("bound") < SHARED))
-        .join(least, "grp")
-        .filter(F.col("bound") >= F.least("need", "least"))
-        .join(group.select("cls", F.col("grp").alias("own")), "cls")
+    shared = heads.join(lead, "token")  # tokens of one class alone are gone
+    shared = freeze(shared.select("cls", "n", "need", "token", "lead", (F.col("df") > HOT).alias("hot")))
+    facts = freeze(_groups(shared))
+    grouped = freeze(
+        shared.select("cls", "token", "hot").join(facts.select("cls", "need", "hots", "whole", "grp"), "cls")
     )
-    over = freeze(counts.select("cls", "grp", "own"))
-    foreign = over.filter("grp < own").select("cls", "grp")  # of two groups one side asks
-    inside = group.filter("cls <> grp").select("cls", "grp")
+    foreign = freeze(_over_the_bound(grouped))
+    group = facts.select("cls", "grp")
+    inside = group.filter("cls <> grp")
 
     # texts of the classes that meet any other
     needed = inside.select("cls").union(inside.select("grp")).union(foreign.select("cls")).union(
