@@ -28,6 +28,8 @@ LENGTH = 50
 GRAM = 24
 #: Bytes of text per bucket of anchors, and anchors a task packs together.
 BUCKET_BYTES, PACKED = 16 << 20, 1_000_000
+#: Bytes of text a task looks at together; working memory is about a hundred times that.
+SLICE = 1_000_000
 NO_ID = (1 << 63) - 1  # stands for a null id, after all others
 
 
@@ -194,7 +196,7 @@ def _anchor_lists(texts: DataFrame, length: int, bits: int) -> DataFrame:
 
         for batch in batches:
             done = 0
-            for values in slices(batch.column(1)):
+            for values in slices(batch.column(1), SLICE):
                 keys = batch.column(0).slice(done, len(values)).to_numpy(zero_copy_only=False)
                 done += len(values)
                 _, _, hashes, owner, _, _ = anchors(values, length)
@@ -246,7 +248,7 @@ def _stretches(rows: DataFrame, length: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for values in slices(batch.column(2), 8_000_000):
+            for values in slices(batch.column(2), SLICE):
                 part = batch.slice(done, len(values))
                 done += len(values)
                 data, begins, hashes, owner, first, last = anchors(values, length)
@@ -366,9 +368,9 @@ def _cut_out(rows: DataFrame, with_text: bool) -> DataFrame:
     """The result per document; the remaining bytes are text of which whole bytes are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out: list[list] = [[] for _ in range(6)]
-            for doc, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for doc, text, starts, ends in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 raw = (text or "").encode()
                 flat = [np.array([x for part in side or [] for x in part], dtype=np.int64) for side in (starts, ends)]
                 low, high = unite(*flat)
