@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import packing, positional, sql, suffix_dedup, token_groups, token_output, warc
+from retail_lake.llm import packing, positional, quality, sql, suffix_dedup, token_groups, token_output, warc
 from retail_lake.llm.common import RANKS, VOCABULARY, read_table
 from retail_lake.session import configure
 
@@ -33,6 +33,10 @@ def op4_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_matrix(read_table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, RANKS)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -52,6 +56,7 @@ QUERIES = [
     op1_warc_capture_index,
     op2_differencing_packing,
     op4_token_matrix,
+    op5_quality_classifier,
     op7_suffix_dedup,
     op8_token_group_join,
     op10_positional_decontamination,
