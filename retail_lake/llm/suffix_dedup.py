@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_lake.llm.words import mix, slices
+from retail_lake.llm.words import hash_spans, mix, slices
 from retail_lake.session import freeze
 
 LENGTH = 50
 GRAM = 24
 #: Bytes of text per bucket of anchors, and anchors a task packs together.
-BUCKET_BYTES, PACKED = 16 << 20, 1_000_000
+BUCKET_BYTES, PACKED = 3 << 20, 500_000
 #: Bytes of text a task looks at together; working memory is about a hundred times that.
 SLICE = 1_000_000
 NO_ID = (1 << 63) - 1  # stands for a null id, after all others
@@ -295,9 +295,9 @@ def covered(stretches: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray,
     rids, docs, hashes, places, sizes, data = stretches
     total = np.concatenate([[0], np.cumsum(sizes)])
     # equal stretches of one anchor are one text of the suffix array
-    names = np.add.reduceat(
-        (data.astype(np.uint64) + np.uint64(1)) * mix(np.arange(1, len(data) + 1, dtype=np.uint64) - np.repeat(total[:-1], sizes).astype(np.uint64)),
-        total[:-1],
+    cuts = [*range(0, len(sizes), 10_000), len(sizes)]
+    names = np.concatenate(
+        [hash_spans(data[total[a] : total[b]], total[a:b] - total[a], sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
     )
     names = mix(names + mix(sizes.astype(np.uint64)) + hashes)
     _, example, kind = np.unique(names, return_index=True, return_inverse=True)
