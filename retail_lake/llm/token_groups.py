@@ -31,7 +31,7 @@ from retail_lake.session import freeze
 #: Leading tokens that two similar sets must share.
 SHARED = 8
 #: Classes that share a token from which on it is hot.
-HOT = 64
+HOT = 24
 #: A token counts as frequent from this share of all texts on; at most so many are kept (2 MB).
 FREQUENT, FREQUENT_KEPT = 1e-3, 1 << 18
 #: Shingles counted together by a task.
@@ -202,20 +202,20 @@ def _open(queries: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
     return asked.cogroup(members.groupBy("grp", "block")).applyInArrow(run, "a long, b long")
 
 
-def _groups(shared: DataFrame) -> DataFrame:
+def _groups(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per class: its group, how many of its leading tokens are hot, and whether hot ones count.
 
     The group is the class that leads most of its tokens; with too few for similarity, itself.
     """
     votes = shared.groupBy("cls", "lead").agg(F.count(F.lit(1)).alias("votes"))
     best = votes.groupBy("cls").agg(F.max(F.struct("votes", -F.col("lead"))).alias("best"))
-    own = shared.groupBy("cls", "n", "need").agg(F.count_if("hot").alias("hots"))
+    own = shared.groupBy("cls").agg(F.count_if("hot").alias("hots")).join(sizes, "cls")
     led = F.when(F.col("best.votes") >= F.col("need"), -F.col("best.col2")).otherwise(F.col("cls"))
     whole = (F.col("hots") >= F.col("need")) | (F.col("n") <= 2 * SHARED)
     return own.join(best, "cls").select("cls", "n", "need", "hots", whole.alias("whole"), led.alias("grp"))
 
 
-def _over_the_bound(grouped: DataFrame) -> DataFrame:
+def _over_the_bound(grouped: DataFrame, facts: DataFrame) -> DataFrame:
     """(cls, grp): the other groups whose tokens could hold enough of a class's.
 
     Similar sets share SHARED leading tokens. If fewer of a class's are hot, one that is not hot
@@ -228,19 +228,21 @@ def _over_the_bound(grouped: DataFrame) -> DataFrame:
         some.filter("not whole")
         .join(matrix, "token")
         .filter("grp <> other")
-        .groupBy("cls", "need", "hots", "other")
+        .groupBy("cls", "other")
         .agg(F.count(F.lit(1)).alias("bound"))
+        .join(facts.select("cls", "need", "hots"), "cls")
         .filter("bound >= need - hots")
         .select("cls", "other")
     )
     all_ = grouped.filter("whole")
-    needs = all_.groupBy("grp").agg(F.min("need").alias("least")).withColumnRenamed("grp", "other")
+    needs = facts.filter("whole").groupBy("grp").agg(F.min("need").alias("least")).withColumnRenamed("grp", "other")
     matrix = all_.select("token", "grp").distinct().withColumnRenamed("grp", "other")
     whole = (
         all_.join(matrix, "token")
         .filter("other < grp")  # both sides would ask
-        .groupBy("cls", "need", "other")
+        .groupBy("cls", "other")
         .agg(F.count(F.lit(1)).alias("bound"))
+        .join(facts.select("cls", "need"), "cls")
         .join(needs, "other")
         .filter(F.col("bound") >= F.least("need", "least"))
         .select("cls", "other")
@@ -248,6 +250,22 @@ def _over_the_bound(grouped: DataFrame) -> DataFrame:
     return plain.unionByName(whole).withColumnRenamed("other", "grp")
 
 
+def _likely(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """The rows whose key may be wanted, by a bitmap of fixed size (2 MB), to shuffle fewer texts."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int")
+    block, word, bit = F.shiftright(place, 12), F.shiftright(place, 6).bitwiseAND(63), place.bitwiseAND(63)
+    marks = wanted.select(
+        block.alias("_block"), word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")
+    )
+    words = marks.groupBy("_block", "_word").agg(F.bit_or("_bit").alias("_bits"))
+    map_ = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))
+    blocks = words.groupBy("_block").agg(map_.alias("_map"))  # at most 4,096 rows of 64 numbers
+    held = rows.withColumns({"_b": block, "_w": word, "_p": bit})
+    met = held.join(F.broadcast(blocks), F.col("_b") == F.col("_block"))
+    hit = F.getbit(F.coalesce(F.element_at("_map", F.col("_w")), F.lit(0).cast("long")), F.col("_p")) == 1
+    return met.filter(hit).select(*rows.columns)
+
+
 def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their class, and the links between classes that join its components.
 
@@ -264,17 +282,20 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
         .join(first, ["key_a", "key_b"], "left")
         .select("row", "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
     )
-    heads = sets.join(rows.filter("row = cls").select("row"), "row", "left_semi").select(
-        F.col("row").alias("cls"), "n", "need", F.explode("head").alias("token")
+    # one shuffle by token serves the counts and the join with them
+    heads = (
+        sets.join(rows.filter("row = cls").select("row"), "row", "left_semi")
+        .select(F.col("row").alias("cls"), F.explode("head").alias("token"))
+        .repartition("token")
     )
     lead = heads.groupBy("token").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = heads.join(lead, "token")  # tokens of one class alone are gone
-    shared = freeze(shared.select("cls", "n", "need", "token", "lead", (F.col("df") > HOT).alias("hot")))
-    facts = freeze(_groups(shared))
+    shared = freeze(shared.select("cls", "token", "lead", (F.col("df") > HOT).alias("hot")))
+    facts = freeze(_groups(shared, sets.select(F.col("row").alias("cls"), "n", "need")))
     grouped = freeze(
-        shared.select("cls", "token", "hot").join(facts.select("cls", "need", "hots", "whole", "grp"), "cls")
+        shared.select("cls", "token", "hot").join(facts.select("cls", "whole", "grp"), "cls")
     )
-    foreign = freeze(_over_the_bound(grouped))
+    foreign = freeze(_over_the_bound(grouped, facts))
     group = facts.select("cls", "grp")
     inside = group.filter("cls <> grp")
 
@@ -282,9 +303,9 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     needed = inside.select("cls").union(inside.select("grp")).union(foreign.select("cls")).union(
         foreign.join(group.select("grp", F.col("cls").alias("member")), "grp").select("member")
     ).distinct()
-    names = rows.filter("row = cls").join(needed, "cls", "left_semi").select("cls", "text_key")
+    names = freeze(rows.filter("row = cls").join(needed, "cls", "left_semi").select("cls", "text_key"))
     text_of = freeze(
-        texts.select("text_key", "text").join(names, "text_key").groupBy("cls").agg(F.first("text").alias("text"))
+        _likely(texts.select("text_key", "text"), names, "text_key").join(names, "text_key").groupBy("cls").agg(F.first("text").alias("text"))
     )
     leader_text = text_of.select(F.col("cls").alias("grp"), F.col("text").alias("leader_text"))
     pairs = inside.join(text_of, "cls").join(leader_text, "grp").select("cls", "grp", "text", "leader_text")
