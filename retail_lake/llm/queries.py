@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import packing, positional, quality, sql, suffix_dedup, token_groups, token_output, warc
+from retail_lake.llm import packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
 from retail_lake.llm.common import RANKS, VOCABULARY, read_table
 from retail_lake.session import configure
 
@@ -37,6 +37,26 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_secret_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])))
+
+    return found.select(
+        "doc_id",
+        number("assign"),
+        number("access"),
+        number("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+    )
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -57,6 +77,7 @@ QUERIES = [
     op2_differencing_packing,
     op4_token_matrix,
     op5_quality_classifier,
+    op6_secret_field,
     op7_suffix_dedup,
     op8_token_group_join,
     op10_positional_decontamination,
