@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
+from retail_lake.llm import cross_polytope, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
 from retail_lake.llm.common import RANKS, VOCABULARY, read_table
 from retail_lake.session import configure
 
@@ -29,6 +29,10 @@ def op2_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op4_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.pack_matrix(read_table(spark, sf_dir, "documents"), "doc_id", "text", VOCABULARY, RANKS)
 
@@ -75,6 +79,7 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 QUERIES = [
     op1_warc_capture_index,
     op2_differencing_packing,
+    op3_cross_polytope,
     op4_token_matrix,
     op5_quality_classifier,
     op6_secret_field,

@@ -95,7 +95,31 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - strlen(k) // 2 AS BIGINT)
 FROM kept
 """
 
+VECTORS = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+), ok AS (
+    SELECT * FROM v
+    WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+      AND len(list_filter(x, lambda e: e <> 0)) > 0
+), link AS (
+    SELECT p.vec_id AS a, q.vec_id AS b FROM ok p JOIN ok q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.x) = len(q.x)
+    WHERE list_dot_product(p.x, q.x) / sqrt(list_dot_product(p.x, p.x)) / sqrt(list_dot_product(q.x, q.x)) >= 0.98
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM v
+    UNION
+    SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), n AS (
+    SELECT a, count(*) AS n_links FROM link GROUP BY 1
+), c AS (
+    SELECT a, min(b) AS component_id FROM reach GROUP BY 1
+)
+SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = component_id AS kept
+FROM c LEFT JOIN n ON n.a = c.a
+"""
+
 ALL = {
+    "op3_cross_polytope": VECTORS,
     "op7_suffix_dedup": REPEATS,
     "op8_token_group_join": GROUPS,
     "op1_warc_capture_index": WARC,
