@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import cross_polytope, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
+from retail_lake.llm import cross_polytope, licences, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
 from retail_lake.llm.common import RANKS, VOCABULARY, read_table
 from retail_lake.session import configure
 
@@ -70,6 +70,18 @@ def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_groups.near_groups(docs, "doc_id", "text", k=3, t=90).drop("text_key")
 
 
+def op9_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below source/lang/; a short text that states a licence is a licence file."""
+    docs = read_table(spark, sf_dir, "documents")
+    states = (F.char_length("text") < 1_000) & F.col("text").rlike(licences.SPEAKS)
+    name = F.when(states, F.lit("LICENSE")).otherwise(
+        F.concat(F.col("doc_id"), F.lit(".txt"))
+    )
+    folder = F.concat(F.lit("part"), F.floor(F.col("doc_id") / 1_000))
+    files = docs.select("doc_id", F.concat_ws("/", "source", "lang", folder, name).alias("path"), "text")
+    return licences.licences(files, "path", "text", "doc_id")
+
+
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
@@ -85,6 +97,7 @@ QUERIES = [
     op6_secret_field,
     op7_suffix_dedup,
     op8_token_group_join,
+    op9_licence_tfidf,
     op10_positional_decontamination,
 ]
 
