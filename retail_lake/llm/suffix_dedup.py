@@ -63,8 +63,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
     direct = np.flatnonzero(small)
     if len(direct):
-        keys = _words(data, -(-depth // 8) * 8)
-        direct = _sorted_by(direct, [k[direct] for k in keys])
+        direct = _sorted_by(direct, _words(data, -(-depth // 8) * 8))
     firsts = data[direct]
     bounds = np.searchsorted(firsts, np.arange(257))
 
@@ -98,19 +97,21 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _sorted_by(items: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
-    """Items by their keys, the first key first; only ties look at the next key."""
-    order = np.argsort(keys[0], kind="stable")
-    group = np.cumsum(np.append(0, np.diff(keys[0][order]) != 0))
+    """Items by what the keys hold for them, the first key first; only ties look at the next key."""
+    value = keys[0][items]
+    order = np.argsort(value, kind="stable")
+    group = np.cumsum(np.append(0, np.diff(value[order]) != 0))
     for key in keys[1:]:
         size = np.bincount(group)
         tied = np.flatnonzero(size[group] > 1)
         if not len(tied):
             break
         rows = order[tied]
-        inner = np.lexsort((key[rows], group[tied]))
+        value = key[items[rows]]
+        inner = np.lexsort((value, group[tied]))
         order[tied] = rows[inner]
         values = np.zeros(len(order), dtype=np.uint64)
-        values[tied] = key[rows[inner]]
+        values[tied] = value[inner]
         group = np.cumsum(np.append(0, (np.diff(group) != 0) | (np.diff(values) != 0)))
     return items[order]
 
@@ -310,25 +311,34 @@ def covered(stretches: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray,
     begin = np.concatenate([[0], np.cumsum(kind_windows)])
     least = np.repeat(first_doc, kind_windows)  # per stretch and window: the smallest document
     chosen = np.flatnonzero(several)
-    if len(chosen):
-        n = sizes[example[chosen]]
+    chosen = chosen[np.argsort(anchor[chosen], kind="stable")]
+    # a suffix array for as many anchors as make about SLICE bytes
+    new = np.append(True, np.diff(anchor[chosen]) != 0) if len(chosen) else np.zeros(0, bool)
+    part = np.maximum.accumulate(np.where(new, np.cumsum(sizes[example[chosen]]) // SLICE, 0))
+    for own in np.split(chosen, np.flatnonzero(np.diff(part)) + 1):
+        if not len(own):
+            continue
+        n = sizes[example[own]]
         upto = np.concatenate([[0], np.cumsum(n)])
-        text = data[np.arange(upto[-1]) + np.repeat(total[example[chosen]] - upto[:-1], n)]
-        w = kind_windows[chosen]
+        text = data[np.arange(upto[-1]) + np.repeat(total[example[own]] - upto[:-1], n)]
+        w = kind_windows[own]
         inner = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
         number = equal_windows(text, np.repeat(upto[:-1], w) + inner, length)
-        smallest = _group_first(number, np.repeat(first_doc[chosen], w), number.max() + 1)
-        least[np.repeat(begin[chosen], w) + inner] = smallest[number]
-    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    gone = np.repeat(docs, windows) > least[np.repeat(begin[kind], windows) + inner]
-    owner = np.repeat(np.arange(len(windows)), windows)[gone]
-    inner = inner[gone]
-    if not len(owner):
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
-    new = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(inner) != 1)))
-    last = np.append(new[1:], len(owner)) - 1
-    owner_of = owner[new]
-    return rids[owner_of], docs[owner_of], places[owner_of] + inner[new], places[owner_of] + inner[last] + length
+        smallest = _group_first(number, np.repeat(first_doc[own], w), number.max() + 1)
+        least[np.repeat(begin[own], w) + inner] = smallest[number]
+    out = []
+    for at in range(0, len(windows), 20_000):
+        w = windows[at : at + 20_000]
+        inner = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        gone = np.repeat(docs[at : at + len(w)], w) > least[np.repeat(begin[kind[at : at + len(w)]], w) + inner]
+        owner, inner = np.repeat(np.arange(at, at + len(w)), w)[gone], inner[gone]
+        if len(owner):
+            new = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(inner) != 1)))
+            last = np.append(new[1:], len(owner)) - 1
+            of = owner[new]
+            out.append((rids[of], docs[of], places[of] + inner[new], places[of] + inner[last] + length))
+    none = np.zeros(0, dtype=np.int64)
+    return tuple(np.concatenate(x) for x in zip((none,) * 4, *out, strict=True))
 
 
 def _spans(stretches: DataFrame, length: int) -> DataFrame:
