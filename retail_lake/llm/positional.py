@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retail_lake.llm.common import without
 from retail_lake.llm.words import ALNUM, find, slices
 from retail_lake.session import freeze
 
@@ -117,16 +118,18 @@ def build_index(docs: DataFrame, key: str, text: str, wanted: DataFrame, bits: i
                 columns = [
                     pa.array(np.arange(serial, serial + len(values))),
                     batch.column(0).slice(done, len(values)),
+                    batch.column(2).slice(done, len(values)),
                     pa.array(np.diff(found.first), pa.int64()),
                     pa.ListArray.from_arrays(offsets, terms),
                     pa.ListArray.from_arrays(offsets, places),
                 ]
                 serial += len(values)
                 done += len(values)
-                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_words", "terms", "places"])
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "text_key", "n_words", "terms", "places"])
 
-    chosen = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
-    schema = "row long, doc_id long, n_words long, terms array<string>, places array<int>"
+    value = F.col(text).cast("string")
+    chosen = docs.select(F.col(key).cast("long"), value, F.md5(F.coalesce(value, F.lit(""))))
+    schema = "row long, doc_id long, text_key string, n_words long, terms array<string>, places array<int>"
     return chosen.mapInArrow(run, schema)
 
 
@@ -198,7 +201,7 @@ def contamination(
     item_text: str = "text",
     window: int = WINDOW,
 ) -> DataFrame:
-    """One row per document row: n_words, n_hit, n_items, items_sha256, contaminated.
+    """One row per document row: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if an occurrence of a phrase of any item covers it. Null and empty texts have
     no words; items without words have no phrase; null ids stay null, and a phrase of an item
@@ -229,11 +232,12 @@ def contamination(
     )
     none = F.array().cast("array<string>")
     return (
-        index.select("row", "doc_id", "n_words")
+        index.select("row", "doc_id", "text_key", "n_words")
         .join(hit, "row", "left")
         .join(named, "row", "left")
         .select(
             "doc_id",
+            "text_key",
             "n_words",
             F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
             F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
@@ -241,3 +245,9 @@ def contamination(
             (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
         )
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the rows in which a phrase of an item occurs."""
+    found = contamination(docs, items, key, text)
+    return without(docs, freeze(found.filter("contaminated").select("doc_id", "text_key").distinct()), key, text)

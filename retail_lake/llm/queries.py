@@ -67,7 +67,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return token_groups.near_groups(docs, "doc_id", "text", k=3, t=90).drop("text_key")
+    return token_groups.near_groups(docs, "doc_id", "text", k=3, t=90).drop("text_key", "group_id")
 
 
 def op9_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +83,10 @@ def op9_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positional.contamination(
+    found = positional.contamination(
         read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
     )
+    return found.drop("text_key")
 
 
 QUERIES = [

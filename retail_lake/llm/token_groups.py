@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retail_lake.llm.common import likely, without
 from retail_lake.llm.components import components
 from retail_lake.llm.words import SPACED, Words, find, mix, slices
 from retail_lake.session import freeze
@@ -250,22 +251,6 @@ def _over_the_bound(grouped: DataFrame, facts: DataFrame) -> DataFrame:
     return plain.unionByName(whole).withColumnRenamed("other", "grp")
 
 
-def _likely(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 24) -> DataFrame:
-    """The rows whose key may be wanted, by a bitmap of fixed size (2 MB), to shuffle fewer texts."""
-    place = F.pmod(F.xxhash64(key), F.lit(1 << bits)).cast("int")
-    block, word, bit = F.shiftright(place, 12), F.shiftright(place, 6).bitwiseAND(63), place.bitwiseAND(63)
-    marks = wanted.select(
-        block.alias("_block"), word.alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bit")
-    )
-    words = marks.groupBy("_block", "_word").agg(F.bit_or("_bit").alias("_bits"))
-    map_ = F.map_from_entries(F.collect_list(F.struct("_word", "_bits")))
-    blocks = words.groupBy("_block").agg(map_.alias("_map"))  # at most 4,096 rows of 64 numbers
-    held = rows.withColumns({"_b": block, "_w": word, "_p": bit})
-    met = held.join(F.broadcast(blocks), F.col("_b") == F.col("_block"))
-    hit = F.getbit(F.coalesce(F.element_at("_map", F.col("_w")), F.lit(0).cast("long")), F.col("_p")) == 1
-    return met.filter(hit).select(*rows.columns)
-
-
 def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tuple[DataFrame, DataFrame]:
     """The rows with their class, and the links between classes that join its components.
 
@@ -305,7 +290,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     ).distinct()
     names = freeze(rows.filter("row = cls").join(needed, "cls", "left_semi").select("cls", "text_key"))
     text_of = freeze(
-        _likely(texts.select("text_key", "text"), names, "text_key").join(names, "text_key").groupBy("cls").agg(F.first("text").alias("text"))
+        likely(texts.select("text_key", "text"), names, "text_key").filter("likely").join(names, "text_key").groupBy("cls").agg(F.first("text").alias("text"))
     )
     leader_text = text_of.select(F.col("cls").alias("grp"), F.col("text").alias("leader_text"))
     pairs = inside.join(text_of, "cls").join(leader_text, "grp").select("cls", "grp", "text", "leader_text")
@@ -337,7 +322,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
 
 
 def near_groups(docs: DataFrame, key: str, text: str, k: int = 5, t: int = 80) -> DataFrame:
-    """One row per document row: doc_id, text_key, n_shingles, component_id.
+    """One row per document row: doc_id, text_key, n_shingles, component_id, group_id.
 
     Two sets link at a Jaccard similarity of ``t`` percent or more. The component is named by its
     smallest document id. Null and empty texts and those without words have no shingles and stand
@@ -349,4 +334,15 @@ def near_groups(docs: DataFrame, key: str, text: str, k: int = 5, t: int = 80) -
         "row", "doc_id", "text_key", "n", F.coalesce("root", "cls", "row").alias("root")
     )
     named = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return joined.join(named, "root").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
+    return joined.join(named, "root").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", F.col("root").alias("group_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, t: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the smallest id, then text digest."""
+    rows = freeze(near_groups(docs, key, text, k, t).withColumn("order", F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")))
+    grouped = rows.filter("n_shingles > 0")
+    kept = grouped.groupBy("group_id").agg(F.min("order").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = grouped.join(kept, "group_id")
+    gone = members.filter("order <> kept").select("doc_id", "text_key").distinct()
+    once = members.filter("order = kept").select("doc_id", "text_key").distinct()
+    return without(docs, gone, key, text, once)
