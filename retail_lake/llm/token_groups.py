@@ -148,27 +148,6 @@ def _similar(inter, n_a, n_b, t: int):
     return 100 * inter >= t * (n_a + n_b - inter)
 
 
-def _against_leader(pairs: DataFrame, k: int, t: int) -> DataFrame:
-    """(class, leader) of the pairs whose texts are similar."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple = (None, None)
-        for batch in batches:
-            classes, leaders = [], []
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            for cls, leader, text, leader_text in rows:
-                if held[0] != leader:
-                    held = (leader, token_set(leader_text.encode(), k))
-                own = token_set(text.encode(), k)
-                inter = len(np.intersect1d(own, held[1], assume_unique=True))
-                if _similar(inter, len(own), len(held[1]), t):
-                    classes.append(cls)
-                    leaders.append(leader)
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(leaders, pa.int64())], ["a", "b"])
-
-    return pairs.mapInArrow(run, "a long, b long")
-
-
 def _open(queries: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
     """Similar (query, member) pairs of a block, as many as joining the components needs."""
 
@@ -284,41 +263,32 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     group = facts.select("cls", "grp")
     inside = group.filter("cls <> grp")
 
-    # texts of the classes that meet any other
+    # texts of the classes that meet any other, with their place in a group
     needed = inside.select("cls").union(inside.select("grp")).union(foreign.select("cls")).union(
         foreign.join(group.select("grp", F.col("cls").alias("member")), "grp").select("member")
     ).distinct()
-    names = freeze(rows.filter("row = cls").join(needed, "cls", "left_semi").select("cls", "text_key"))
-    text_of = freeze(
-        likely(texts.select("text_key", "text"), names, "text_key").filter("likely").join(names, "text_key").groupBy("cls").agg(F.first("text").alias("text"))
+    sizes = group.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+    place = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")
+    placed = freeze(
+        group.join(needed, "cls", "left_semi").join(sizes, "grp").select("cls", "grp", "blocks", "size", place)
+        .join(rows.filter("row = cls").select("cls", "text_key"), "cls")
     )
-    leader_text = text_of.select(F.col("cls").alias("grp"), F.col("text").alias("leader_text"))
-    pairs = inside.join(text_of, "cls").join(leader_text, "grp").select("cls", "grp", "text", "leader_text")
-    led = freeze(_against_leader(pairs, k, t))
-
-    # members not like their leader, and outsiders over the bound, ask the blocks of the group
-    rest = inside.join(led.select(F.col("a").alias("cls")), "cls", "left_anti")
+    distinct = likely(texts.select("text_key", "text"), placed, "text_key").filter("likely")
+    distinct = distinct.groupBy("text_key").agg(F.first("text").alias("text"))
+    members = freeze(distinct.join(placed, "text_key").drop("text_key"))
+
+    def asks(rows: DataFrame) -> DataFrame:
+        block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block")
+        return rows.select(F.col("grp").alias("q_grp"), block, F.col("cls").alias("q_cls"), F.col("text").alias("q_text"))
+
+    # first the leaders ask their groups; then members not like their leader, and outsiders over
+    # the bound, ask all of the group
+    led = freeze(_open(asks(members.filter("cls = grp and size > 1")), members.filter("size > 1"), k, t))
+    rest = inside.join(led.select(F.col("b").alias("cls")), "cls", "left_anti")
     asking = freeze(rest.unionByName(foreign))
-    asked = asking.select("grp").distinct()
-    sizes = group.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = (
-        group.select("cls", "grp")
-        .join(asked, "grp", "left_semi")
-        .join(sizes, "grp")
-        .join(text_of, "cls")
-        .select("grp", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"), "cls", "text")
-    )
-    queries = (
-        asking.join(sizes, "grp")
-        .join(text_of, "cls")
-        .select(
-            F.col("grp").alias("q_grp"),
-            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"),
-            F.col("cls").alias("q_cls"),
-            F.col("text").alias("q_text"),
-        )
-    )
-    return rows, freeze(led.unionByName(_open(queries, members, k, t)))
+    asked = members.join(asking.select("grp").distinct(), "grp", "left_semi")
+    queries = asking.join(members.select("cls", "text"), "cls").join(sizes.select("grp", "blocks"), "grp")
+    return rows, freeze(led.unionByName(_open(asks(queries), asked, k, t)))
 
 
 def near_groups(docs: DataFrame, key: str, text: str, k: int = 5, t: int = 80) -> DataFrame:
