@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from oracle.derived import CAMP_OPEN, PROMO_OPEN
 from oracle.preamble import (
     SHORT,
@@ -484,7 +486,10 @@ def _marketing() -> dict[str, str]:
         "mkt_regions": "select distinct region from camp",
         "mkt_export": top(20),
         "mkt_acquisition_cost": f"""
-            with first as (select region, entity, min(transaction_date) as day from tx group by 1, 2)
+            with first as (
+                select region, entity, transaction_date as day from (
+                    select *, row_number() over (partition by entity order by transaction_date, region nulls last) as k
+                    from tx where entity is not null and transaction_date is not null) where k = 1)
             select campaign_id, campaign_name, {d('budget')} as budget, count(entity) as new_customers,
                    {r(quot('budget', 'count(entity)'))} as acquisition_cost
             from camp c left join first f on f.region = c.region and day >= start_date and day <= end_date
@@ -714,21 +719,21 @@ def _cleaning() -> dict[str, str]:
         ),
         "clean_promotions": cleaned(
             "promo", "promotion_id", "start_date",
-            {"discount_percentage": _bounded("discount_percentage", 100),
+            {"discount_percentage": _bounded("discount_percentage", 1),
              **trims("product_category", "promotion_type", "region")},
             f", {length} as duration_days", ordered,
         ),
         "clean_marketing_campaigns": cleaned(
             "camp", "campaign_id", "start_date",
-            {"conversion_rate": _bounded("conversion_rate", 100),
+            {"conversion_rate": _bounded("conversion_rate", 1),
              **trims("campaign_name", "campaign_type", "target_audience", "region")},
             f", {length} as duration_days", ordered,
         ),
         "clean_product_reviews": cleaned("rev", "review_id", "review_date", trims("product_category")),
         "clean_inventory": cleaned(
-            "inv", "product_id, warehouse", "last_restock_date",
+            "inv", "product_id, trim(warehouse)", "last_restock_date",
             trims("product_category", "region", "country", "warehouse"),
-            ", coalesce(current_stock <= reorder_point, false) as needs_reorder", "and current_stock >= 0",
+            ", coalesce(current_stock <= reorder_point, false) as needs_reorder", "and (current_stock is null or current_stock >= 0)",
         ),
         "clean_logistics_and_shipping": cleaned(
             "ship", "shipment_id", "ship_date",
@@ -753,11 +758,11 @@ def _cleaning() -> dict[str, str]:
         ),
         "faults_financial_transactions": faults("tx", negative_amount="amount < 0"),
         "faults_promotions": faults(
-            "promo", discount_out_of_range="discount_percentage < 0 or discount_percentage > 100",
+            "promo", discount_out_of_range="discount_percentage < 0 or discount_percentage > 1",
             reversed_period="end_date < start_date", open_period="end_date is null",
         ),
         "faults_marketing_campaigns": faults(
-            "camp", conversion_out_of_range="conversion_rate < 0 or conversion_rate > 100",
+            "camp", conversion_out_of_range="conversion_rate < 0 or conversion_rate > 1",
             reversed_period="end_date < start_date",
         ),
         "faults_inventory": faults("inv", negative_stock="current_stock < 0", unknown_stock="current_stock is null"),
@@ -769,6 +774,15 @@ def _cleaning() -> dict[str, str]:
         ),
         "csv_transactions": f"select * replace ({d('amount')} as amount) from b_tx",
         "csv_customers": f"select * replace ({d('annual_income')} as annual_income) from b_cust0",
+        "csv_reordered": f"select * replace ({d('amount')} as amount) from b_tx",
+        "csv_surplus_columns": f"select *  replace ({d('amount')} as amount), 'EUR' as currency from b_tx",
+        "csv_quoted": """
+            select customer_id, concat('"', trim(name), '", or', chr(10), cast(customer_id as varchar)) as name
+            from b_cust0""",
+        "table_round_trip": "select transaction_id, region, transaction_date from tx",
+        "table_partitioned": "select transaction_id, region, transaction_date from tx",
+        "json_array_stores": "select store_id, store_name, region from b_store",
+        "json_nested": "select event_id, try_cast(json_extract_string(props, '$.k') as integer) as k from events",
         "tsv_reviews": "select * from b_rev",
         "distribution_status": f"""
             select status as value, count(*) as row_count, {pct('count(*)', 'sum(count(*)) over ()')} as percentage
@@ -793,15 +807,40 @@ def _cleaning() -> dict[str, str]:
         select cast(transaction_id as bigint) as transaction_id, cast(transaction_date as date) as transaction_date,
                cast(cast(amount as decimal(14,2)) as double) as amount, cast(online as boolean) as online
         from raw_text where not ({any_bad})"""
+    out["cleaned_promo_by_discount"] = f"""
+        select {case_of(labels.DISCOUNT_RANGE, 'p.discount_percentage * 100')} as discount_range,
+               count(*) as nb_transactions, {total('t.amount')} as total_revenue,
+               {mean('t.amount')} as avg_transaction_value, {mean('p.discount_percentage * 100')} as avg_discount_pct
+        from tx t join ({out["clean_promotions"]}) p on {PROMO_OPEN} group by 1"""
+    out["ingest_rejects"] = f"select *, concat_ws(',', {named}) as faults from raw_text where {any_bad}"
     out["rejected_transactions"] = f"select *, concat_ws(',', {named}) as faults from raw_text where {any_bad}"
     return out
 
 
+def _filtered(out: dict[str, str]) -> dict[str, str]:
+    """Reports over a part of their table: the same SQL over the rows of one region or type."""
+
+    def part(name: str, table: str, condition: str) -> str:
+        return re.sub(rf"\b{table}\b", f"(select * from {table} where {condition})", out[name])
+
+    region, kind = f"region = '{ONE_REGION}'", f"campaign_type = '{ONE_TYPE}'"
+    found = {
+        f"{name}_one_region": part(name, "tx", region)
+        for name in ("sales_by_quarter", "sales_by_year", "sales_by_month_name")
+    }
+    found |= {
+        f"{name}_one_region": part(name, "camp", region)
+        for name in ("mkt_by_type", "mkt_reach_conversion", "mkt_by_audience", "mkt_top_campaigns", "mkt_by_month")
+    }
+    return found | {"mkt_by_region_one_type": part("mkt_by_region", "camp", kind)}
+
+
 def all_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     for part in (
         _sales, _products, _logistics, _experience, _customers, _promotions, _marketing, _gold, _features, _cleaning
     ):
         out |= part()
+    out |= _filtered(out)
     return {name: with_inputs(body.strip()) for name, body in out.items()}
 

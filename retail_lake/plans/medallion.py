@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from retail_lake.plans import features, gold
 from retail_lake.plans.silver import CLEANERS, Day
 from retail_lake.session import configure
-from retail_lake.sources.readers import read_table_file, scan
+from retail_lake.sources.readers import read_raw, rejects, scan, typed
+from retail_lake.sources.schemas import FORMATS, SCHEMAS
 from retail_lake.sources.sinks import create_or_replace_table, load_counts
 
 # Tables joined or grouped by the same key over and over are written in buckets of it.
@@ -29,12 +30,22 @@ def _database(spark: SparkSession, name: str) -> None:
 
 
 def ingest(spark: SparkSession, paths: dict[str, str], database: str = "bronze") -> DataFrame:
-    """Raw files to typed bronze tables; returns the row counts."""
+    """Raw files to typed bronze tables, and what does not fit to a table of rejects for each.
+
+    Returns the row counts of both. JSON arrays are read by their schema and have no rejects.
+    """
     configure(spark)
     _database(spark, database)
+    written = []
     for table, path in paths.items():
-        create_or_replace_table(read_table_file(spark, table, path), f"{database}.{table}")
-    return load_counts({t: scan(spark, f"{database}.{t}") for t in paths})
+        raw = read_raw(spark, table, path)
+        delimited = FORMATS.get(table) != "json"
+        create_or_replace_table(typed(raw, SCHEMAS[table]) if delimited else raw, f"{database}.{table}")
+        written.append(table)
+        if delimited:
+            create_or_replace_table(rejects(raw, SCHEMAS[table]), f"{database}.{table}_rejects")
+            written.append(f"{table}_rejects")
+    return load_counts({t: scan(spark, f"{database}.{t}") for t in written})
 
 
 def clean(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from retail_lake.functions.exprs import avg, pct, rows
 def profile(df: DataFrame) -> DataFrame:
     """Rows, NULLs, smallest and largest value and mean of every column, in one pass."""
     def mean_of(field: T.StructField) -> Column:
-        numeric = isinstance(field.dataType, (T.IntegralType, T.DecimalType))
+        numeric = isinstance(field.dataType, (T.IntegralType, T.FractionalType))
         return avg(field.name, 4) if numeric else F.lit(None).cast("double")
 
     wide = df.agg(
@@ -36,7 +36,8 @@ def profile(df: DataFrame) -> DataFrame:
 def distribution(df: DataFrame, column: str) -> DataFrame:
     """Rows and share per value."""
     grouped = df.groupBy(F.col(column).cast("string").alias("value")).agg(rows().alias("row_count"))
-    total = df.agg(rows()).scalar()
+    # over the values, not the rows: one row per value meets in the window
+    total = F.sum("row_count").over(Window.partitionBy())
     return grouped.withColumn("percentage", pct(F.col("row_count"), total)).orderBy(
         F.col("row_count").desc(), F.col("value").asc_nulls_last()
     )
@@ -63,12 +64,12 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 FAULTS = {
     "financial_transactions": lambda: {"negative_amount": F.col("amount") < 0},
     "promotions": lambda: {
-        "discount_out_of_range": (F.col("discount_percentage") < 0) | (F.col("discount_percentage") > 100),
+        "discount_out_of_range": (F.col("discount_percentage") < 0) | (F.col("discount_percentage") > 1),
         "reversed_period": F.col("end_date") < F.col("start_date"),
         "open_period": F.col("end_date").isNull(),
     },
     "marketing_campaigns": lambda: {
-        "conversion_out_of_range": (F.col("conversion_rate") < 0) | (F.col("conversion_rate") > 100),
+        "conversion_out_of_range": (F.col("conversion_rate") < 0) | (F.col("conversion_rate") > 1),
         "reversed_period": F.col("end_date") < F.col("start_date"),
     },
     "inventory": lambda: {

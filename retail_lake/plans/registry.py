@@ -20,7 +20,7 @@ from retail_lake.plans.reports import (
     promotions,
     sales,
 )
-from retail_lake.session import checkpoint_dir
+from retail_lake.session import scratch_dir
 from retail_lake.sources import readers, sinks
 from retail_lake.sources.fixture_spec import RAW_TABLES, SILVER
 from retail_lake.sources.lake import ParquetLake
@@ -80,6 +80,9 @@ def _sales() -> dict[str, Query]:
         "sales_by_month_one_region": lambda k: sales.by_period(region_day(k), "month", region=ONE_REGION),
         "sales_by_quarter": lambda k: sales.by_period(day(k), "quarter"),
         "sales_by_year": lambda k: sales.by_period(day(k), "year"),
+        "sales_by_quarter_one_region": lambda k: sales.by_period(region_day(k), "quarter", region=ONE_REGION),
+        "sales_by_year_one_region": lambda k: sales.by_period(region_day(k), "year", region=ONE_REGION),
+        "sales_by_month_name_one_region": lambda k: sales.by_month_name(region_day(k), ONE_REGION),
         "sales_month_customers": lambda k: sales.by_period(
             k.transactions(*DAY_AMOUNT, "entity"), "month", "month", average="avg_basket", customers=True
         ),
@@ -269,7 +272,7 @@ def _marketing() -> dict[str, Query]:
         return marketing.by_audience(k.campaigns(*FILTERS, "budget", "reach", "conversion_rate"))
 
     def exported(k):
-        path = f"{checkpoint_dir(k.spark)}/exports/{uuid4().hex}"
+        path = f"{scratch_dir(k.spark)}/export-{uuid4().hex}"
         report = roi(k)
         sinks.export_csv(report, path)
         return readers.read_csv(k.spark, path, report.schema)
@@ -281,6 +284,12 @@ def _marketing() -> dict[str, Query]:
         "mkt_campaign_roi_filtered": lambda k: roi(k, campaign_type=ONE_TYPE, region=ONE_REGION),
         "mkt_top15_roi": lambda k: marketing.top_rows(roi(k)),
         "mkt_by_type": by_type,
+        "mkt_by_type_one_region": lambda k: marketing.by_type(ads(k), region=ONE_REGION),
+        "mkt_reach_conversion_one_region": lambda k: marketing.reach_vs_conversion(ads(k), region=ONE_REGION),
+        "mkt_by_audience_one_region": lambda k: marketing.by_audience(ads(k), region=ONE_REGION),
+        "mkt_by_region_one_type": lambda k: marketing.by_region(tx(k), ads(k), campaign_type=ONE_TYPE),
+        "mkt_top_campaigns_one_region": lambda k: marketing.top_campaigns(tx(k), ads(k), region=ONE_REGION),
+        "mkt_by_month_one_region": lambda k: marketing.by_month(ads(k), region=ONE_REGION),
         "mkt_reach_conversion": lambda k: marketing.reach_vs_conversion(ads(k)),
         "mkt_by_audience": by_audience,
         "mkt_by_region": lambda k: marketing.by_region(tx(k), ads(k)),
@@ -415,11 +424,69 @@ def _features() -> dict[str, Query]:
     }
 
 
+def _written_csv(k: ParquetLake, df: DataFrame) -> str:
+    """The rows as a delimited file with a header and doubled quotes."""
+    path = f"{scratch_dir(k.spark)}/raw-{uuid4().hex}"
+    writer = df.write.option("header", True).option("escape", '"')
+    writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return path
+
+
+def _reordered(k: ParquetLake) -> DataFrame:
+    names = SCHEMAS["financial_transactions"].names
+    path = _written_csv(k, k.bronze("financial_transactions").select(*reversed(names)))
+    return readers.read_table_file(k.spark, "financial_transactions", path).withColumn("amount", dbl(F.col("amount")))
+
+
+def _surplus(k: ParquetLake) -> DataFrame:
+    names = SCHEMAS["financial_transactions"].names
+    df = k.bronze("financial_transactions").select(names[0], F.lit("EUR").alias("currency"), *names[1:])
+    out = readers.read_table_file(k.spark, "financial_transactions", _written_csv(k, df))
+    return out.withColumn("amount", dbl(F.col("amount")))
+
+
+def _quoted(k: ParquetLake) -> DataFrame:
+    text = F.concat(F.lit('"'), F.trim("name"), F.lit('", or\n'), F.col("customer_id"))
+    df = k.bronze("customer_demographics").select("customer_id", text.alias("name"))
+    schema = T.StructType([T.StructField("customer_id", T.LongType()), T.StructField("name", T.StringType())])
+    return readers.read_csv(k.spark, _written_csv(k, df), schema, multi_line=True)
+
+
+def _ingest_rejects(k: ParquetLake) -> DataFrame:
+    raw = readers.read_delimited(k.spark, _written_csv(k, k.raw_text_transactions()), TEXT_TRANSACTIONS)
+    return readers.rejects(raw, TEXT_TRANSACTIONS).drop(readers.BROKEN)
+
+
+def _table_round_trip(k: ParquetLake, **layout) -> DataFrame:
+    name = f"round_trip_{uuid4().hex}"
+    sinks.create_or_replace_table(k.transactions("transaction_id", "region", "transaction_date"), name, **layout)
+    return readers.scan(k.spark, name)
+
+
+def _cleaned_by_discount(k: ParquetLake) -> DataFrame:
+    cleaned = silver.clean_promotions(k.bronze("promotions"), k.as_of)
+    return promotions.by_discount(k.transactions(*REGION_DAY), cleaned.select(*PROMO))
+
+
+def _json_array(k: ParquetLake) -> DataFrame:
+    path = f"{scratch_dir(k.spark)}/json-{uuid4().hex}"
+    schema = T.StructType([f for f in SCHEMAS["store_locations"].fields if f.name in ("store_id", "store_name", "region")])
+    rows = k.bronze("store_locations").select(F.to_json(F.struct(*schema.names)).alias("value"))
+    rows.withColumn("value", F.concat("value", F.lit(","))).write.text(path)
+    return readers.read_json_lines_array(k.spark, path, schema)
+
+
+def _nested_json(k: ParquetLake) -> DataFrame:
+    nested = F.format_string('{"a": {"b": [%s]}}', "props")
+    df = k.raw("events").select("event_id", nested.alias("props"))
+    return readers.json_fields(df, "props", {"k": ("a.b[0].k", "int")}).select("event_id", "k")
+
+
 def _raw_file(k: ParquetLake, table: str) -> DataFrame:
     """The bronze rows of a table written as its raw text file and read back."""
-    path = f"{checkpoint_dir(k.spark)}/raw/{uuid4().hex}"
+    path = f"{scratch_dir(k.spark)}/raw-{uuid4().hex}"
     sep = "\t" if FORMATS.get(table) == "tsv" else ","
-    writer = k.bronze(table).select(*SCHEMAS[table].names).write.option("header", True).option("sep", sep)
+    writer = k.bronze(table).select(*SCHEMAS[table].names).write.option("header", True).option("sep", sep).option("escape", '"')
     writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return readers.read_table_file(k.spark, table, path)
 
@@ -439,6 +506,15 @@ def _cleaning() -> dict[str, Query]:
         "csv_customers": lambda k: _raw_file(k, "customer_demographics").withColumn(
             "annual_income", dbl(F.col("annual_income"))
         ),
+        "csv_reordered": _reordered,
+        "csv_surplus_columns": _surplus,
+        "csv_quoted": _quoted,
+        "ingest_rejects": _ingest_rejects,
+        "table_round_trip": lambda k: _table_round_trip(k, bucket_by=(8, ["transaction_id"])),
+        "table_partitioned": lambda k: _table_round_trip(k, partition_by=["region"]),
+        "cleaned_promo_by_discount": _cleaned_by_discount,
+        "json_array_stores": _json_array,
+        "json_nested": _nested_json,
         "tsv_reviews": lambda k: _raw_file(k, "product_reviews"),
         "distribution_status": lambda k: profiling.distribution(k.shipping("status"), "status"),
         "duplicates_transactions": lambda k: profiling.duplicates(

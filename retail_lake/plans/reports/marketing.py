@@ -198,11 +198,14 @@ def best_conversion(report: DataFrame, key: str, k: int = 3) -> DataFrame:
 
 
 def acquisition_cost(tx: DataFrame, campaigns: DataFrame) -> DataFrame:
-    """Budget per customer whose first purchase falls in the campaign's period and region.
+    """Budget per customer whose first purchase anywhere falls in the campaign's period and region.
 
-    A customer has one first day, so first purchases add up over days like sales do.
+    A customer has one first day, so first purchases add up over days like sales do. Of several
+    regions on that day the first in the alphabet counts, an unknown one only if there is no other.
     """
-    first = tx.groupBy("region", "entity").agg(F.min("transaction_date").alias("day"))
+    known = tx.filter(F.col("entity").isNotNull() & F.col("transaction_date").isNotNull())
+    earliest = F.min(F.struct(F.col("transaction_date").alias("day"), F.col("region").isNull().alias("no"), "region"))
+    first = known.groupBy("entity").agg(earliest.alias("f")).select("f.day", "f.region")
     daily = freeze(first.groupBy("region", "day").agg(rows().alias("n")))
     out = interval_sums(campaigns, daily, "region", "start_date", "end_date", {"n": "new_customers"})
     return out.select(

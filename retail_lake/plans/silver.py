@@ -18,13 +18,19 @@ def day(as_of: Day) -> Column:
     return F.lit(str(as_of)).cast("date")
 
 
-def clamp(col: str, low: int, high: int) -> Column:
+def clamp(col: str | Column, low: int, high: int) -> Column:
     """Bounded value; NULL stays NULL."""
-    c = F.col(col)
+    c = F.col(col) if isinstance(col, str) else col
     kept = F.when(c < low, F.lit(low)).when(c > high, F.lit(high)).otherwise(c)
     return kept
 
 
+def fraction(df: DataFrame, column: str, unit: str) -> DataFrame:
+    """A share as a fraction from 0 to 1; ``unit`` says what bronze holds, "fraction" or "percent"."""
+    value = {"fraction": F.col(column), "percent": F.col(column) / 100}[unit]
+    return df.withColumn(column, clamp(value, 0, 1).cast(df.schema[column].dataType))
+
+
 def _trimmed(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.trim(c) for c in columns})
 
@@ -54,15 +60,15 @@ def clean_customers(df: DataFrame, as_of: Day) -> DataFrame:
     return with_age(df.withColumn("email", F.lower(F.trim("email"))), as_of)
 
 
-def clean_promotions(df: DataFrame, as_of: Day) -> DataFrame:
+def clean_promotions(df: DataFrame, as_of: Day, unit: str = "fraction") -> DataFrame:
     df = keep_latest(df, ["promotion_id"], "start_date")
-    df = df.withColumn("discount_percentage", clamp("discount_percentage", 0, 100))
+    df = fraction(df, "discount_percentage", unit)
     return _ordered_dates(_trimmed(df, "product_category", "promotion_type", "region"))
 
 
-def clean_campaigns(df: DataFrame, as_of: Day) -> DataFrame:
+def clean_campaigns(df: DataFrame, as_of: Day, unit: str = "fraction") -> DataFrame:
     df = keep_latest(df, ["campaign_id"], "start_date")
-    df = df.withColumn("conversion_rate", clamp("conversion_rate", 0, 100))
+    df = fraction(df, "conversion_rate", unit)
     return _ordered_dates(_trimmed(df, "campaign_name", "campaign_type", "target_audience", "region"))
 
 
@@ -71,8 +77,10 @@ def clean_reviews(df: DataFrame, as_of: Day) -> DataFrame:
 
 
 def clean_inventory(df: DataFrame, as_of: Day) -> DataFrame:
-    df = keep_latest(df, ["product_id", "warehouse"], "last_restock_date")
-    df = _trimmed(df.filter(F.col("current_stock") >= 0), "product_category", "region", "country", "warehouse")
+    """Copies are those of one product and warehouse, however padded; unknown stock stays."""
+    df = keep_latest(_trimmed(df, "warehouse"), ["product_id", "warehouse"], "last_restock_date")
+    known = df.filter(F.col("current_stock").isNull() | (F.col("current_stock") >= 0))
+    df = _trimmed(known, "product_category", "region", "country")
     low = F.col("current_stock") <= F.col("reorder_point")
     return df.withColumn("needs_reorder", F.when(low, True).otherwise(False))
 

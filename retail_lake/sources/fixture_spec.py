@@ -252,7 +252,7 @@ BRONZE = {
         "last_restock_date": "last_restock_date - slot",
         "current_stock": "case when product_id % 23 = 0 then -current_stock - 1 "
         "when product_id % 29 = 0 then null else current_stock end",
-        "warehouse": "concat(' ', warehouse)",
+        "warehouse": "case when slot = 0 then concat(' ', warehouse) else warehouse end",
     },
     "logistics_and_shipping": {
         "ship_date": "ship_date - slot",

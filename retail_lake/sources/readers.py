@@ -9,16 +9,58 @@ from pyspark.sql import types as T
 from retail_lake.sources.schemas import FORMATS, SCHEMAS
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, sep: str = ",") -> DataFrame:
-    """Delimited text with a header; empty fields are NULL."""
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
+#: Holds a line whose number of fields is not that of the header; never a column of a table.
+BROKEN = "_broken_line"
+
+
+def read_delimited(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", multi_line: bool = False
+) -> DataFrame:
+    """Delimited text with a header, every field as text, empty fields as NULL.
+
+    Columns go by the names in the header, whatever their order and case: those of ``schema``
+    first, then what else the file has. A file without a column of the schema is refused, as is
+    one whose header differs from that of the first. Quotes inside quoted text are doubled. Line
+    breaks inside quotes need ``multi_line``, with which a file cannot be split over tasks. A line
+    with too few or too many fields is kept whole in the column BROKEN.
+    """
+    reader = (
+        spark.read.option("header", True)
         .option("sep", sep)
+        .option("quote", '"')
+        .option("escape", '"')
         .option("nullValue", "")
         .option("encoding", "UTF-8")
+        .option("multiLine", multi_line)
+    )
+    header = reader.csv(path).columns
+    by_name = {name.strip().lower(): name for name in header}
+    lacking = [f.name for f in schema.fields if f.name.lower() not in by_name]
+    if lacking:
+        raise ValueError(f"{path} lacks the columns {', '.join(lacking)}")
+    fields = [T.StructField(name, T.StringType()) for name in [*header, BROKEN]]
+    lines = (
+        reader.schema(T.StructType(fields))
+        .option("enforceSchema", False)
+        .option("columnPruning", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", BROKEN)
         .csv(path)
     )
+    wanted = {by_name[f.name.lower()]: f.name for f in schema.fields}
+    surplus = [name for name in header if name not in wanted]
+    return lines.select(
+        *[F.col(f"`{old}`").alias(new) for old, new in wanted.items()],
+        *[F.col(f"`{name}`").alias(name.strip()) for name in surplus],
+        BROKEN,
+    )
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", multi_line: bool = False
+) -> DataFrame:
+    """The rows of delimited text that fit the schema, typed; ``rejects`` gives the others."""
+    return typed(read_delimited(spark, path, schema, sep, multi_line), schema)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -28,15 +70,31 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Files that each hold one array of objects.
 
-    Such a file cannot be split, so it is one task; write the result to Parquet before use.
+    Such a file cannot be split, so it is one task; write the result to Parquet before use, or
+    see ``read_json_lines_array``.
     """
     return spark.read.schema(schema).option("multiLine", True).option("encoding", "UTF-8").json(path)
 
 
+def read_json_lines_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Arrays written with one object per line; such files are split over tasks like any text."""
+    element = F.regexp_replace(F.trim("value"), r"^\[|[,\]]$|,\]$", "")
+    lines = spark.read.text(path).select(F.trim(element).alias("value")).filter("value <> ''")
+    return lines.select(F.from_json("value", schema).alias("row")).select("row.*")
+
+
+def read_raw(spark: SparkSession, table: str, path: str) -> DataFrame:
+    """A raw file of a known table as text columns; JSON arrays come typed by their schema."""
+    kind = FORMATS.get(table, "csv")
+    if kind == "json":
+        return read_json_array(spark, path, SCHEMAS[table])
+    return read_delimited(spark, path, SCHEMAS[table], "\t" if kind == "tsv" else ",")
+
+
 def read_table_file(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """A raw file of a known table, in that table's format."""
-    reader = {"csv": read_csv, "tsv": read_tsv, "json": read_json_array}[FORMATS.get(table, "csv")]
-    return reader(spark, path, SCHEMAS[table])
+    """The typed rows of a raw file of a known table that fit."""
+    raw = read_raw(spark, table, path)
+    return raw if FORMATS.get(table) == "json" else typed(raw, SCHEMAS[table])
 
 
 def scan(spark: SparkSession, name: str) -> DataFrame:
@@ -59,24 +117,29 @@ def _typed_columns(df: DataFrame, schema: T.StructType) -> dict[str, Column]:
     return {f.name: F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields}
 
 
+def _broken(df: DataFrame) -> Column:
+    return F.col(BROKEN).isNotNull() if BROKEN in df.columns else F.lit(False)
+
+
+def _misfit(field: T.StructField) -> Column:
+    """Whether a text is there but not of its type; NULL stays NULL and is fine."""
+    return F.col(field.name).isNotNull() & F.col(field.name).try_cast(field.dataType).isNull()
+
+
 def _faulty(df: DataFrame, schema: T.StructType) -> Column:
-    """Whether any text is there but not of its type; NULL stays NULL and is fine."""
-    bad = F.lit(False)
+    bad = _broken(df)
     for f in schema.fields:
-        bad = bad | (F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+        bad = bad | _misfit(f)
     return bad
 
 
 def typed(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Text columns cast to the schema, for the rows in which every field fits."""
-    return df.filter(~_faulty(df, schema)).select(*_typed_columns(df, schema).values())
+    """Text columns cast to the schema, for the rows in which every field fits; others stay text."""
+    surplus = [c for c in df.columns if c not in schema.names and c != BROKEN]
+    return df.filter(~_faulty(df, schema)).select(*_typed_columns(df, schema).values(), *surplus)
 
 
 def rejects(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The text rows that do not fit the schema, with the names of the faulty columns."""
-    names = [
-        F.when(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), f.name)
-        for f in schema.fields
-    ]
-    faults = F.concat_ws(",", *names)
-    return df.filter(_faulty(df, schema)).withColumn("faults", faults)
+    names = [F.when(_broken(df), "line"), *(F.when(_misfit(f), f.name) for f in schema.fields)]
+    return df.filter(_faulty(df, schema)).withColumn("faults", F.concat_ws(",", *names))

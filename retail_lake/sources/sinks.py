@@ -21,7 +21,9 @@ def create_or_replace_table(
 
     ``partition_by`` lets readers skip files; the rows are gathered per partition first, and
     Spark splits those that are too large, so that files have an even size. ``bucket_by``
-    (number, keys) saves the shuffle of later joins and groupings on the keys.
+    (number, keys) saves the shuffle of later joins and groupings on the keys; rows are dealt by
+    the keys first, which gives one file per bucket. A key with a third of all rows makes one
+    file of that size.
     """
     if partition_by:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
@@ -30,13 +32,16 @@ def create_or_replace_table(
         writer = writer.partitionBy(*partition_by)
     if bucket_by:
         number, keys = bucket_by
+        writer = df.repartition(number, *keys).write.mode("overwrite").format("parquet")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
         writer = writer.bucketBy(number, *keys).sortBy(*keys)
     writer.saveAsTable(name)
 
 
 def export_csv(report: DataFrame, path: str) -> None:
     """One CSV file with a header, for a report whose limit keeps it small."""
-    report.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    report.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def load_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -106,7 +106,9 @@ def test_clean_promotions_drops_reversed_and_open_periods(spark):
         "start_date date, end_date date, region string",
     )
     got = {r["promotion_id"]: (r["discount_percentage"], r["duration_days"]) for r in rows(silver.clean_promotions(df, AS_OF))}
-    assert got == {1: (0, 0), 2: (100, 30)}
+    assert got == {1: (0, 0), 2: (1, 30)}
+    got = {r["promotion_id"]: float(r["discount_percentage"]) for r in rows(silver.clean_promotions(df.withColumn("end_date", df.start_date), AS_OF, unit="percent")) if r["discount_percentage"] is not None}
+    assert got == {1: 0.0, 2: 1.0, 4: 0.05}
 
 
 def test_clean_employees(spark):
@@ -144,7 +146,9 @@ def test_clean_inventory(spark):
         [(i, "c", "r", "k", " w", s, p, 1, day("2000-01-01")) for i, s, p in data], schema
     )
     got = {r["product_id"]: r["needs_reorder"] for r in rows(silver.clean_inventory(df, AS_OF))}
-    assert got == {1: True, 2: False, 5: False}
+    assert got == {1: True, 2: False, 4: False, 5: False}
+    padded = spark.createDataFrame([(1, "c", "r", "k", w, 5, 5, 1, day(d)) for w, d in ((" W", "2000-01-01"), ("W", "2000-01-02"))], schema)
+    assert [r["last_restock_date"] for r in silver.clean_inventory(padded, AS_OF).collect()] == [day("2000-01-02")]
 
 
 def test_clean_interactions_bounds_satisfaction(spark):

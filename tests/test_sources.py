@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,9 +106,9 @@ def raw_files(lake, tmp_path_factory):
 
 def test_layers_end_to_end(spark, lake, raw_files):
     counts = medallion.ingest(spark, raw_files, "t_bronze")
-    assert {r["table_name"]: r["row_count"] for r in counts.collect()} == {
-        t: lake.bronze(t).count() for t in SCHEMAS
-    }
+    got = {r["table_name"]: r["row_count"] for r in counts.collect()}
+    assert {t: got[t] for t in SCHEMAS} == {t: lake.bronze(t).count() for t in SCHEMAS}
+    assert {n for t, n in got.items() if t.endswith("_rejects")} == {0}
     medallion.clean(spark, AS_OF, "t_bronze", "t_silver", buckets=4)
     from retail_lake.plans.silver import CLEANERS
 
@@ -126,3 +128,64 @@ def test_layers_end_to_end(spark, lake, raw_files):
     ).agg(F.count("*").alias("nb_ventes_jour"))
     daily = readers.scan(spark, "t_gold.ventes_par_jour").select(*rows_per_day.columns)
     assert bag(daily) == bag(rows_per_day)
+
+
+PAIR = T.StructType([T.StructField("id", T.LongType()), T.StructField("amount", T.DecimalType(8, 2))])
+
+
+def _file(tmp_path, text):
+    path = tmp_path / "file.csv"
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_delimited_columns_go_by_name(spark, tmp_path):
+    path = _file(tmp_path, "Amount,currency,id\n3.50,EUR,7\n")
+    assert [tuple(r) for r in readers.read_csv(spark, path, PAIR).collect()] == [(7, Decimal("3.50"), "EUR")]
+
+
+def test_delimited_file_without_a_column_is_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="amount"):
+        readers.read_csv(spark, _file(tmp_path, "id,price\n1,2\n"), PAIR)
+
+
+def test_delimited_quotes_and_line_breaks(spark, tmp_path):
+    path = _file(tmp_path, 'id,amount,note\n1,2,"a ""b"", c"\n2,3,"x\ny"\n')
+    got = readers.read_csv(spark, path, PAIR, multi_line=True).orderBy("id").collect()
+    assert [r["note"] for r in got] == ['a "b", c', "x\ny"]
+
+
+def test_what_does_not_fit_is_kept_with_a_reason(spark, tmp_path):
+    raw = readers.read_delimited(spark, _file(tmp_path, "id,amount\n7,abc\n8,1,2\n9\n1,2\n,\n"), PAIR)
+    bad = {r["id"]: r["faults"] for r in readers.rejects(raw, PAIR).collect()}
+    assert bad == {"7": "amount", "8": "line", "9": "line"}
+    assert {r["id"] for r in readers.typed(raw, PAIR).collect()} == {1, None}
+
+
+def test_json_array_by_lines(spark, tmp_path):
+    path = _file(tmp_path, '[{"id": 1, "amount": 2.5},\n{"id": 2, "amount": null}]\n')
+    got = readers.read_json_lines_array(spark, path, PAIR).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, Decimal("2.50")), (2, None)]
+
+
+def test_buckets_do_not_multiply_files(spark):
+    sinks.create_or_replace_table(spark.range(0, 10_000, 1, 16), "t_buckets", bucket_by=(8, ["id"]))
+    assert len(spark.table("t_buckets").inputFiles()) <= 8
+
+
+def test_scope_and_release_remove_what_was_frozen(spark):
+    from pathlib import Path
+
+    from retail_lake import session
+
+    def files():
+        root = Path(session.scratch_dir(spark).removeprefix("file:"))
+        return [p for p in root.rglob("*.parquet")] if root.exists() else []
+
+    before = len(files())
+    with session.scope(spark):
+        assert session.freeze(spark.range(3)).count() == 3
+    assert len(files()) == before
+    session.freeze(spark.range(3))
+    session.release(spark)
+    assert files() == []
