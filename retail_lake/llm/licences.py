@@ -44,13 +44,13 @@ def _terms(text: Column) -> Column:
 
 
 def match(statements: DataFrame) -> DataFrame:
-    """(statement, licence, score) for distinct statements with counts ``n``; the best template.
+    """(sid, licence, score) for distinct statements with their digest and count ``n``.
 
     Equal scores go to the first template of the list. Scores are rounded to six places.
     """
     spark = statements.sparkSession
-    counted = statements.select("statement", "n", F.explode(_terms(F.col("statement"))).alias("term"))
-    tf = counted.groupBy("statement", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = statements.select("sid", "n", F.explode(_terms(F.col("statement"))).alias("term"))
+    tf = counted.groupBy("sid", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     total = F.lit(statements.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     df = tf.groupBy("term").agg(F.sum("n").alias("df"))
     rows = [(i, name, text) for i, (name, text) in enumerate(TEMPLATES)]
@@ -65,21 +65,21 @@ def match(statements: DataFrame) -> DataFrame:
     idf = df.select("term", rarity.alias("idf"))
     t_idf = t_tf.join(df, "term", "left").select("number", "licence", "term", (F.col("t_tf") * rarity).alias("t_w"))
     t_norm = t_idf.groupBy("number").agg(F.sqrt(F.sum(F.col("t_w") * F.col("t_w"))).alias("t_norm"))
-    weights = tf.join(idf, "term").select("statement", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = weights.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = weights.join(t_idf, "term").groupBy("statement", "number", "licence").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
-    scored = dots.join(t_norm, "number").join(norm, "statement").withColumn(
+    weights = tf.join(idf, "term").select("sid", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = weights.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weights.join(t_idf, "term").groupBy("sid", "number", "licence").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
+    scored = dots.join(t_norm, "number").join(norm, "sid").withColumn(
         "score", F.round(F.col("dot") / (F.col("norm") * F.col("t_norm")), 6)
     )
-    best = scored.groupBy("statement").agg(F.max_by(F.struct("licence", "score"), F.struct("score", -F.col("number"))).alias("b"))
-    return best.filter(F.col("b.score") >= LEAST).select("statement", "b.licence", "b.score")
+    best = scored.groupBy("sid").agg(F.max_by(F.struct("licence", "score"), F.struct("score", -F.col("number"))).alias("b"))
+    return best.filter(F.col("b.score") >= LEAST).select("sid", "b.licence", "b.score")
 
 
 def licences(files: DataFrame, path: str, text: str, key: str) -> DataFrame:
     """One row per file row: the key, path, own_licence, own_score, licence, from_dir.
 
     ``from_dir`` is the directory a licence is inherited from, null for a licence of one's own.
-    Of several statements the best counts, of equal ones the licence first in the alphabet; of
+    Of several statements the best counts, of equal ones the licence last in the alphabet; of
     several licence files in a directory the first path. Null and empty texts state nothing, a
     null path inherits nothing, repeated rows give equal rows; empty tables give none.
     """
@@ -91,13 +91,15 @@ def licences(files: DataFrame, path: str, text: str, key: str) -> DataFrame:
         keyed.filter(whole | F.col("text").rlike(SPEAKS))
         .select("path", "digest", F.explode(F.when(whole, F.array_append(lines, F.col("text"))).otherwise(lines)).alias("statement"))
         .filter("statement <> ''")
+        .withColumn("sid", F.unhex(F.md5("statement")))  # rows per word carry this, not the text
     )
-    counts = freeze(stated.groupBy("statement").agg(F.count(F.lit(1)).alias("n")))
+    counts = freeze(stated.groupBy("sid", "statement").agg(F.count(F.lit(1)).alias("n")))
     own = (
-        stated.distinct()
-        .join(match(counts), "statement")
+        stated.select("path", "digest", "sid")
+        .distinct()
+        .join(match(counts), "sid")
         .groupBy("path", "digest")
-        .agg(F.max_by(F.struct("licence", "score"), F.struct("score", F.col("statement"))).alias("own"))
+        .agg(F.max_by(F.struct("licence", "score"), F.struct("score", "licence")).alias("own"))
         .select(F.col("path").alias("own_path"), F.col("digest").alias("own_digest"), "own.*")
     )
     parts = F.split("own_path", "/")
