@@ -342,27 +342,16 @@ def covered(stretches: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray,
 
 
 def _spans(stretches: DataFrame, length: int) -> DataFrame:
-    """(rid, doc, starts, ends) of covered bytes, from every bucket."""
+    """(rid, doc, start, stop) of covered bytes, from every bucket."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint16, np.uint8)
         columns = [np.frombuffer(b"".join(table.column(j + 1).to_pylist()), kind) for j, kind in enumerate(kinds)]
         columns[4] = columns[4].astype(np.int64)
-        rid, doc, start, end = covered(tuple(columns), length)
-        order = np.lexsort((start, doc, rid))
-        rid, doc, start, end = rid[order], doc[order], start[order], end[order]
-        head = np.flatnonzero(np.append(True, (np.diff(rid) != 0) | (np.diff(doc) != 0))) if len(rid) else np.zeros(0, int)
-        cuts = pa.array(np.append(head, len(rid)), pa.int32())
-        return pa.table(
-            {
-                "rid": pa.array(rid[head]),
-                "doc": pa.array(doc[head]),
-                "starts": pa.ListArray.from_arrays(cuts, pa.array(start)),
-                "ends": pa.ListArray.from_arrays(cuts, pa.array(end)),
-            }
-        )
-
-    return stretches.groupBy("bucket").applyInArrow(run, "rid long, doc long, starts array<long>, ends array<long>")
+        found = covered(tuple(columns), length)
+        return pa.table(dict(zip(("rid", "doc", "start", "stop"), map(pa.array, found), strict=True)))
+
+    return stretches.groupBy("bucket").applyInArrow(run, "rid long, doc long, start long, stop long")
 
 
 def unite(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,10 +369,9 @@ def _cut_out(rows: DataFrame, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             out: list[list] = [[] for _ in range(6)]
-            for doc, text, starts, ends in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for doc, text, starts, stops in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 raw = (text or "").encode()
-                flat = [np.array([x for part in side or [] for x in part], dtype=np.int64) for side in (starts, ends)]
-                low, high = unite(*flat)
+                low, high = unite(*(np.array(side or [], dtype=np.int64) for side in (starts, stops)))
                 edges = [0, *np.stack([low, high], axis=1).ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 line = (None if doc == NO_ID else doc, len(raw), len(raw) - len(kept), len(low), hashlib.sha256(kept).hexdigest(), kept)
@@ -427,17 +415,17 @@ def remove_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, w
     copies = (
         ids.join(first.select("digest", "first"), "digest")
         .filter((F.col("doc") > F.col("first")) & (F.col("n") >= length))
-        .select("rid", "doc", F.array(F.lit(0).cast("long")).alias("starts"), F.array("n").alias("ends"))
+        .select("rid", "doc", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
         .distinct()
     )
     per_doc = (
         spans.unionByName(copies)
         .groupBy("rid", F.col("doc").alias("same_doc"))
-        .agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+        .agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # bounded by the text's anchors
     )
     joined = rows.join(per_doc, "rid", "left")
     fits = F.col("doc") == F.col("same_doc")  # another document under the same hash does not count
     return _cut_out(
-        joined.select("doc", "text", F.when(fits, F.col("starts")).alias("starts"), F.when(fits, F.col("ends")).alias("ends")),
+        joined.select("doc", "text", F.when(fits, F.col("spans.start")).alias("starts"), F.when(fits, F.col("spans.stop")).alias("stops")),
         with_text,
     )
