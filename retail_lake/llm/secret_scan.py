@@ -50,6 +50,9 @@ OUT, BEGIN, INSIDE = 0, 1, 2
 _HALF = 1 << (WORD_BITS - 1)
 #: So much a word that names no secret may speak for one standing near it.
 WORD_SAYS = 0.3
+#: So much a plain token near it or a fact about the file may; and a plain token is at least so
+#: much surer of being outside.
+SAYS, PLAIN_LEAD = 0.1, 4.0
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -245,15 +248,27 @@ def train(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS) -
             v += 0.01 * (g * g - v)
             p -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         weights[N_FEATURES] = 0
-        at = len(_OFFSETS) * SHAPES
-        for low in range(at, at + len(_WORDS_AT) * 2 * _HALF, 2 * _HALF):
-            common = weights[low : low + _HALF]
-            np.minimum(common[:, 1:], common[:, :1] + WORD_SAYS, out=common[:, 1:])
+        for held, most in _bounds():
+            weights[held, 1:] = np.minimum(weights[held, 1:], weights[held, :1] + most)
     field = Field(weights[:N_FEATURES], moves)
     field.whole = not _plain_is_outside(field)
     return field
 
 
+def _bounds() -> list[tuple[np.ndarray, float]]:
+    """Features of plain tokens, and how much they may speak for begin or inside over outside."""
+    plain = np.array([0, *_PLAIN_MARKS])
+    out = []
+    at = 0
+    for step in _OFFSETS:
+        out.append((at + (np.append(plain, SHAPES - 1) if step else plain), SAYS if step else -PLAIN_LEAD))
+        at += SHAPES
+    for _ in _WORDS_AT:
+        out.append((np.arange(at, at + _HALF), WORD_SAYS))
+        at += 2 * _HALF
+    return [*out, (np.arange(at, N_FEATURES), SAYS)]
+
+
 def _plain_is_outside(field: Field) -> bool:
     """Whether a plain token among plain ones is outside in every best path.
 
