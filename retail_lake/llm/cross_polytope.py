@@ -194,7 +194,7 @@ def near_vectors(
         F.floor(F.col("at") / probes).cast("int").alias("table"),
         F.xxhash64("label", "dims", "code").alias("cell"),
         (F.col("at") % probes == 0).alias("own"),
-    ).distinct()
+    ).groupBy("cls", "table", "cell").agg(F.bool_or("own").alias("own"))  # short vectors repeat buckets
     # buckets in which someone meets someone else
     cells = (
         asks.groupBy("table", "cell")
