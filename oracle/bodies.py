@@ -719,13 +719,13 @@ def _cleaning() -> dict[str, str]:
         ),
         "clean_promotions": cleaned(
             "promo", "promotion_id", "start_date",
-            {"discount_percentage": _bounded("discount_percentage", 1),
+            {"discount_percentage": f"cast({_bounded('discount_percentage', 1)} as decimal(8,3))",
              **trims("product_category", "promotion_type", "region")},
             f", {length} as duration_days", ordered,
         ),
         "clean_marketing_campaigns": cleaned(
             "camp", "campaign_id", "start_date",
-            {"conversion_rate": _bounded("conversion_rate", 1),
+            {"conversion_rate": f"cast({_bounded('conversion_rate', 1)} as decimal(8,4))",
              **trims("campaign_name", "campaign_type", "target_audience", "region")},
             f", {length} as duration_days", ordered,
         ),

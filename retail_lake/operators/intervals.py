@@ -21,6 +21,11 @@ def _usable(dim: DataFrame, by: Sequence[str], start: str, end: str) -> DataFram
     return dim.filter(known)
 
 
+def _held_days(fact: DataFrame, day: str) -> Column:
+    """The first and last day of the facts, so that open-ended periods make no rows beyond them."""
+    return fact.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last"))).scalar()
+
+
 def interval_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -36,7 +41,7 @@ def interval_join(
     """Join every fact to the intervals of its group that contain its day.
 
     The columns of ``dim`` must not repeat those of ``fact``, save the ``by`` keys.
-    ``days`` gives an interval one row per covered day and joins on (keys, day): every pair
+    ``days`` gives an interval one row per covered day on which there can be facts and joins on (keys, day): every pair
     that meets is a result, and the facts of a large group are spread over its days. Spark
     broadcasts the days if they are small and splits partitions that are too large. With
     ``salts`` > 1 the facts of one day are spread further by a hash of ``salt_on``. ``range``
@@ -52,7 +57,11 @@ def interval_join(
     if strategy == "range":
         match &= F.col(point).between(F.col(start), F.col(end))
         return fact.join(renamed, match, how).drop(*[f"_by_{k}" for k in by])
-    days = renamed.withColumn("_day", F.explode(F.sequence(start, end)))
+    held = _held_days(fact, point)
+    clipped = renamed.withColumns(
+        {"_from": F.greatest(F.col(start), held["first"]), "_to": F.least(F.col(end), held["last"])}
+    ).filter(held["first"].isNotNull() & (F.col("_from") <= F.col("_to")))
+    days = clipped.withColumn("_day", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
     match &= F.col(point) == F.col("_day")
     if salts > 1:
         fact = fact.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(salts)).cast("int"))
@@ -191,23 +200,23 @@ def distinct_in_intervals(
     day, previous day), and intervals to their distinct (group, start, end), before they
     meet; no row per fact and interval is made.
     """
-    days = F.array_sort(F.collect_set(day))  # of one person: bounded by the calendar
-    visits = purchases.filter(
-        F.col(by).isNotNull() & F.col(day).isNotNull() & F.col(who).isNotNull()
-    ).groupBy(by, who).agg(days.alias("_days"))
-    before = F.transform(
-        "_days", lambda d, i: F.struct(d.alias("_d"), F.get("_days", i - 1).alias("_prev"))
-    )
+    known = F.col(by).isNotNull() & F.col(day).isNotNull() & F.col(who).isNotNull()
+    visits = purchases.filter(known).select(F.col(by).alias("_g"), F.col(who).alias("_who"), F.col(day).alias("_d")).distinct()
+    own = Window.partitionBy("_g", "_who").orderBy("_d")  # of one person: bounded by the calendar
     cells = (
-        visits.select(F.col(by).alias("_g"), F.inline(before))
+        visits.withColumn("_prev", F.lag("_d").over(own))
         .groupBy("_g", "_d", "_prev")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    spans = _usable(dim, [by], start, end).groupBy(by, start).agg(F.max(end).alias("_last"))
-    starts = spans.select(
+    held = _held_days(purchases, day)
+    dim = dim.withColumn("_end_held", F.when(F.col(end).isNotNull(), F.least(F.col(end), held["last"])))
+    names = [c for c in dim.columns if c != "_end_held"]
+    spans = _usable(dim, [by], start, "_end_held").groupBy(by, start).agg(F.max("_end_held").alias("_last"))
+    first = F.greatest(F.col(start), held["first"])
+    starts = spans.filter(held["first"].isNotNull() & (first <= F.col("_last"))).select(
         F.col(by).alias("_sg"),
         F.col(start).alias("_start"),
-        F.explode(F.sequence(start, "_last")).alias("_sd"),
+        F.explode(F.sequence(first, "_last")).alias("_sd"),
     )
     fresh = (
         starts.join(
@@ -225,8 +234,8 @@ def distinct_in_intervals(
     return (
         dim.join(
             counts,
-            (F.col(by) == F.col("_sg")) & (F.col(start) == F.col("_start")) & (F.col(end) == F.col("_end")),
+            (F.col(by) == F.col("_sg")) & (F.col(start) == F.col("_start")) & (F.col("_end_held") == F.col("_end")),
             "left",
         )
-        .select(*dim.columns, F.coalesce(F.col(name), F.lit(0)).alias(name))
+        .select(*names, F.coalesce(F.col(name), F.lit(0)).alias(name))
     )

@@ -84,8 +84,9 @@ def ranks(
     measure: str,
     key: str,
     descending: bool = True,
+    dense: bool = True,
 ) -> DataFrame:
-    """Add row_number, rank, dense_rank and percent_rank within ``partition``.
+    """Add row_number, rank, percent_rank and, if ``dense``, dense_rank within ``partition``.
 
     ``key`` is unique and orders equal measures. Groups are never gathered in one task:
     positions come from one global order, group and tie starts from small aggregates.
@@ -93,7 +94,10 @@ def ranks(
     by_value = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_last()
     numbered = global_row_number(df, [F.col(partition).asc(), by_value, F.col(key).asc()], "_pos")
     ties = numbered.groupBy(partition, measure).agg(F.min("_pos").alias("_tie"))
-    ties = global_row_number(ties, [F.col(partition).asc(), by_value], "_dense")
+    if dense:  # a second order, over the distinct measures
+        ties = global_row_number(ties, [F.col(partition).asc(), by_value], "_dense")
+    else:
+        ties = ties.withColumn("_dense", F.lit(None).cast("long"))
     groups = numbered.groupBy(partition).agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
     dense_starts = ties.groupBy(partition).agg(F.min("_dense").alias("_dense_start"))
     starts = groups.join(dense_starts, groups[partition].eqNullSafe(dense_starts[partition])).select(
@@ -112,7 +116,7 @@ def ranks(
             *df.columns,
             (F.col("_pos") - F.col("_start") + 1).alias("row_number"),
             rank.alias("rank"),
-            (F.col("_dense") - F.col("_dense_start") + 1).alias("dense_rank"),
+            *([(F.col("_dense") - F.col("_dense_start") + 1).alias("dense_rank")] if dense else []),
             F.when(F.col("_n") > 1, (rank - 1).cast("double") / (F.col("_n") - 1).cast("double"))
             .otherwise(0.0)
             .alias("percent_rank"),

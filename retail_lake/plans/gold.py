@@ -522,7 +522,7 @@ def campaign_performance(tx: DataFrame, campaigns: DataFrame, buyers: bool = Tru
 def spend_rank_in_region(tx: DataFrame) -> DataFrame:
     """Customers of a region by spend: percent rank from the lowest."""
     spend = tx.groupBy("region", F.col("entity").alias("customer_id")).agg(F.sum("amount").alias("spend"))
-    ranked = ranks(spend, "region", "spend", "customer_id", descending=False)
+    ranked = ranks(spend, "region", "spend", "customer_id", descending=False, dense=False)
     return ranked.select("region", "customer_id", dbl(F.col("spend")).alias("spend"), "percent_rank")
 
 

@@ -202,13 +202,13 @@ def region_marketing(tx: DataFrame, campaigns: DataFrame, fanout_safe: bool = Fa
 def cohorts(tx: DataFrame) -> DataFrame:
     """Customers by month of first purchase who buy again n months later.
 
-    The months of a customer are gathered as a set, which the calendar bounds.
+    Sales shrink to one row per customer and month before they are shuffled by customer.
     """
-    months = tx.groupBy("entity").agg(
-        F.collect_set(F.trunc("transaction_date", "month")).alias("months")
-    )
+    months = tx.select("entity", F.trunc("transaction_date", "month").alias("_m")).distinct()
+    own = Window.partitionBy("entity")
     return (
-        months.select(F.array_min("months").alias("cohort_month"), F.explode("months").alias("_m"))
+        months.filter(F.col("_m").isNotNull())
+        .select(F.min("_m").over(own).alias("cohort_month"), "_m")
         .withColumn(
             "months_since",
             (F.year("_m") - F.year("cohort_month")) * 12 + F.month("_m") - F.month("cohort_month"),

@@ -157,3 +157,17 @@ def test_strategies_give_the_same_multiset_on_the_test_tables(lake):
     promos = lake.promotions("promotion_id", "region", "start_date", "end_date")
     args = (["region"], "transaction_date", "start_date", "end_date", "left")
     assert bag(interval_join(tx, promos, *args, "range")) == bag(interval_join(tx, promos, *args, "days"))
+
+
+def test_open_ended_periods_make_no_rows_beyond_the_facts(spark):
+    facts = spark.createDataFrame([(1, on(5), "n", 1), (2, on(8), "n", 1)], "id long, transaction_date date, region string, who int")
+    dims = spark.createDataFrame(
+        [(1, "n", dt.date(1, 1, 1), dt.date(9999, 12, 31)), (2, "n", on(6), dt.date(9999, 12, 31)), (3, "n", on(9), on(20))],
+        "k long, region string, start_date date, end_date date",
+    )
+    out = interval_join(facts, dims, ["region"], "transaction_date", "start_date", "end_date")
+    assert bag(out.select("id", "k")) == bag(spark.createDataFrame([(1, 1), (2, 1), (2, 2)], "id long, k long"))
+    plan = out.select("id", "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "least" in plan
+    counted = distinct_in_intervals(facts, dims, "region", "transaction_date", "who", "start_date", "end_date", "n")
+    assert {r["k"]: r["n"] for r in counted.collect()} == {1: 1, 2: 1, 3: 0}
