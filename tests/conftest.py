@@ -22,9 +22,10 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
-    from retail_lake.session import configure
+    from retail_lake.session import configure, release
 
     yield configure(session)
+    release(session)
     session.stop()
 
 
