@@ -286,9 +286,9 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     led = freeze(_open(asks(members.filter("cls = grp and size > 1")), members.filter("size > 1"), k, t))
     rest = inside.join(led.select(F.col("b").alias("cls")), "cls", "left_anti")
     asking = freeze(rest.unionByName(foreign))
-    asked = members.join(asking.select("grp").distinct(), "grp", "left_semi")
-    queries = asking.join(members.select("cls", "text"), "cls").join(sizes.select("grp", "blocks"), "grp")
-    return rows, freeze(led.unionByName(_open(asks(queries), asked, k, t)))
+    # what is asked for is narrow until the texts join, so they are shuffled twice and no more
+    queries = asking.join(sizes.select("grp", "blocks"), "grp").join(members.select("cls", "text"), "cls")
+    return rows, freeze(led.unionByName(_open(asks(queries), members, k, t)))
 
 
 def near_groups(docs: DataFrame, key: str, text: str, k: int = 5, t: int = 80) -> DataFrame:
