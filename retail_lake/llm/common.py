@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retail_lake.session import freeze
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -15,6 +17,17 @@ def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``freeze``, then have the shuffle files behind the frame removed.
+
+    Spark's cleaner removes shuffles that nothing refers to any more, but learns of them only when
+    the driver collects its garbage, which a small driver heap may not do for a long time.
+    """
+    out = freeze(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z, all else unchanged."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

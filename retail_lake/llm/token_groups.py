@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_lake.llm.common import likely, without
+from retail_lake.llm.common import likely, settled, without
 from retail_lake.llm.components import components
 from retail_lake.llm.words import SPACED, Words, find, mix, slices
 from retail_lake.session import freeze
@@ -241,7 +241,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     ).withColumn("text_key", F.md5("text"))
     sets = freeze(token_sets(texts, k, t, frequent_tokens(texts, k)))
     first = sets.filter("n > 0").groupBy("key_a", "key_b").agg(F.min("row").alias("cls"))
-    rows = freeze(
+    rows = settled(
         sets.select("row", "doc_id", "text_key", "n", "key_a", "key_b")
         .join(first, ["key_a", "key_b"], "left")
         .select("row", "doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls"))
@@ -254,12 +254,12 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     )
     lead = heads.groupBy("token").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = heads.join(lead, "token")  # tokens of one class alone are gone
-    shared = freeze(shared.select("cls", "token", "lead", (F.col("df") > HOT).alias("hot")))
+    shared = settled(shared.select("cls", "token", "lead", (F.col("df") > HOT).alias("hot")))
     facts = freeze(_groups(shared, sets.select(F.col("row").alias("cls"), "n", "need")))
     grouped = freeze(
         shared.select("cls", "token", "hot").join(facts.select("cls", "whole", "grp"), "cls")
     )
-    foreign = freeze(_over_the_bound(grouped, facts))
+    foreign = settled(_over_the_bound(grouped, facts))
     group = facts.select("cls", "grp")
     inside = group.filter("cls <> grp")
 
@@ -275,7 +275,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     )
     distinct = likely(texts.select("text_key", "text"), placed, "text_key").filter("likely")
     distinct = distinct.groupBy("text_key").agg(F.first("text").alias("text"))
-    members = freeze(distinct.join(placed, "text_key").drop("text_key"))
+    members = settled(distinct.join(placed, "text_key").drop("text_key"))
 
     def asks(rows: DataFrame) -> DataFrame:
         block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block")
@@ -283,7 +283,7 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
 
     # first the leaders ask their groups; then members not like their leader, and outsiders over
     # the bound, ask all of the group
-    led = freeze(_open(asks(members.filter("cls = grp and size > 1")), members.filter("size > 1"), k, t))
+    led = settled(_open(asks(members.filter("cls = grp and size > 1")), members.filter("size > 1"), k, t))
     rest = inside.join(led.select(F.col("b").alias("cls")), "cls", "left_anti")
     asking = freeze(rest.unionByName(foreign))
     # what is asked for is narrow until the texts join, so they are shuffled twice and no more
