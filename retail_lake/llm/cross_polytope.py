@@ -3,8 +3,8 @@
 A vector is rotated by three rounds of random signs and fast Hadamard transforms; its hash is the
 axis (with sign) nearest to it. A bucket of a table joins HASHES such values. Every vector is a
 member of one bucket per table and asks PROBES buckets: its own and those reached by the next best
-axes. Members and askers of a bucket are compared in tiles, in double precision; no pair leaves
-its task. A pair that meets several times is counted at its first meeting only, which both
+axes. Members and askers of a bucket are both cut into tiles; every tile of members meets every
+tile of askers, in double precision, and no pair is kept beyond its block of 512 askers. A pair that meets several times is counted at its first meeting only, which both
 vectors' bucket numbers tell. Equal vectors of one label are compared as one, with their number.
 """
 
@@ -22,8 +22,8 @@ from retail_lake.llm.components import components
 from retail_lake.session import freeze
 
 TABLES, HASHES, PROBES = 6, 2, 8
-#: Members of a bucket that one task compares with the askers at a time.
-TILE = 1_024
+#: Members of a bucket, and askers, that one task compares at a time.
+TILE, ASKERS = 1_024, 4_096
 _NEXT_BEST = 4
 
 
@@ -105,6 +105,21 @@ def _first_meetings(a: np.ndarray, b: np.ndarray, id_a: np.ndarray, id_b: np.nda
     return ~earlier & ask[:, table] & (~back[:, table] | (id_a < id_b))
 
 
+def _fold(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``root`` (the least name of each set) with the sets of every pair (a, b) made one."""
+    while len(a):
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))  # a name is its own root here
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
+
+
 def _tiles(met: DataFrame, least: float, tables: int, probes: int) -> DataFrame:
     """(cls, links, root) for the vectors of every tile."""
 
@@ -118,31 +133,22 @@ def _tiles(met: DataFrame, least: float, tables: int, probes: int) -> DataFrame:
         members, askers = np.flatnonzero(member), np.flatnonzero(~member)
         names, spot = np.unique(cls, return_inverse=True)
         links, root = np.zeros(len(names), dtype=np.int64), np.arange(len(names))
-        pairs = [np.zeros((2, 0), dtype=np.int64)]
         for at in range(0, len(askers), 512):
             rows = askers[at : at + 512]
             i, j = np.nonzero(x[rows] @ x[members].T >= least)
             i, j = rows[i], members[j]
             other = cls[i] != cls[j]
             i, j = i[other], j[other]
-            pairs.append(np.stack([spot[i], spot[j]]))
+            root = _fold(root, spot[i], spot[j])
             for cut in range(0, len(i), 20_000):
                 a, b = i[cut : cut + 20_000], j[cut : cut + 20_000]
                 first = _first_meetings(codes[a], codes[b], cls[a], cls[b], which)
                 np.add.at(links, spot[a[first]], weight[b[first]])
                 np.add.at(links, spot[b[first]], weight[a[first]])
-        a, b = np.concatenate(pairs, axis=1)
-        while True:  # the least name along the pairs
-            before = root.copy()
-            np.minimum.at(root, a, root[b])
-            np.minimum.at(root, b, root[a])
-            root = root[root]
-            if (before == root).all():
-                break
         keep = (links > 0) | (root != np.arange(len(root)))
         return pa.table({"cls": names[keep], "links": links[keep], "root": names[root[keep]]})
 
-    return met.groupBy("table", "cell", "tile").applyInArrow(run, "cls long, links long, root long")
+    return met.groupBy("table", "cell", "tile", "ask_tile").applyInArrow(run, "cls long, links long, root long")
 
 
 def near_vectors(
@@ -200,13 +206,26 @@ def near_vectors(
         asks.groupBy("table", "cell")
         .agg(F.count_if("own").alias("members"), F.count(F.lit(1)).alias("askers"))
         .filter("members > 0 and askers > 1")
-        .select("table", "cell", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
+        .select(
+            "table",
+            "cell",
+            F.ceil(F.col("members") / TILE).cast("int").alias("tiles"),
+            F.ceil(F.col("askers") / ASKERS).cast("int").alias("ask_tiles"),
+        )
     )
     met = asks.join(cells, ["table", "cell"])
-    tile = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    as_member = met.filter("own").select("table", "cell", tile.alias("tile"), "cls", F.lit(True).alias("member"))
+
+    def part(tiles: str) -> F.Column:
+        return F.pmod(F.xxhash64("cls"), F.col(tiles)).cast("int")
+
+    def each(tiles: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(tiles) - 1))
+
+    as_member = met.filter("own").select(
+        "table", "cell", part("tiles").alias("tile"), each("ask_tiles").alias("ask_tile"), "cls", F.lit(True).alias("member")
+    )
     as_asker = met.select(
-        "table", "cell", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "cls", F.lit(False).alias("member")
+        "table", "cell", each("tiles").alias("tile"), part("ask_tiles").alias("ask_tile"), "cls", F.lit(False).alias("member")
     )
     full = as_member.unionByName(as_asker).join(hashed.select("cls", "unit", "codes", "weight"), "cls")
     found = freeze(_tiles(full, least, tables, probes))

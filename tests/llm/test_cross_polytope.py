@@ -1,5 +1,6 @@
 import numpy as np
 
+from retail_lake.llm import cross_polytope
 from retail_lake.llm.cross_polytope import _hadamard, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, cls string"
@@ -52,6 +53,26 @@ def test_recall_of_close_pairs(spark):
     assert want > 200 and 0.9 * want <= got <= want
 
 
+def test_one_large_group_stays_in_bounded_tiles(spark, monkeypatch):
+    """Both sides of a bucket are cut, so no task holds all askers; links and components stay exact."""
+    monkeypatch.setattr(cross_polytope, "TILE", 16)
+    monkeypatch.setattr(cross_polytope, "ASKERS", 32, raising=False)
+    largest, tiles = [], cross_polytope._tiles
+
+    def watched(met, *more):
+        keys = [c for c in met.columns if c not in ("cls", "member", "unit", "codes", "weight")]
+        largest.append(met.groupBy(*keys).count().agg({"count": "max"}).first()[0])
+        return tiles(met, *more)
+
+    monkeypatch.setattr(cross_polytope, "_tiles", watched)
+    random = np.random.default_rng(7)
+    base = random.normal(size=20)
+    rows = [(i, (base + random.normal(size=20) * 0.02).tolist(), 0, "x") for i in range(250)]
+    got = sorted((tuple(r) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == brute(rows)
+    assert largest[0] <= 2 * (16 + 32)
+
+
 def test_empty_table_and_transform(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     x = np.eye(8)
