@@ -4,7 +4,7 @@ Equal sets are one class. Similar classes form groups: a class follows the small
 most of its leading tokens. The matrix holds, per token, the groups whose members have it
 among their leading tokens; counting a class's tokens against it bounds its overlap with every
 group at once, and only groups over the bound are opened. Opened groups are compared block by
-block, first against the union of the block's tokens, then against its members.
+block with parts of those that ask, first against the union of the block's tokens, then against its members.
 
 Tokens of many classes are hot and left out wherever the others suffice, so chance meetings grow
 with the rows, not with their square.
@@ -16,7 +16,7 @@ n - alpha + l tokens (l at most alpha). The order only decides how much work is
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,10 @@ FREQUENT, FREQUENT_KEPT = 1e-3, 1 << 18
 COUNTED = 4_000_000
 #: Members of a group that one task compares at a time.
 BLOCK = 512
+#: Classes asking a group that one task compares with a block, and bytes of text on either side.
+ASKED, BLOCK_BYTES = 4_096, 16 << 20
+#: Further leaders of a group with more than BLOCK members that are not like its leader.
+LEADERS = 4
 
 
 def shingles(found: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +132,7 @@ def token_sets(texts: DataFrame, k: int, t: int, frequent: np.ndarray) -> DataFr
                 cuts = pa.array(np.concatenate([[0], np.cumsum([len(h) for h in heads])]), pa.int32())
                 columns = [
                     pa.array(np.arange(serial, serial + len(values))),
-                    *(batch.column(c).slice(done, len(values)) for c in (0, 2)),
+                    *(batch.column(c).slice(done, len(values)) for c in (0, 2, 3)),
                     pa.array(sizes, pa.int64()),
                     pa.array(key[:, 0]),
                     pa.array(key[:, 1]),
@@ -137,11 +141,11 @@ def token_sets(texts: DataFrame, k: int, t: int, frequent: np.ndarray) -> DataFr
                 ]
                 serial += len(values)
                 done += len(values)
-                names = ["row", "doc_id", "text_key", "n", "key_a", "key_b", "need", "head"]
+                names = ["row", "doc_id", "text_key", "bytes", "n", "key_a", "key_b", "need", "head"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "row long, doc_id long, text_key string, n long, key_a long, key_b long, need int, head array<long>"
-    return texts.select("doc_id", "text", "text_key").mapInArrow(run, schema)
+    schema = "row long, doc_id long, text_key string, bytes long, n long, key_a long, key_b long, need int, head array<long>"
+    return texts.select("doc_id", "text", "text_key", F.octet_length("text").cast("long")).mapInArrow(run, schema)
 
 
 def _similar(inter, n_a, n_b, t: int):
@@ -163,6 +167,8 @@ def _open(queries: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
             tokens, owner = tokens[order], owner[order]
             union, begin = np.unique(tokens, return_index=True)
             begin = np.append(begin, len(tokens))
+            label = np.arange(len(sets))  # members joined so far have one label
+            place = {name: i for i, name in enumerate(names)}
             for cls, text in zip(asking.column("q_cls").to_pylist(), asking.column("q_text").to_pylist(), strict=True):
                 own = token_set(text.encode(), k)
                 at = np.minimum(np.searchsorted(union, own), len(union) - 1)
@@ -172,14 +178,17 @@ def _open(queries: DataFrame, members: DataFrame, k: int, t: int) -> DataFrame:
                     continue
                 spans = [owner[begin[i] : begin[i + 1]] for i in at.tolist()]
                 inter = np.bincount(np.concatenate(spans), minlength=len(sets))
-                for i in np.flatnonzero(_similar(inter, len(own), sizes, t)).tolist():
-                    if names[i] != cls:
-                        a.append(cls)
-                        b.append(names[i])
+                alike = np.flatnonzero(_similar(inter, len(own), sizes, t))
+                met, example = np.unique(label[alike], return_index=True)
+                itself = label[place[cls]] if cls in place else -1
+                for i in alike[example[met != itself]].tolist():
+                    a.append(cls)
+                    b.append(names[i])
+                label[np.isin(label, met)] = itself if itself >= 0 else met.min(initial=len(sets))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    asked = queries.groupBy("q_grp", "q_block")
-    return asked.cogroup(members.groupBy("grp", "block")).applyInArrow(run, "a long, b long")
+    asked = queries.groupBy("q_grp", "q_block", "q_salt")
+    return asked.cogroup(members.groupBy("grp", "block", "salt")).applyInArrow(run, "a long, b long")
 
 
 def _groups(shared: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -192,7 +201,7 @@ def _groups(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     own = shared.groupBy("cls").agg(F.count_if("hot").alias("hots")).join(sizes, "cls")
     led = F.when(F.col("best.votes") >= F.col("need"), -F.col("best.col2")).otherwise(F.col("cls"))
     whole = (F.col("hots") >= F.col("need")) | (F.col("n") <= 2 * SHARED)
-    return own.join(best, "cls").select("cls", "n", "need", "hots", whole.alias("whole"), led.alias("grp"))
+    return own.join(best, "cls").select("cls", "n", "need", "bytes", "hots", whole.alias("whole"), led.alias("grp"))
 
 
 def _over_the_bound(grouped: DataFrame, facts: DataFrame) -> DataFrame:
@@ -255,40 +264,94 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     lead = heads.groupBy("token").agg(F.min("cls").alias("lead"), F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = heads.join(lead, "token")  # tokens of one class alone are gone
     shared = settled(shared.select("cls", "token", "lead", (F.col("df") > HOT).alias("hot")))
-    facts = freeze(_groups(shared, sets.select(F.col("row").alias("cls"), "n", "need")))
+    facts = freeze(_groups(shared, sets.select(F.col("row").alias("cls"), "n", "need", "bytes")))
     grouped = freeze(
         shared.select("cls", "token", "hot").join(facts.select("cls", "whole", "grp"), "cls")
     )
     foreign = settled(_over_the_bound(grouped, facts))
-    group = facts.select("cls", "grp")
-    inside = group.filter("cls <> grp")
+    group = facts.select("cls", "grp", "bytes")
+    inside = group.filter("cls <> grp").select("cls", "grp")
 
     # texts of the classes that meet any other, with their place in a group
     needed = inside.select("cls").union(inside.select("grp")).union(foreign.select("cls")).union(
         foreign.join(group.select("grp", F.col("cls").alias("member")), "grp").select("member")
     ).distinct()
-    sizes = group.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
+
+    def parts(most: int) -> F.Column:
+        return F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(most), F.sum("bytes") / F.lit(BLOCK_BYTES))).cast("int")
+
+    sizes = group.groupBy("grp").agg(parts(BLOCK).alias("blocks"), F.count(F.lit(1)).alias("size"))
     place = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block")
     placed = freeze(
-        group.join(needed, "cls", "left_semi").join(sizes, "grp").select("cls", "grp", "blocks", "size", place)
+        group.select("cls", "grp").join(needed, "cls", "left_semi").join(sizes, "grp").select("cls", "grp", "blocks", "size", place)
         .join(rows.filter("row = cls").select("cls", "text_key"), "cls")
     )
     distinct = likely(texts.select("text_key", "text"), placed, "text_key").filter("likely")
     distinct = distinct.groupBy("text_key").agg(F.first("text").alias("text"))
     members = settled(distinct.join(placed, "text_key").drop("text_key"))
 
-    def asks(rows: DataFrame) -> DataFrame:
+    def asks(rows: DataFrame, salt: F.Column) -> DataFrame:
         block = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block")
-        return rows.select(F.col("grp").alias("q_grp"), block, F.col("cls").alias("q_cls"), F.col("text").alias("q_text"))
+        return rows.select(
+            F.col("grp").alias("q_grp"), block, salt.alias("q_salt"), F.col("cls").alias("q_cls"), F.col("text").alias("q_text")
+        )
 
     # first the leaders ask their groups; then members not like their leader, and outsiders over
     # the bound, ask all of the group
-    led = settled(_open(asks(members.filter("cls = grp and size > 1")), members.filter("size > 1"), k, t))
-    rest = inside.join(led.select(F.col("b").alias("cls")), "cls", "left_anti")
+    once = members.withColumn("salt", F.lit(0))
+    led = settled(_open(asks(members.filter("cls = grp and size > 1"), F.lit(0)), once.filter("size > 1"), k, t))
+    rest, more = _rest(inside, led, lambda leaders: settled(
+        _open(
+            asks(members.join(leaders.select("cls"), "cls", "left_semi"), F.lit(0)),
+            once.join(leaders.select("grp"), "grp", "left_semi"),
+            k,
+            t,
+        )
+    ))
     asking = freeze(rest.unionByName(foreign))
+    salts = asking.join(group.select("cls", "bytes"), "cls").groupBy("grp").agg(parts(ASKED).alias("salts")).filter("salts > 1")
+    salts = freeze(salts)  # few: only groups that very many ask
+    salted = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
     # what is asked for is narrow until the texts join, so they are shuffled twice and no more
-    queries = asking.join(sizes.select("grp", "blocks"), "grp").join(members.select("cls", "text"), "cls")
-    return rows, freeze(led.unionByName(_open(asks(queries), members, k, t)))
+    queries = (
+        asking.join(sizes.select("grp", "blocks"), "grp").join(salts, "grp", "left").join(members.select("cls", "text"), "cls")
+    )
+    part = F.pmod(F.xxhash64("cls"), F.coalesce("salts", F.lit(1))).cast("int")
+    found = _open(asks(queries, part), members.join(salts, "grp", "left").withColumn("salt", salted), k, t)
+    return rows, freeze(led.unionByName(more).unionByName(found))
+
+
+def _rest(inside: DataFrame, led: DataFrame, ask: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(cls, grp): the members that must ask all of their group; and the links found on the way.
+
+    A pair of one group is found if either side asks. Members that the leaders' links have joined
+    to the largest part of their group need not ask, for any two of them are in one component. In
+    groups with many others, more leaders are tried first, which ask all of the group.
+    """
+    apart = inside.join(led.select(F.col("b").alias("cls")), "cls", "left_anti")
+    none = led.limit(0)
+    crowded, links, leaders = None, none, None
+    for _ in range(LEADERS):
+        apart = freeze(apart)
+        counted = apart.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.min_by("cls", F.xxhash64("cls")).alias("cls"))
+        chosen = freeze(counted.filter(F.col("n") > BLOCK).select("cls", "grp"))
+        if chosen.isEmpty():
+            break
+        crowded = chosen.select("grp") if crowded is None else crowded
+        found = ask(chosen)
+        links = links.unionByName(found)
+        leaders = chosen.select("cls") if leaders is None else leaders.union(chosen.select("cls"))
+        apart = apart.join(found.select(F.col("b").alias("cls")).union(chosen.select("cls")).distinct(), "cls", "left_anti")
+    if crowded is None:
+        return apart, none
+    first = led.join(crowded.withColumnRenamed("grp", "a"), "a", "left_semi")
+    joined = components(first.unionByName(links)).withColumnRenamed("node", "cls")
+    pool = inside.join(crowded, "grp", "left_semi").join(joined, "cls", "left").withColumn("part", F.coalesce("root", "cls"))
+    pool = freeze(pool.select("cls", "grp", "part"))
+    counts = pool.groupBy("grp", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("grp").agg(F.max_by("part", F.struct("n", "part")).alias("largest"))
+    left = pool.join(largest, "grp").filter("part <> largest").join(leaders, "cls", "left_anti").select("cls", "grp")
+    return apart.join(crowded, "grp", "left_anti").select("cls", "grp").unionByName(left), links
 
 
 def near_groups(docs: DataFrame, key: str, text: str, k: int = 5, t: int = 80) -> DataFrame:

@@ -108,3 +108,36 @@ def test_components_of_paths_stars_and_cycles(spark):
     for r in got:
         groups.setdefault(r["root"], set()).add(root[r["node"]])
     assert len(groups) == 5 and all(len(g) == 1 for g in groups.values())
+
+
+@pytest.mark.parametrize("leaders", [0, 4])
+def test_group_unlike_its_leader_is_bounded(spark, monkeypatch, leaders):
+    """Members alike but not like their leader: a task holds few askers, and links only span."""
+    for name, value in (("BLOCK", 16), ("ASKED", 24), ("LEADERS", leaders)):
+        monkeypatch.setattr(token_groups, name, value, raising=False)
+    largest, asked, open_ = [], [], token_groups._open
+
+    def watched(queries, *more):
+        counts = queries.groupBy(*[c for c in queries.columns if c not in ("q_cls", "q_text")]).count()
+        largest.append(counts.agg({"count": "max"}).first()[0] or 0)
+        asked.append(queries.count())
+        return open_(queries, *more)
+
+    monkeypatch.setattr(token_groups, "_open", watched)
+    rng = random.Random(11)
+    base = [f"a{i}" for i in range(60)]
+    first = base[:]
+    first[10] = first[30] = first[50] = "other"
+    rows = [(0, " ".join(first), "x", "y")]
+    for i in range(1, 120):
+        copy = base[:]
+        copy[rng.randrange(60)] = f"new{i}"
+        rows.append((i, " ".join(copy), "x", "y"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    _, links = token_groups.similar_classes(docs, "doc_id", "text", 3, 80)
+    assert links.count() <= 8 * 5 * (16 + 24)  # a task's links only span; all pairs are 119 * 118
+    assert max(largest) <= 2 * 24
+    if leaders:
+        assert sum(asked) < 120 * 8 / 2  # without more leaders all members ask all of eight blocks
+    got = near_groups(docs, "doc_id", "text", 3, 80).select("doc_id", "n_shingles", "component_id")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 3, 80)
