@@ -2,7 +2,8 @@
 
 The field tags tokens as beginning, inside or outside of a secret value, from the shape of the
 token and its neighbours, the neighbouring words and a few facts about the file; Viterbi decodes
-it. It is trained on what the rules find in at most SAMPLE texts, and adds spans that the rules
+it. It is trained on parts that hold what the rules find, drawn from all texts, and on parts of at
+most SAMPLE texts that hold nothing, and adds spans that the rules
 miss, such as a key of the usual shape after another word.
 
 Nearly all tokens are plain words among plain words. If the trained weights prove that such a
@@ -12,6 +13,7 @@ with the same result as decoding the whole text; else whole texts are decoded.
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Texts the field is trained on, stretches taken from them, and rounds of training.
 SAMPLE, STRETCHES, ROUNDS = 20_000, 6_000, 60
+#: Tokens of a part of a stretch that is learned from.
+PART = 200
 KINDS = ("assign", "access", "hex", "crf")
 
 # fixed values: the base rules
@@ -322,32 +326,73 @@ def all_spans(text: str, field: Field | None) -> list[tuple[int, int, int]]:
     return sorted(base + more)
 
 
+def parts_of(tags: np.ndarray, most: int = PART) -> list[tuple[int, int]]:
+    """Cuts a stretch into parts of at most ``most`` tokens, and never within a labelled value.
+
+    Only a value that is longer itself is cut off.
+    """
+    out, at = [], 0
+    while at < len(tags):
+        end = stop = min(at + most, len(tags))
+        while end > at and end < len(tags) and tags[end] == INSIDE:
+            end -= 1
+        if end == at:  # a value longer than a part
+            end, after = stop, stop
+            while after < len(tags) and tags[after] == INSIDE:
+                after += 1
+            out.append((at, end))
+            at = after
+            continue
+        out.append((at, end))
+        at = end
+    return out
+
+
 def learn(docs: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Field | None:
-    """Train on the stretches of a fixed sample of texts, chosen by a hash of their ids."""
+    """Train on parts with a secret from all texts, and on others from a fixed sample of texts.
+
+    Both are chosen by hashes and bounded: at most half of STRETCHES hold a secret.
+    """
     rows = docs.select(F.col(key).cast("long").alias("pick"), F.col(text).cast("string").alias("text"))
     chosen = rows.select("pick").filter("pick is not null").distinct().orderBy(F.xxhash64("pick"), "pick").limit(sample)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            order, xs, ys = [], [], []
-            for pick, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                known = values(text or "")
-                for spans, features in stretches(text or ""):
-                    tags = np.zeros(len(spans), dtype=np.int8)
-                    for a, b in known:
-                        own = [i for i, (x, y) in enumerate(spans) if x < b and a < y]
-                        tags[own] = INSIDE
-                        tags[own[:1]] = BEGIN
-                    order.append(pick)
-                    xs.append(features.astype("<i4").tobytes())
-                    ys.append(tags.tobytes())
-            columns = [pa.array(order, pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["pick", "x", "y"])
-
+    def parts(secret: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                order, xs, ys = [], [], []
+                for pick, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if secret and not base_spans(text or ""):
+                        continue
+                    known = values(text or "")
+                    for spans, features in stretches(text or ""):
+                        tags = np.zeros(len(spans), dtype=np.int8)
+                        starts, ends = np.array(spans).T
+                        for a, b in known:
+                            low, high = np.searchsorted(ends, a, side="right"), np.searchsorted(starts, b)
+                            if low < high:
+                                tags[low:high] = INSIDE
+                                tags[low] = BEGIN
+                        for low, high in parts_of(tags):
+                            if tags[low:high].any() == secret:
+                                order.append(pick)
+                                xs.append(features[low:high].astype("<i4").tobytes())
+                                ys.append(tags[low:high].tobytes())
+                columns = [pa.array(order, pa.int64()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["pick", "x", "y"])
+
+        return run
+
+    def drawn(texts: DataFrame, secret: bool, most: int) -> pa.Table:
+        found = texts.select("pick", "text").mapInArrow(parts(secret), "pick long, x binary, y binary")
+        return found.orderBy(F.xxhash64("pick", "x"), "x").limit(most).toArrow()
+
+    with_secret = drawn(rows.filter("pick is not null"), True, STRETCHES // 2)
+    if not with_secret.num_rows:
+        logging.getLogger(__name__).warning("no text holds a secret that the rules find: the field is not trained, the rules work alone")
+        return None
     # at most ``sample`` ids
-    found = rows.join(F.broadcast(chosen), "pick").mapInArrow(run, "pick long, x binary, y binary")
-    # a stretch may be long: short ones first teach as much
-    table = found.filter("length(y) <= 200").orderBy(F.xxhash64("pick"), "x").limit(STRETCHES).toArrow()
+    others = drawn(rows.join(F.broadcast(chosen), "pick"), False, STRETCHES - with_secret.num_rows)
+    table = pa.concat_tables([with_secret, others])
     width = len(_OFFSETS) + len(_WORDS_AT) + 1
     examples = [
         (np.frombuffer(x, "<i4").reshape(-1, width), np.frombuffer(y, np.int8).astype(np.int64))

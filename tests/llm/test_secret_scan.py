@@ -105,3 +105,15 @@ def test_scan_and_redact(spark):
 def test_no_secrets_to_learn_from(spark):
     df = spark.createDataFrame([(1, "plain words 12", 3, "x")], SCHEMA)
     assert s.learn(df, "doc_id", "text") is None and s.scan(df).first()["spans"] == []
+
+
+def test_rare_secrets_and_long_stretches_are_learned(spark):
+    """A secret outside of the sample, and one in a config of far more than 200 telling tokens."""
+    lines = [f'"item{i}": {i},' for i in range(200)]
+    config = "\n".join([*lines, '"password": "Zx81kQpl92",', *lines])
+    for doc in (5, 6):
+        rows = [(i, "plain words 12", 14, "x") for i in range(30) if i != doc] + [(doc, config, len(config), "x")]
+        assert s.learn(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", sample=1) is not None
+    tags = s.np.array([0] * 198 + [1] + [2] * 5 + [0] * 300)
+    cut = s.parts_of(tags)
+    assert cut[0] == (0, 198) and cut[1] == (198, 398) and cut[-1][1] == len(tags)
