@@ -177,7 +177,7 @@ def matches(index: DataFrame, wanted: DataFrame, slop: int = 0) -> DataFrame:
         .select("phrase", "row", "start")
     )
     rest = ranked.filter(F.size("ranked") > 2).select(
-        "phrase", F.explode(F.slice("ranked", 3, WINDOW)).alias("x"), (F.size("ranked") - 2).alias("needed")
+        "phrase", F.explode(F.slice("ranked", 3, F.size("ranked"))).alias("x"), (F.size("ranked") - 2).alias("needed")
     ).select("phrase", F.col("x.term").alias("tx"), F.col("x.offset").alias("ox"), "needed")
     whole = (
         both.join(rest, "phrase")

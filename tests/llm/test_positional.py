@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from retail_lake.llm import positional
 from retail_lake.llm.positional import build_index, clean, contamination, matches, phrases
 
 SCHEMA = "doc_id long, text string, row string, terms string"
@@ -82,3 +83,12 @@ def test_proximity(spark):
         return {r["doc_id"] for r in matches(index, wanted, slop).join(index.select("row", "doc_id"), "row").collect()}
 
     assert found(0) == {2} and found(1) == {1, 2}
+
+
+def test_phrases_longer_than_twelve_words_are_found(spark):
+    words = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"before {words} after"), (2, words.replace("w14", "other"))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, words)], "item_id long, text string")
+    for window, second in ((13, 14), (15, 0)):
+        got = positional.contamination(docs, items, window=window).select("doc_id", "n_hit").collect()
+        assert sorted(map(tuple, got)) == [(1, 15), (2, second)]
