@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import cross_polytope, licences, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
+from retail_lake.llm import byte_bpe, cross_polytope, licences, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
 from retail_lake.llm.common import RANKS, VOCABULARY, read_table
 from retail_lake.session import configure
 
@@ -89,6 +89,16 @@ def op10_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return found.drop("text_key")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = byte_bpe.encode(read_table(spark, sf_dir, "documents"), "doc_id", "text", RANKS)
+    return byte_bpe.decode(encoded).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = [
     op1_warc_capture_index,
     op2_differencing_packing,
@@ -100,6 +110,7 @@ QUERIES = [
     op8_token_group_join,
     op9_licence_tfidf,
     op10_positional_decontamination,
+    op11_byte_bpe,
 ]
 
 
