@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import byte_bpe, cross_polytope, licences, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
-from retail_lake.llm.common import RANKS, VOCABULARY, read_table
+from retail_lake.llm import byte_bpe, cross_polytope, licences, merkle, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
+from retail_lake.llm.common import RANKS, VOCABULARY, lower_ascii, read_table
 from retail_lake.session import configure
 
 
@@ -99,6 +99,26 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document by a checksum of its id claims a text in lower case, and its proof must tell."""
+    docs = read_table(spark, sf_dir, "documents")
+    names = ["doc_id", "source", "lang", "n_chars"]
+    other = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    rows = docs.select(
+        "doc_id",
+        "lang",
+        merkle.row_digest([F.col(c) for c in (*names, "text")]).alias("leaf"),
+        F.when(other, merkle.row_digest([*map(F.col, names), lower_ascii(F.col("text"))])).alias("claim"),
+    )
+    root = merkle.folded("claimed")
+    return (
+        merkle.manifest(rows, "doc_id", "lang", "leaf", {"claim": "claim"})
+        .withColumn("claimed", F.coalesce("claim", "leaf"))
+        .select("doc_id", "leaf", "subroot", "root", merkle.proof_digest().alias("proof_sha256"), root.alias("folded_root"))
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+    )
+
+
 QUERIES = [
     op1_warc_capture_index,
     op2_differencing_packing,
@@ -111,6 +131,7 @@ QUERIES = [
     op9_licence_tfidf,
     op10_positional_decontamination,
     op11_byte_bpe,
+    op12_merkle_manifest,
 ]
 
 

@@ -118,10 +118,94 @@ SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = compo
 FROM c LEFT JOIN n ON n.a = c.a
 """
 
+def _field(expression: str) -> str:
+    text = f"CAST({expression} AS VARCHAR)"
+    return f"coalesce(CAST(strlen({text}) AS VARCHAR) || ':' || {text}, '-')"
+
+
+def _crc32(text: str) -> str:
+    """The checksum of an ASCII text, bit by bit."""
+    of_byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    start = "[CAST(4294967295 AS BIGINT)]"
+    return f"xor(4294967295, list_reduce(list_concat({start}, {codes}), lambda c, b: {of_byte}))"
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs with the nodes of each level (grp, pos, node, n) and the neighbours of each node in its run."""
+    parts = [
+        f"{name}0 AS (SELECT grp, pos, node, count(*) OVER (PARTITION BY grp) AS n FROM {leaves})",
+    ]
+    run = "PARTITION BY grp, pos // 8 ORDER BY pos ROWS BETWEEN"
+    for k in range(levels):
+        parts.append(f"""{name}s{k} AS (
+    SELECT grp, pos,
+           coalesce(string_agg(node, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+           coalesce(string_agg(node, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+    FROM {name}{k} WHERE n > 1
+)""")
+        parts.append(f"""{name}{k + 1} AS (
+    SELECT grp, pos, node, count(*) OVER (PARTITION BY grp) AS n
+    FROM (
+        SELECT grp, pos // 8 AS pos, sha256(string_agg(node, '' ORDER BY pos)) AS node
+        FROM {name}{k} WHERE n > 1 GROUP BY 1, 2
+    )
+)""")
+    roots = " UNION ALL ".join(f"SELECT grp, node FROM {name}{k} WHERE n = 1" for k in range(levels + 1))
+    parts.append(f"{name}root AS ({roots})")
+    return ",\n".join(parts)
+
+
+def _merkle(levels: int = 8, group_levels: int = 4) -> str:
+    """Up to 8 levels of documents in a language and 4 of languages; both sides of a step are joined by place."""
+    names = ["doc_id", "source", "lang", "n_chars"]
+    leaf = " || ".join(_field(c) for c in [*names, "text"])
+    changed = " || ".join([*map(_field, names), _field(_LOWER.format("text"))])
+    steps = [(f"ds{k}", "d.grp", f"d.pos // {8**k}") for k in range(levels)]
+    steps += [(f"ts{k}", "0", f"g.pos // {8**k}") for k in range(group_levels)]
+    joins, proof, folds = [], [], []
+    for i, (table, grp, pos) in enumerate(steps):
+        joins.append(f"LEFT JOIN {table} x{i} ON x{i}.grp = {grp} AND x{i}.pos = {pos}")
+        proof.append(f"coalesce(x{i}.l || x{i}.r, '')")
+    for i in range(len(steps)):
+        before = "claimed" if i == 0 else f"f{i - 1}"
+        folds.append(f"CASE WHEN l{i} IS NULL THEN {before} ELSE sha256(l{i} || {before} || r{i}) END AS f{i}")
+    sides = ", ".join(f"x{i}.l AS l{i}, x{i}.r AS r{i}" for i in range(len(steps)))
+    nested = "met"
+    for fold in folds:
+        nested = f"(SELECT *, {fold} FROM {nested})"
+    return f"""
+WITH docs AS (
+    SELECT doc_id, lang, sha256({leaf}) AS leaf,
+           CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN sha256({changed}) END AS other
+    FROM documents
+), g AS (
+    SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM (SELECT DISTINCT lang FROM docs)
+), placed AS (
+    SELECT doc_id, leaf, coalesce(other, leaf) AS claimed, g.pos AS grp,
+           row_number() OVER (PARTITION BY g.pos ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+    FROM docs JOIN g ON docs.lang IS NOT DISTINCT FROM g.lang
+), leaves AS (
+    SELECT grp, pos, leaf AS node FROM placed
+), {_tree("d", "leaves", levels)},
+subroots AS (
+    SELECT 0 AS grp, grp AS pos, node FROM droot
+), {_tree("t", "subroots", group_levels)},
+met AS (
+    SELECT d.doc_id, d.leaf, d.claimed, droot.node AS subroot, troot.node AS root, sha256({" || ".join(proof)}) AS proof_sha256, {sides}
+    FROM placed d JOIN g ON d.grp = g.pos JOIN droot ON droot.grp = d.grp CROSS JOIN troot
+    {" ".join(joins)}
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, f{len(steps) - 1} AS folded_root, f{len(steps) - 1} = root AS verified
+FROM {nested}
+"""
+
+
 ALL = {
     "op3_cross_polytope": VECTORS,
     "op7_suffix_dedup": REPEATS,
     "op8_token_group_join": GROUPS,
     "op1_warc_capture_index": WARC,
     "op10_positional_decontamination": CONTAMINATION,
+    "op12_merkle_manifest": _merkle(),
 }

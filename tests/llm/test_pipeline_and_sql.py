@@ -14,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ALL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "benchmark"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         con.execute(f"create view {table} as select * from read_parquet('{SMALL}/{table}.parquet')")
     found = con.sql(ALL[name])
     got = entry.queries()[name](spark, SMALL)
