@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retail_lake.llm import byte_bpe, cross_polytope, licences, merkle, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
+from retail_lake.llm import byte_bpe, conversations, cross_polytope, licences, merkle, packing, positional, quality, secret_scan, sql, suffix_dedup, token_groups, token_output, warc
 from retail_lake.llm.common import RANKS, VOCABULARY, lower_ascii, read_table
 from retail_lake.session import configure
 
@@ -119,6 +119,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(read_table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, "conv_id", "turn", "role", "text", "copy")
+
+
 QUERIES = [
     op1_warc_capture_index,
     op2_differencing_packing,
@@ -132,6 +137,7 @@ QUERIES = [
     op10_positional_decontamination,
     op11_byte_bpe,
     op12_merkle_manifest,
+    op13_conversation_repair,
 ]
 
 
