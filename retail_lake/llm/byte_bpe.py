@@ -6,7 +6,7 @@ in their overlap where a pre-token of both begins: the pattern looks only ahead,
 on both find the same pre-tokens, and by induction over the chunks all of them are those of the
 whole text. Boundaries that text beyond a chunk's window could still move are not used. A text with
 an overlap in which the chunks do not meet (one pre-token longer than the overlap) is pre-tokenised
-whole. Then each pre-token is merged by rank, and remembered by the worker.
+whole. Then each distinct pre-token is merged by rank, once per worker.
 
 A text that fits one window is one chunk without neighbours and is encoded where it is read. Chunks
 of longer texts are dealt over all tasks; equal texts are encoded once.
@@ -15,7 +15,6 @@ of longer texts are dealt over all tasks; equal texts are encoded once.
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -23,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ PIECES_KEPT = 500_000
 #: Characters of the longest pre-token that is remembered.
 LONGEST_KEPT = 256
 #: Characters of text handed on together.
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 PATTERN = regex.compile(public_tokenizers.PATTERN)
 _CHUNKS = "text_key binary, chunk long, begin long, stop boolean, text string"
@@ -54,50 +54,18 @@ def _table(path: str) -> tuple[dict[bytes, int], list[bytes]]:
     return ranks, tokens
 
 
-def merge(raw: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: the pair of least rank is merged, the leftmost of equal ones, until none is left.
-
-    A heap of pairs over a linked list of parts, so that a pre-token of n bytes takes n log n steps.
-    """
-    whole = ranks.get(raw)
-    if whole is not None:
-        return [whole]
-    n = len(raw)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    stop = list(range(1, n + 1))  # the part that starts at i ends at stop[i]; 0 once merged away
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get(raw[i : i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 2))
-    heapq.heapify(heap)
-    while heap:
-        _, i, end = heapq.heappop(heap)
-        j = after[i] if stop[i] else n
-        if j >= n or stop[j] != end:  # one of the two parts has changed since
-            continue
-        stop[i], stop[j], after[i] = end, 0, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            rank = ranks.get(raw[i : stop[after[j]]])
-            if rank is not None:
-                heapq.heappush(heap, (rank, i, stop[after[j]]))
-        if before[i] >= 0:
-            rank = ranks.get(raw[before[i] : end])
-            if rank is not None:
-                heapq.heappush(heap, (rank, before[i], end))
-    return [ranks[raw[i : stop[i]]] for i in range(n) if stop[i]]
-
-
 class Pieces(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit numbers, worked out when first asked for."""
 
     def __init__(self, path: str):
         super().__init__()
-        self.ranks, _ = _table(path)
+        ranks, _ = _table(path)
+        self.merge = tiktoken.Encoding(
+            "ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        ).encode_ordinary
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode(), self.ranks), dtype="<u4").tobytes()
+        ids = np.array(self.merge(piece), dtype="<u4").tobytes()  # one match of the pattern stays one
         if len(piece) <= LONGEST_KEPT:
             if len(self) >= PIECES_KEPT:
                 self.clear()
@@ -286,11 +254,11 @@ def decode(encoded: DataFrame, ids: str = "ids", ranks: str = RANKS, name: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, tokens = _table(ranks)
+        get = tokens.__getitem__
         for batch in batches:
-            raw = [
-                None if i is None else b"".join([tokens[t] for t in i])
-                for i in batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            ]
+            # one row at a time: its ids as Python numbers take ten times the room
+            lists = batch.column(batch.schema.get_field_index(ids))
+            raw = [b"".join(map(get, row.values.to_numpy().tolist())) if row.is_valid else None for row in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*kept, name])
 
     return encoded.select(*kept).mapInArrow(run, schema)

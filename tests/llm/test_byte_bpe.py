@@ -25,14 +25,21 @@ def odd_texts(n, seed=7):
     return ["".join(draw.choices(bits, k=draw.randint(0, 120))) for _ in range(n)]
 
 
-def test_merges_as_the_library(library):
-    ranks, tokens = byte_bpe._table(RANKS)
+def test_pieces_as_the_library(library):
+    pieces, (_, tokens) = byte_bpe.pieces_of(RANKS), byte_bpe._table(RANKS)
     for text in [*odd_texts(200), "ab" * 5_000, "\0" * 300, "zqxj" * 77]:
-        ids = [i for p in byte_bpe.PATTERN.findall(text) for i in byte_bpe.merge(p.encode(), ranks)]
+        ids = pieces.ids(byte_bpe.PATTERN.findall(text)).tolist()
         assert ids == library(text)
         assert b"".join(tokens[i] for i in ids) == text.encode()
 
 
+def test_every_character_is_split_as_the_library_does(library):
+    pieces = byte_bpe.pieces_of(RANKS)
+    for first in range(0, 0x110000, 64):
+        text = "".join(f"a{c}1{c}{c}a {c}'s " for c in map(chr, range(first, first + 64)) if not 0xD800 <= ord(c) < 0xE000)
+        assert pieces.ids(byte_bpe.PATTERN.findall(text)).tolist() == library(text)
+
+
 @pytest.mark.parametrize("chunk, overlap", [(16, 8), (40, 24), (65_536, 1_024)])
 def test_chunks_of_any_size_give_the_ids_of_the_whole_text(spark, library, chunk, overlap):
     texts = [*odd_texts(60), None, "", "y" * 500, " " * 90, "it's " * 60 + "we're", "a\n\n\nb " * 50]
