@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STRETCH = 32
+STRETCH = 8
 #: States: nothing written, or the role that was written last.
 EMPTY, SYSTEM, USER, ASSISTANT = range(4)
 ACCEPTING = (EMPTY, ASSISTANT)
@@ -127,9 +127,13 @@ def _reachable(rows: tuple, start: int, goal: int) -> bool:
     return True
 
 
-@lru_cache(maxsize=4_000)
-def ways(rows: tuple[tuple[str, int], ...], start: int) -> tuple[tuple[int, int, str], ...]:
-    """(end state, cost, letters) for every state that a stretch can end in."""
+@lru_cache(maxsize=20_000)
+def ways(stretch: str, start: int) -> tuple[tuple[int, int, str], ...]:
+    """(end state, cost, letters) for every state that a stretch can end in.
+
+    The stretch is a role initial and a kind for each row: texts do not matter, so stretches repeat.
+    """
+    rows = tuple(zip(stretch[::2], map(int, stretch[1::2])))
     found = ((goal, search(rows, start, goal)) for goal in range(4))
     return tuple((goal, *way) for goal, way in found if way)
 
@@ -165,10 +169,10 @@ class Repair:
             self._advance()
 
     def _advance(self) -> None:
-        rows = tuple(p[:2] for p in self.pending)
+        stretch = "".join(f"{initial or '?'}{kind}" for initial, kind, _, _ in self.pending)
         best: dict[int, tuple] = {}
         for state, (cost, letters, _, _) in self.held.items():
-            for goal, more, path in ways(rows, state):
+            for goal, more, path in ways(stretch, state):
                 way = (cost + more, letters + path, state, path)
                 if goal not in best or way < best[goal]:
                     best[goal] = way
