@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retail_lake.operators.intervals import interval_join
-from retail_lake.operators.ranking import exact_ntile
+from retail_lake.operators.ranking import exact_ntiles
 from retail_lake.plans.reports import logistics, marketing, promotions
 from retail_lake.sources.lake import ParquetLake
 
@@ -71,7 +71,7 @@ def window_ntile(k: ParquetLake) -> DataFrame:
 
 
 def ranged_ntile(k: ParquetLake) -> DataFrame:
-    return exact_ntile(spend(k), 5, [F.col("v").asc(), F.col("entity").asc()], "b")
+    return exact_ntiles(spend(k), 5, "entity", {"b": ("v", False)})
 
 
 CASES = {

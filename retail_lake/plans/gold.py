@@ -18,7 +18,7 @@ from retail_lake.operators.intervals import (
     interval_join,
     interval_sums,
 )
-from retail_lake.operators.ranking import exact_ntile, ranks
+from retail_lake.operators.ranking import exact_ntiles, ranks
 from retail_lake.plans.silver import Day, day
 from retail_lake.session import freeze
 
@@ -155,16 +155,6 @@ def _purchases(tx: DataFrame, promotions: DataFrame, campaigns: DataFrame, fanou
     )
 
 
-def _scores(df: DataFrame, who: str, plan: dict[str, tuple[str, bool]]) -> DataFrame:
-    """Add a 1-5 score per measure; ``plan`` is score name -> (measure, descending)."""
-    out = df
-    for name, (measure, descending) in plan.items():
-        c = F.col(measure)
-        first = c.desc_nulls_last() if descending else c.asc_nulls_last()
-        out = exact_ntile(out, 5, [first, F.col(who).asc_nulls_last()], name)
-    return out
-
-
 def rfm(
     tx: DataFrame, promotions: DataFrame, campaigns: DataFrame, as_of: Day, fanout_safe: bool = False
 ) -> DataFrame:
@@ -175,8 +165,9 @@ def rfm(
         "frequency",
         F.col("spend").alias("monetary"),
     )
-    scored = _scores(
+    scored = exact_ntiles(
         base,
+        5,
         "customer_id",
         {
             "recency_score": ("recency", True),
@@ -240,13 +231,12 @@ def churn(tx: DataFrame, as_of: Day) -> DataFrame:
 
 
 def client_profile(
-    tx: DataFrame, customers: DataFrame, promotions: DataFrame, as_of: Day, scores: bool = True
+    tx: DataFrame, customers: DataFrame, promotions: DataFrame, as_of: Day
 ) -> DataFrame:
     """One row per buyer: purchases, scores, person and segments.
 
     Scores are quintiles over buyers; the promotion share is the share of transactions with
-    at least one open promotion; segments follow the fixed cuts in ``labels``. A reader that
-    does not look at the scores saves their sorts with ``scores=False``, which leaves them NULL.
+    at least one open promotion; segments follow the fixed cuts in ``labels``.
     """
     days = active_days(promotions).select(F.col("region").alias("_r"), F.col("day").alias("_d"))
     bought = (
@@ -267,10 +257,7 @@ def client_profile(
         "score_frequence": ("nb_achats", False),
         "score_monetaire": ("total_depense", False),
     }
-    if scores:
-        scored = _scores(bought, "client", plan)
-    else:
-        scored = bought.withColumns({name: F.lit(None).cast("int") for name in plan})
+    scored = exact_ntiles(bought, 5, "client", plan)
     people = customers.select(
         F.col("customer_id").alias("_customer"),
         "name",
@@ -529,6 +516,5 @@ def spend_rank_in_region(tx: DataFrame) -> DataFrame:
 def spend_quartiles(tx: DataFrame) -> DataFrame:
     """Customers in four groups of equal size by spend."""
     spend = tx.groupBy(F.col("entity").alias("customer_id")).agg(F.sum("amount").alias("spend"))
-    order = [F.col("spend").asc_nulls_last(), F.col("customer_id").asc_nulls_last()]
-    out = exact_ntile(spend, 4, order, "quartile")
+    out = exact_ntiles(spend, 4, "customer_id", {"quartile": ("spend", False)})
     return out.select("customer_id", dbl(F.col("spend")).alias("spend"), "quartile")

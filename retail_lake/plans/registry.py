@@ -340,8 +340,8 @@ def _gold() -> dict[str, Query]:
     }
 
 
-def profile(k: ParquetLake, scores: bool = True) -> DataFrame:
-    return gold.client_profile(k.transactions(*SALE), k.customers(), k.promotions(*PERIOD), k.as_of, scores)
+def profile(k: ParquetLake) -> DataFrame:
+    return gold.client_profile(k.transactions(*SALE), k.customers(), k.promotions(*PERIOD), k.as_of)
 
 
 def daily(k: ParquetLake) -> DataFrame:
@@ -367,8 +367,8 @@ def campaign_performance(k: ParquetLake, buyers: bool = True) -> DataFrame:
 def _features() -> dict[str, Query]:
     f = features
 
-    def clients(k, scores=True):
-        return f.clients(profile(k, scores))
+    def clients(k):
+        return f.clients(profile(k))
 
     def ventes(k):
         return f.sales(daily(k))
@@ -384,11 +384,11 @@ def _features() -> dict[str, Query]:
 
     return {
         "feat_clients": clients,
-        "feat_clients_count": lambda k: f.row_count(clients(k, scores=False), "clients"),
+        "feat_clients_count": lambda k: f.row_count(clients(k), "clients"),
         "feat_clients_rfm_dist": lambda k: f.clients_rfm_dist(clients(k)),
         "feat_clients_rfm_top": lambda k: f.clients_rfm_top(clients(k)),
-        "feat_clients_flags": lambda k: f.clients_flags(clients(k, scores=False)),
-        "feat_clients_age": lambda k: f.clients_age(clients(k, scores=False)),
+        "feat_clients_flags": lambda k: f.clients_flags(clients(k)),
+        "feat_clients_age": lambda k: f.clients_age(clients(k)),
         "feat_clients_preview": lambda k: f.preview(clients(k), "client"),
         "feat_sales": ventes,
         "feat_sales_count": lambda k: f.row_count(ventes(k), "ventes"),
@@ -420,7 +420,7 @@ def _features() -> dict[str, Query]:
         "feat_campaigns_flags": lambda k: f.campaigns_flags(campagnes(k)),
         "feat_campaigns_combos": lambda k: f.campaigns_combos(campagnes(k, buyers=False)),
         "feat_campaigns_preview": lambda k: f.preview(campagnes(k), "campaign_id"),
-        "feat_summary": lambda k: f.summary(clients(k, scores=False), produits(k), promos(k), campagnes(k, buyers=False)),
+        "feat_summary": lambda k: f.summary(clients(k), produits(k), promos(k), campagnes(k, buyers=False)),
     }
 
 

@@ -193,7 +193,7 @@ def negative_reviews(reviews: DataFrame) -> DataFrame:
 def rank_in_category(reviews: DataFrame) -> DataFrame:
     """Every product ranked by its number of reviews within its category."""
     per_product = reviews.groupBy("product_category", "product_id").agg(rows().alias("review_count"))
-    return ranks(per_product, "product_category", "review_count", "product_id").select(
+    return ranks(per_product, "product_category", "review_count", "product_id", percent=False).select(
         "product_category",
         "product_id",
         "review_count",

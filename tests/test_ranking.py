@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from retail_lake.operators.ranking import exact_ntile, global_row_number, keep_latest, ranks, top_k
+from retail_lake.operators.ranking import exact_ntiles, global_row_number, keep_latest, ranks, top_k
 from tests.helpers import bag, day, rows
 
 
@@ -24,7 +24,7 @@ def skewed(spark):
 def test_ntile_equals_the_window_function(skewed, k):
     order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
     expected = skewed.withColumn("b", F.ntile(k).over(Window.orderBy(*order)))
-    got = exact_ntile(skewed, k, order, "b")
+    got = exact_ntiles(skewed, k, "id", {"b": ("v", True)})
     assert bag(got) == bag(expected)
     sizes = [r["count"] for r in got.groupBy("b").count().collect()]
     assert len(sizes) == k and max(sizes) - min(sizes) <= 1
@@ -32,13 +32,29 @@ def test_ntile_equals_the_window_function(skewed, k):
 
 def test_ntile_with_fewer_rows_than_buckets(spark):
     df = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, v int")
-    order = [F.col("v").asc(), F.col("id").asc()]
-    assert {r["id"]: r["b"] for r in exact_ntile(df, 5, order, "b").collect()} == {2: 1, 3: 2, 1: 3}
+    assert {r["id"]: r["b"] for r in exact_ntiles(df, 5, "id", {"b": ("v", False)}).collect()} == {2: 1, 3: 2, 1: 3}
 
 
 def test_ntile_of_nothing(spark):
     df = spark.createDataFrame([], "id long, v int")
-    assert exact_ntile(df, 5, [F.col("v").asc(), F.col("id").asc()], "b").count() == 0
+    assert exact_ntiles(df, 5, "id", {"b": ("v", False)}).count() == 0
+
+
+def test_several_ntiles_of_mixed_types_with_nulls(spark):
+    data = [(i if i else None, None if i % 9 == 0 else float(i % 4), day("2000-01-01") if i % 3 else None, f"t{i % 5}") for i in range(503)]
+    df = spark.createDataFrame(data, "id long, x double, d date, t string").repartition(5)
+    plan = {"a": ("x", False), "b": ("d", True), "c": ("t", True)}
+    expected = df
+    for name, (measure, descending) in plan.items():
+        by = F.col(measure).desc_nulls_last() if descending else F.col(measure).asc_nulls_last()
+        expected = expected.withColumn(name, F.ntile(6).over(Window.orderBy(by, F.col("id").asc_nulls_last())))
+    assert bag(exact_ntiles(df, 6, "id", plan)) == bag(expected)
+
+
+def test_only_narrow_rows_are_sorted(skewed):
+    wide = skewed.withColumn("payload", F.repeat(F.lit("x"), 100))
+    text = exact_ntiles(wide, 5, "id", {"b": ("v", True)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in text and "Window" not in text.split("scalar-subquery")[0]
 
 
 def test_row_numbers_are_dense_and_ordered(skewed):
@@ -64,6 +80,37 @@ def test_ranks_equal_the_window_functions(skewed, descending):
     assert bag(ranks(skewed, "grp", "v", "id", descending)) == bag(expected)
 
 
+def test_ranks_over_many_tasks_with_a_run_across_them(spark):
+    """Half of all rows tie, so a run and its group pass through whole tasks; nulls and NaN tie as well."""
+    data = [(i, ["a", "a", "a", None][i % 4], [5.0, 5.0, None, float("nan"), float(i % 11)][i % 5]) for i in range(900)]
+    df = spark.createDataFrame(data, "id long, grp string, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    w = Window.partitionBy("grp").orderBy(F.col("v").desc_nulls_last())
+    expected = df.select(
+        "*",
+        F.row_number().over(w.orderBy(F.col("v").desc_nulls_last(), "id")).cast("long").alias("row_number"),
+        F.rank().over(w).cast("long").alias("rank"),
+        F.dense_rank().over(w).cast("long").alias("dense_rank"),
+        F.percent_rank().over(w).alias("percent_rank"),
+    )
+    got = ranks(df, "grp", "v", "id")
+    assert got.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(map(str, got.collect())) == sorted(map(str, expected.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", before[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
+def test_ranks_of_nothing(spark):
+    assert ranks(spark.createDataFrame([], "id long, g string, v int"), "g", "v", "id").collect() == []
+
+
+def test_ranks_do_not_join_on_the_measure(skewed):
+    text = ranks(skewed, "grp", "v", "id", percent=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join") == 1 and "strategy=broadcast" in text
+
+
 def test_keep_latest(spark):
     df = spark.createDataFrame(
         [
