@@ -39,7 +39,6 @@ LONGEST_KEPT = 256
 #: Characters of text handed on together.
 BATCH_CHARS = 4_000_000
 
-PATTERN = regex.compile(public_tokenizers.PATTERN)
 _CHUNKS = "text_key binary, chunk long, begin long, stop boolean, text string"
 
 
@@ -54,6 +53,47 @@ def _table(path: str) -> tuple[dict[bytes, int], list[bytes]]:
     return ranks, tokens
 
 
+@cache
+def _patterns() -> tuple[regex.Pattern, regex.Pattern, regex.Pattern]:
+    """The pattern, one for characters that newer Unicode tables class otherwise, and one that finds those.
+
+    The library's own tables decide what is a letter or a number: a pattern of one class, with bytes
+    for a vocabulary, gives back the characters of the class out of all there are.
+    """
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    exact, odd = public_tokenizers.PATTERN, []
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        only = tiktoken.Encoding(
+            "class", pat_str=name, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={}
+        )
+        theirs, ours = set(only.decode(only.encode_ordinary(every))), set(regex.findall(name, every))
+        if theirs != ours:
+            more, fewer = _ranges(theirs - ours), _ranges(ours - theirs)
+            odd += [more, fewer]
+            exact = exact.replace(name, f"[[{name}{more}]--[{fewer}]]" if fewer else f"[{name}{more}]")
+    exact = regex.compile(exact, regex.V1)
+    if not odd:
+        return exact, exact, regex.compile("(?!)")
+    return regex.compile(public_tokenizers.PATTERN), exact, regex.compile(f"[{''.join(odd)}]")
+
+
+def _ranges(characters: set[str]) -> str:
+    """The inside of a character class."""
+    found: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if found and code == found[-1][1] + 1:
+            found[-1][1] = code
+        else:
+            found.append([code, code])
+    return "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in found)
+
+
+def pattern(text: str) -> regex.Pattern:
+    """What cuts this text into pre-tokens, the same for any part of it."""
+    plain, exact, odd = _patterns()
+    return plain if text.isascii() or not odd.search(text) else exact
+
+
 class Pieces(dict):
     """Pre-token to its ids as little-endian unsigned 32-bit numbers, worked out when first asked for."""
 
@@ -112,7 +152,7 @@ def _whole(ranks: str, text: str, keep: list[str]) -> Callable:
         pieces = pieces_of(ranks)
         for part in _slices(batches, text):
             table = pa.Table.from_batches([part])
-            found = [pieces.ids(PATTERN.findall(t)) for t in _texts(table[text].combine_chunks())]
+            found = [pieces.ids(pattern(t).findall(t)) for t in _texts(table[text].combine_chunks())]
             columns = [table[c].combine_chunks() for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, _lists(found)], [*keep, "ids"])
 
@@ -145,7 +185,7 @@ def _pre_tokenise(chunk: int, overlap: int) -> Callable:
         for batch in batches:
             for row in batch.to_pylist():
                 text, begin = row["text"], row["begin"]
-                ends = np.fromiter((m.end() for m in PATTERN.finditer(text)), dtype=np.uint32)
+                ends = np.fromiter((m.end() for m in pattern(text).finditer(text)), dtype=np.uint32)
                 sure = len(text) if row["stop"] else len(text) - LOOKAHEAD - 1
                 starts = np.concatenate([[0], ends[ends <= sure]]).astype(np.int64)
                 head = begin + starts[starts < overlap]
