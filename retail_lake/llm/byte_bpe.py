@@ -33,11 +33,11 @@ CHUNK, OVERLAP = 65_536, 1_024  # characters
 #: A match is decided by the text up to its end and one character more, at least by its first three.
 LOOKAHEAD = 3
 #: Distinct pre-tokens a worker remembers; beyond it, it starts anew.
-PIECES_KEPT = 500_000
+PIECES_KEPT = 200_000
 #: Characters of the longest pre-token that is remembered.
 LONGEST_KEPT = 256
 #: Characters of text handed on together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 _CHUNKS = "text_key binary, chunk long, begin long, stop boolean, text string"
 
