@@ -26,6 +26,86 @@ def _held_days(fact: DataFrame, day: str) -> Column:
     return fact.agg(F.struct(F.min(day).alias("first"), F.max(day).alias("last"))).scalar()
 
 
+#: Blocks of days: a block of a level is eight of the level below, one of level 0 a day.
+_BITS = 3
+#: Levels that any calendar of the date type needs: 8 to the 8th days are more than 9,999 years.
+_LEVELS = 8
+
+
+def _top_level(held: Column) -> Column:
+    """The highest level with a block that can lie inside the held days."""
+    length = F.coalesce(F.datediff(held["last"], held["first"]), F.lit(0)) + 1
+    return sum(((length >= 1 << _BITS * level).cast("int") for level in range(2, _LEVELS)), (length >= 1 << _BITS).cast("int"))
+
+
+def _blocks_of(first: Column, last: Column) -> Column:
+    """The numbers of the fewest aligned blocks that together are the days from ``first`` to ``last``.
+
+    At each level those that no block of the next covers: at most seven on either side.
+    """
+
+    def inside(level: int) -> tuple[Column, Column]:
+        size = 1 << _BITS * level
+        return F.shiftright(first + (size - 1), _BITS * level), F.shiftright(last + 1, _BITS * level)
+
+    def run(level: int, low: Column, high: Column) -> Column:
+        base = F.lit(level << 32)
+        return F.when(low < high, F.sequence(base + low, base + high - 1)).otherwise(F.array().cast("array<long>"))
+
+    found = []
+    for level in range(_LEVELS):
+        low, high = inside(level)
+        above, beyond = inside(level + 1)
+        above, beyond = above * (1 << _BITS), beyond * (1 << _BITS)
+        covered = above < beyond
+        found.append(run(level, low, F.when(covered, above).otherwise(high)))
+        found.append(run(level, F.when(covered, beyond).otherwise(high), high))
+    return F.concat(*found)
+
+
+def _blocks_over(place: Column, top: Column) -> Column:
+    """The numbers of the blocks of all levels up to ``top`` that hold a day."""
+    return F.array_compact(
+        F.array(
+            *[
+                F.when(F.lit(level) <= top, F.lit(level << 32) + F.shiftright(place, _BITS * level))
+                for level in range(_LEVELS)
+            ]
+        )
+    )
+
+
+def _join_by_blocks(
+    fact: DataFrame, usable: DataFrame, by: Sequence[str], point: str, start: str, end: str, how: str
+) -> DataFrame:
+    """The block form of ``interval_join``; ``usable`` has its keys under ``_by_`` names."""
+    held = _held_days(fact, point)
+    first = F.datediff(F.greatest(F.col(start), held["first"]), held["first"])
+    last = F.datediff(F.least(F.col(end), held["last"]), held["first"])
+    blocks = (
+        usable.filter(held["first"].isNotNull() & (first <= last))
+        .withColumn("_own", F.explode(_blocks_of(first, last)))
+    )
+    place = F.datediff(F.col(point), held["first"])
+    spread = fact.withColumn("_block", F.explode(_blocks_over(place, _top_level(held))))
+    match = F.col("_block") == F.col("_own")
+    for key in by:
+        match &= F.col(key) == F.col(f"_by_{key}")
+    gone = ["_block", "_own", *[f"_by_{key}" for key in by]]
+    met = spread.join(blocks, match).drop(*gone)
+    if how == "inner":
+        return met
+    covered = active_days(
+        usable.withColumns({"_from": F.greatest(F.col(start), held["first"]), "_to": F.least(F.col(end), held["last"])}),
+        [f"_by_{key}" for key in by], "_from", "_to",
+    )
+    on_day = F.col(point) == F.col("day")
+    for key in by:
+        on_day &= F.col(key) == F.col(f"_by_{key}")
+    alone = fact.join(covered, on_day, "left_anti")
+    return alone if how == "left_anti" else met.unionByName(alone, allowMissingColumns=True)
+
+
 def interval_join(
     fact: DataFrame,
     dim: DataFrame,
@@ -46,6 +126,9 @@ def interval_join(
     broadcasts the days if they are small and splits partitions that are too large. With
     ``salts`` > 1 the facts of one day are spread further by a hash of ``salt_on``. ``range``
     joins on the keys and tests the bounds of each pair; it is for few and very long intervals.
+    ``blocks`` gives an interval one row per aligned block of 1, 8, 64, ... days that it is made of, at
+    most 14 a level, and a fact one row per level: for many long intervals, where ``days`` makes a row
+    per day. A pair still meets once. Facts that meet none are told by the days that any interval covers.
     """
     usable = _usable(dim, by, start, end)
     renamed = usable.select(
@@ -57,6 +140,8 @@ def interval_join(
     if strategy == "range":
         match &= F.col(point).between(F.col(start), F.col(end))
         return fact.join(renamed, match, how).drop(*[f"_by_{k}" for k in by])
+    if strategy == "blocks":
+        return _join_by_blocks(fact, renamed, by, point, start, end, how)
     held = _held_days(fact, point)
     clipped = renamed.withColumns(
         {"_from": F.greatest(F.col(start), held["first"]), "_to": F.least(F.col(end), held["last"])}
@@ -195,12 +280,15 @@ def distinct_in_intervals(
 ) -> DataFrame:
     """Add to every interval the number of distinct ``who`` with a fact in its days.
 
-    Someone counts once per interval, on the first day inside it: the day whose previous
-    day of theirs lies before the start. Facts are therefore reduced to counts per (group,
-    day, previous day), and intervals to their distinct (group, start, end), before they
-    meet; no row per fact and interval is made.
+    Someone counts once per interval, on the first day inside it: the day whose previous day of theirs
+    lies before the start. So this counts the pairs (day, previous day) with the day in the interval
+    and the previous day before it. Facts are reduced to such counts per group, added up per block of
+    days (of 1, 8, 64, ... days) and previous day. An interval is a few blocks, and in each it reads the
+    running sum over the previous days up to its start. Rows are at most levels x days x days of the
+    calendar for the facts and a few dozen per distinct interval; intervals and facts are not joined.
     """
     known = F.col(by).isNotNull() & F.col(day).isNotNull() & F.col(who).isNotNull()
+    held = _held_days(purchases, day)
     visits = purchases.filter(known).select(F.col(by).alias("_g"), F.col(who).alias("_who"), F.col(day).alias("_d")).distinct()
     own = Window.partitionBy("_g", "_who").orderBy("_d")  # of one person: bounded by the calendar
     cells = (
@@ -208,34 +296,47 @@ def distinct_in_intervals(
         .groupBy("_g", "_d", "_prev")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    held = _held_days(purchases, day)
-    dim = dim.withColumn("_end_held", F.when(F.col(end).isNotNull(), F.least(F.col(end), held["last"])))
-    names = [c for c in dim.columns if c != "_end_held"]
-    spans = _usable(dim, [by], start, "_end_held").groupBy(by, start).agg(F.max("_end_held").alias("_last"))
-    first = F.greatest(F.col(start), held["first"])
-    starts = spans.filter(held["first"].isNotNull() & (first <= F.col("_last"))).select(
-        F.col(by).alias("_sg"),
-        F.col(start).alias("_start"),
-        F.explode(F.sequence(first, "_last")).alias("_sd"),
-    )
-    fresh = (
-        starts.join(
-            cells,
-            (F.col("_sg") == F.col("_g"))
-            & (F.col("_sd") == F.col("_d"))
-            & (F.col("_prev").isNull() | (F.col("_prev") < F.col("_start"))),
-            "left",
+    place = F.datediff("_d", held["first"])
+    sums = (
+        cells.select(
+            "_g",
+            F.explode(_blocks_over(place, _top_level(held))).alias("_block"),
+            F.coalesce(F.datediff("_prev", held["first"]), F.lit(-1)).alias("_at"),
+            "_n",
         )
-        .groupBy("_sg", "_start", "_sd")
-        .agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n"))
+        .groupBy("_g", "_block", "_at")
+        .agg(F.sum("_n").alias("_n"))
     )
-    upto = Window.partitionBy("_sg", "_start").orderBy("_sd").rowsBetween(Window.unboundedPreceding, 0)
-    counts = fresh.select("_sg", "_start", F.col("_sd").alias("_end"), F.sum("_n").over(upto).alias(name))
-    return (
-        dim.join(
-            counts,
-            (F.col(by) == F.col("_sg")) & (F.col(start) == F.col("_start")) & (F.col("_end_held") == F.col("_end")),
-            "left",
-        )
-        .select(*names, F.coalesce(F.col(name), F.lit(0)).alias(name))
+    dim = dim.withColumns(
+        {
+            "_first_held": F.when(F.col(start).isNotNull(), F.greatest(F.col(start), held["first"])),
+            "_end_held": F.when(F.col(end).isNotNull(), F.least(F.col(end), held["last"])),
+        }
+    )
+    names = [c for c in dim.columns if c not in ("_first_held", "_end_held")]
+    spans = (
+        _usable(dim, [by], "_first_held", "_end_held")
+        .filter(held["first"].isNotNull())
+        .select(F.col(by).alias("_g"), F.col("_first_held").alias("_from"), F.col("_end_held").alias("_to"))
+        .distinct()
+    )
+    asked = spans.withColumn(
+        "_block", F.explode(_blocks_of(F.datediff("_from", held["first"]), F.datediff("_to", held["first"])))
+    )
+    # a question stands before the counts of its own day, since only earlier previous days are meant
+    lines = asked.select(
+        "_g", "_block", F.datediff("_from", held["first"]).alias("_at"), F.lit(0).cast("long").alias("_n"), "_from", "_to"
+    ).unionByName(sums, allowMissingColumns=True)
+    upto = (
+        Window.partitionBy("_g", "_block")  # at most a line per day, and the questions
+        .orderBy("_at", F.col("_from").isNull())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    counts = (
+        lines.withColumn("_sum", F.sum("_n").over(upto))
+        .filter(F.col("_from").isNotNull())
+        .groupBy(F.col("_g").alias("_sg"), F.col("_from").alias("_sf"), F.col("_to").alias("_st"))
+        .agg(F.sum("_sum").alias(name))
     )
+    same = (F.col(by) == F.col("_sg")) & (F.col("_first_held") == F.col("_sf")) & (F.col("_end_held") == F.col("_st"))
+    return dim.join(counts, same, "left").select(*names, F.coalesce(F.col(name), F.lit(0)).alias(name))

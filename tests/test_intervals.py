@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retail_lake.operators.intervals import (
+    _blocks_of,
     active_days,
     daily_totals,
     distinct_in_intervals,
@@ -77,6 +78,7 @@ def pairs(data, how):
     "options",
     [
         {"strategy": "range"},
+        {"strategy": "blocks"},
         {"strategy": "days"},
         {"strategy": "days", "salts": 5, "salt_on": "id"},
     ],
@@ -89,9 +91,38 @@ def test_join_equals_brute_force(data, facts, dims, how, options):
 
 
 def test_anti_join(data, facts, dims):
-    got = interval_join(facts, dims, ["region"], "transaction_date", "start_date", "end_date", "left_anti", "days")
     matched = {f for f, d in pairs(data, "inner")}
-    assert {r["id"] for r in got.collect()} == {f[0] for f in data[0]} - matched
+    for strategy in ("days", "blocks"):
+        got = interval_join(facts, dims, ["region"], "transaction_date", "start_date", "end_date", "left_anti", strategy)
+        assert {r["id"] for r in got.collect()} == {f[0] for f in data[0]} - matched
+        assert got.columns == facts.columns
+
+
+def test_blocks_are_a_tiling_of_the_days(spark):
+    spans = [(a, a + n) for a in (0, 1, 7, 8, 63, 500) for n in (0, 1, 6, 7, 8, 55, 64, 448, 5_000)]
+    df = spark.createDataFrame(spans, "a int, b int").select("a", "b", _blocks_of(F.col("a"), F.col("b")).alias("t"))
+    for a, b, tiles in df.collect():
+        parts = [divmod(t, 1 << 32) for t in tiles]
+        days = sorted(d for level, block in parts for d in range(block << 3 * level, (block + 1) << 3 * level))
+        assert days == list(range(a, b + 1))
+        assert len(tiles) <= 14 * 5
+
+
+def test_long_intervals_make_few_rows(spark):
+    """4,000 days: one row per day by days, at most 14 a level by blocks, and no pair in the count of distinct buyers."""
+    facts = spark.range(4_000).select(
+        F.date_add(F.lit(START), F.col("id").cast("int")).alias("transaction_date"), F.lit("n").alias("region"),
+        (F.col("id") % 7).alias("who"), "id",
+    )
+    dims = spark.createDataFrame([(j, "n", on(j), on(3_900 + j)) for j in range(50)], "k int, region string, start_date date, end_date date")
+    args = (facts, dims, ["region"], "transaction_date", "start_date", "end_date", "inner")
+    assert interval_join(*args, strategy="blocks").count() == interval_join(*args).count() == 50 * 3_901
+    blocks = dims.select(F.explode(_blocks_of(F.datediff("start_date", F.lit(START)), F.datediff("end_date", F.lit(START)))))
+    assert blocks.count() <= 50 * 14 * 4
+    counted = distinct_in_intervals(facts, dims, "region", "transaction_date", "who", "start_date", "end_date", "n")
+    assert {r["n"] for r in counted.collect()} == {7}
+    text = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Join") == 1  # only the answers to the intervals
 
 
 def test_active_days(data, dims):
