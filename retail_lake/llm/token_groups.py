@@ -204,19 +204,24 @@ def _groups(shared: DataFrame, sizes: DataFrame) -> DataFrame:
     return own.join(best, "cls").select("cls", "n", "need", "bytes", "hots", whole.alias("whole"), led.alias("grp"))
 
 
-def _over_the_bound(grouped: DataFrame, facts: DataFrame) -> DataFrame:
+def _over_the_bound(grouped: DataFrame, facts: DataFrame, t: int) -> DataFrame:
     """(cls, grp): the other groups whose tokens could hold enough of a class's.
 
-    Similar sets share SHARED leading tokens. If fewer of a class's are hot, one that is not hot
+    A token of a group counts only if some member that leads with it can be of similar size, so the
+    matrix keeps the smallest and largest set per token and group. Similar sets share SHARED leading tokens. If fewer of a class's are hot, one that is not hot
     is among them: such a class asks by its other tokens, of which it must share SHARED less its
     hot ones. All others (and tiny sets) ask among themselves by all tokens.
     """
+
+    def matrix(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("token", F.col("grp").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+
+    of_size = (F.col("hi") * 100 >= F.col("n") * t) & (F.col("lo") * t <= F.col("n") * 100)
     some = grouped.filter("not hot")
-    matrix = some.select("token", "grp").distinct().withColumnRenamed("grp", "other")
     plain = (
         some.filter("not whole")
-        .join(matrix, "token")
-        .filter("grp <> other")
+        .join(matrix(some), "token")
+        .filter(of_size & (F.col("grp") != F.col("other")))
         .groupBy("cls", "other")
         .agg(F.count(F.lit(1)).alias("bound"))
         .join(facts.select("cls", "need", "hots"), "cls")
@@ -225,10 +230,9 @@ def _over_the_bound(grouped: DataFrame, facts: DataFrame) -> DataFrame:
     )
     all_ = grouped.filter("whole")
     needs = facts.filter("whole").groupBy("grp").agg(F.min("need").alias("least")).withColumnRenamed("grp", "other")
-    matrix = all_.select("token", "grp").distinct().withColumnRenamed("grp", "other")
     whole = (
-        all_.join(matrix, "token")
-        .filter("other < grp")  # both sides would ask
+        all_.join(matrix(all_), "token")
+        .filter(of_size & (F.col("other") < F.col("grp")))  # both sides would ask
         .groupBy("cls", "other")
         .agg(F.count(F.lit(1)).alias("bound"))
         .join(facts.select("cls", "need"), "cls")
@@ -266,15 +270,15 @@ def similar_classes(docs: DataFrame, key: str, text: str, k: int, t: int) -> tup
     shared = settled(shared.select("cls", "token", "lead", (F.col("df") > HOT).alias("hot")))
     facts = freeze(_groups(shared, sets.select(F.col("row").alias("cls"), "n", "need", "bytes")))
     grouped = freeze(
-        shared.select("cls", "token", "hot").join(facts.select("cls", "whole", "grp"), "cls")
+        shared.select("cls", "token", "hot").join(facts.select("cls", "n", "whole", "grp"), "cls")
     )
-    foreign = settled(_over_the_bound(grouped, facts))
+    foreign = settled(_over_the_bound(grouped, facts, t))
     group = facts.select("cls", "grp", "bytes")
     inside = group.filter("cls <> grp").select("cls", "grp")
 
     # texts of the classes that meet any other, with their place in a group
     needed = inside.select("cls").union(inside.select("grp")).union(foreign.select("cls")).union(
-        foreign.join(group.select("grp", F.col("cls").alias("member")), "grp").select("member")
+        group.join(foreign.select("grp").distinct(), "grp", "left_semi").select("cls")
     ).distinct()
 
     def parts(most: int) -> F.Column:
