@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from retail_lake.llm import packing, positional, quality, secret_scan, token_groups
 from retail_lake.llm.common import RANKS, VOCABULARY, read_table
-from retail_lake.session import configure, scratch_dir
+from retail_lake.session import configure, discard, scope, scratch_dir
 
 #: The stages have no SQL form: a network and a random field are trained on the way.
 ORACLE_SQL = None
@@ -52,11 +52,21 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result is written as Parquet and read again.
+
+    What a stage writes on its way is deleted once its result is written; of the results, the last stays.
+    Null and empty texts, repeated rows, empty tables and columns with other names are handled by each
+    stage as its operator says; all stages but the last keep the columns of ``documents``.
+    """
     configure(spark)
     docs = read_table(spark, sf_dir, "documents")
+    base = f"{scratch_dir(spark)}/pipeline-{uuid4().hex}"
+    before = None
     for number, (name, stage) in enumerate(STAGES):
-        folder = f"{scratch_dir(spark)}/pipeline-{uuid4().hex}-{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+        folder = f"{base}-{number}-{name}"
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(folder)
+        if before:
+            discard(spark, before)
+        docs, before = spark.read.parquet(folder), folder
     return docs

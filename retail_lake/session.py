@@ -67,14 +67,15 @@ def scope(spark: SparkSession) -> Iterator[str]:
         yield folder
     finally:
         _scopes.remove(folder)
-        _delete(spark, folder)
+        discard(spark, folder)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all that the session has frozen; call it before ``spark.stop()``."""
-    _delete(spark, f"{checkpoint_dir(spark)}/frames-{spark.sparkContext.applicationId}")
+    discard(spark, f"{checkpoint_dir(spark)}/frames-{spark.sparkContext.applicationId}")
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def discard(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
