@@ -813,6 +813,24 @@ def _cleaning() -> dict[str, str]:
                {mean('t.amount')} as avg_transaction_value, {mean('p.discount_percentage * 100')} as avg_discount_pct
         from tx t join ({out["clean_promotions"]}) p on {PROMO_OPEN} group by 1"""
     out["ingest_rejects"] = f"select *, concat_ws(',', {named}) as faults from raw_text where {any_bad}"
+    out["json_rejects"] = out["ingest_rejects"]
+    refusals = {
+        "promotions": ("promo", "promotion_id", "start_date", {"reversed_or_open_period": ordered}),
+        "marketing_campaigns": ("camp", "campaign_id", "start_date", {"reversed_or_open_period": ordered}),
+        "inventory": (
+            "inv", "product_id, trim(warehouse)", "last_restock_date",
+            {"negative_stock": "and (current_stock is null or current_stock >= 0)"},
+        ),
+        "employee_records": (
+            "emp", "employee_id", "hire_date",
+            {"hired_before_birth": "and date_of_birth < hire_date", "hired_in_the_future": f"and hire_date <= {TODAY}"},
+        ),
+    }
+    for table, (short, keys, latest, rules) in refusals.items():
+        tests = [f"case when ({rule.removeprefix('and ')}) is not true then '{name}' end" for name, rule in rules.items()]
+        why = f", concat_ws(',', {', '.join(tests)}) as refused_by"
+        rows = cleaned(short, keys, latest, trims("warehouse") if short == "inv" else {}, why)
+        out[f"quarantine_{table}"] = f"select * from ({rows}) where refused_by <> ''"
     out["rejected_transactions"] = f"select *, concat_ws(',', {named}) as faults from raw_text where {any_bad}"
     return out
 

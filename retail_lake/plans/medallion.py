@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retail_lake.plans import features, gold
-from retail_lake.plans.silver import CLEANERS, Day
+from retail_lake.plans.silver import CLEANERS, RULES, Day, refused
 from retail_lake.session import configure
 from retail_lake.sources.readers import read_raw, rejects, scan, typed
-from retail_lake.sources.schemas import FORMATS, SCHEMAS
+from retail_lake.sources.schemas import SCHEMAS
 from retail_lake.sources.sinks import create_or_replace_table, load_counts
 
 # Tables joined or grouped by the same key over and over are written in buckets of it.
@@ -32,26 +32,26 @@ def _database(spark: SparkSession, name: str) -> None:
 def ingest(spark: SparkSession, paths: dict[str, str], database: str = "bronze") -> DataFrame:
     """Raw files to typed bronze tables, and what does not fit to a table of rejects for each.
 
-    Returns the row counts of both. JSON arrays are read by their schema and have no rejects.
+    Returns the row counts of both.
     """
     configure(spark)
     _database(spark, database)
     written = []
     for table, path in paths.items():
         raw = read_raw(spark, table, path)
-        delimited = FORMATS.get(table) != "json"
-        create_or_replace_table(typed(raw, SCHEMAS[table]) if delimited else raw, f"{database}.{table}")
-        written.append(table)
-        if delimited:
-            create_or_replace_table(rejects(raw, SCHEMAS[table]), f"{database}.{table}_rejects")
-            written.append(f"{table}_rejects")
+        create_or_replace_table(typed(raw, SCHEMAS[table]), f"{database}.{table}")
+        create_or_replace_table(rejects(raw, SCHEMAS[table]), f"{database}.{table}_rejects")
+        written += [table, f"{table}_rejects"]
     return load_counts({t: scan(spark, f"{database}.{t}") for t in written})
 
 
 def clean(
     spark: SparkSession, as_of: Day, source: str = "bronze", target: str = "silver", buckets: int = 0
 ) -> None:
-    """Bronze to silver; with ``buckets`` the keyed tables are bucketed."""
+    """Bronze to silver; with ``buckets`` the keyed tables are bucketed.
+
+    Rows that a rule refuses go to ``<table>_refused``, with the rules they break.
+    """
     configure(spark)
     _database(spark, target)
     for table, cleaner in CLEANERS.items():
@@ -62,6 +62,8 @@ def clean(
             f"{target}.{name}",
             bucket_by=(buckets, [key]) if buckets and key else None,
         )
+        if table in RULES:
+            create_or_replace_table(refused(table, scan(spark, f"{source}.{table}"), as_of), f"{target}.{table}_refused")
 
 
 def build_gold(spark: SparkSession, as_of: Day, source: str = "silver", target: str = "gold") -> None:

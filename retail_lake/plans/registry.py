@@ -476,6 +476,16 @@ def _json_array(k: ParquetLake) -> DataFrame:
     return readers.read_json_lines_array(k.spark, path, schema)
 
 
+def _json_rejects(k: ParquetLake) -> DataFrame:
+    """The rejects of one big array a file, whose objects are not on lines of their own."""
+    path = f"{scratch_dir(k.spark)}/json-{uuid4().hex}"
+    objects = k.raw_text_transactions().select(F.to_json(F.struct("*")).alias("value"))
+    by_part = objects.groupBy(F.spark_partition_id()).agg(F.array_join(F.collect_list("value"), ",\n  ").alias("value"))
+    by_part.select(F.concat(F.lit("["), "value", F.lit("]"))).write.text(path)
+    raw = readers.json_text(k.spark, path, TEXT_TRANSACTIONS)
+    return readers.rejects(raw, TEXT_TRANSACTIONS).drop(readers.BROKEN)
+
+
 def _nested_json(k: ParquetLake) -> DataFrame:
     nested = F.format_string('{"a": {"b": [%s]}}', "props")
     df = k.raw("events").select("event_id", nested.alias("props"))
@@ -497,6 +507,8 @@ def _cleaning() -> dict[str, Query]:
         out[f"clean_{table}"] = lambda k, t=table, c=cleaner: c(k.bronze(t), k.as_of)
     for table in SILVER:
         out[f"profile_{table}"] = lambda k, t=table: profiling.profile(k.bronze(t))
+    for table in silver.RULES:
+        out[f"quarantine_{table}"] = lambda k, t=table: silver.refused(t, k.bronze(t), k.as_of)
     for table, rules in profiling.FAULTS.items():
         out[f"faults_{table}"] = lambda k, t=table, r=rules: profiling.violations(k.bronze(t), r())
     out |= {
@@ -515,6 +527,7 @@ def _cleaning() -> dict[str, Query]:
         "cleaned_promo_by_discount": _cleaned_by_discount,
         "json_array_stores": _json_array,
         "json_nested": _nested_json,
+        "json_rejects": _json_rejects,
         "tsv_reviews": lambda k: _raw_file(k, "product_reviews"),
         "distribution_status": lambda k: profiling.distribution(k.shipping("status"), "status"),
         "duplicates_transactions": lambda k: profiling.duplicates(

@@ -43,9 +43,50 @@ def with_age(df: DataFrame, as_of: Day) -> DataFrame:
     return df.withColumn("age_group", labels.AGE_GROUP.of("age"))
 
 
-def _ordered_dates(df: DataFrame) -> DataFrame:
-    """Drop reversed and open intervals, add the length in days."""
-    df = df.filter(F.col("end_date") >= F.col("start_date"))
+def _period(as_of: Day) -> dict[str, Column]:
+    return {"reversed_or_open_period": F.col("end_date") >= F.col("start_date")}
+
+
+#: What a row must fulfil to be kept, per table; unknown does not.
+RULES = {
+    "promotions": _period,
+    "marketing_campaigns": _period,
+    "inventory": lambda as_of: {"negative_stock": F.col("current_stock").isNull() | (F.col("current_stock") >= 0)},
+    "employee_records": lambda as_of: {
+        "hired_before_birth": F.col("date_of_birth") < F.col("hire_date"),
+        "hired_in_the_future": F.col("hire_date") <= day(as_of),
+    },
+}
+
+
+def _broken(table: str, as_of: Day) -> Column:
+    """The names of the rules that a row breaks, comma-joined; empty if none."""
+    fulfilled = {name: F.coalesce(rule, F.lit(False)) for name, rule in RULES[table](as_of).items()}
+    return F.concat_ws(",", *[F.when(~rule, name) for name, rule in fulfilled.items()])
+
+
+def _kept(df: DataFrame, table: str, as_of: Day) -> DataFrame:
+    return df.filter(_broken(table, as_of) == "")
+
+
+def refused(table: str, df: DataFrame, as_of: Day) -> DataFrame:
+    """The rows that the cleaner of the table drops by its rules, as they are after keep-latest, and why."""
+    keys, latest = LATEST[table]
+    df = _trimmed(df, "warehouse") if table == "inventory" else df
+    latest_rows = keep_latest(df, keys, latest)
+    return latest_rows.withColumn("refused_by", _broken(table, as_of)).filter("refused_by <> ''")
+
+
+#: Key and date of the tables that have rules.
+LATEST = {
+    "promotions": (["promotion_id"], "start_date"),
+    "marketing_campaigns": (["campaign_id"], "start_date"),
+    "inventory": (["product_id", "warehouse"], "last_restock_date"),
+    "employee_records": (["employee_id"], "hire_date"),
+}
+
+
+def _with_length(df: DataFrame) -> DataFrame:
     return df.withColumn("duration_days", days_between("start_date", "end_date"))
 
 
@@ -61,15 +102,15 @@ def clean_customers(df: DataFrame, as_of: Day) -> DataFrame:
 
 
 def clean_promotions(df: DataFrame, as_of: Day, unit: str = "fraction") -> DataFrame:
-    df = keep_latest(df, ["promotion_id"], "start_date")
+    df = _kept(keep_latest(df, *LATEST["promotions"]), "promotions", as_of)
     df = fraction(df, "discount_percentage", unit)
-    return _ordered_dates(_trimmed(df, "product_category", "promotion_type", "region"))
+    return _with_length(_trimmed(df, "product_category", "promotion_type", "region"))
 
 
 def clean_campaigns(df: DataFrame, as_of: Day, unit: str = "fraction") -> DataFrame:
-    df = keep_latest(df, ["campaign_id"], "start_date")
+    df = _kept(keep_latest(df, *LATEST["marketing_campaigns"]), "marketing_campaigns", as_of)
     df = fraction(df, "conversion_rate", unit)
-    return _ordered_dates(_trimmed(df, "campaign_name", "campaign_type", "target_audience", "region"))
+    return _with_length(_trimmed(df, "campaign_name", "campaign_type", "target_audience", "region"))
 
 
 def clean_reviews(df: DataFrame, as_of: Day) -> DataFrame:
@@ -78,9 +119,8 @@ def clean_reviews(df: DataFrame, as_of: Day) -> DataFrame:
 
 def clean_inventory(df: DataFrame, as_of: Day) -> DataFrame:
     """Copies are those of one product and warehouse, however padded; unknown stock stays."""
-    df = keep_latest(_trimmed(df, "warehouse"), ["product_id", "warehouse"], "last_restock_date")
-    known = df.filter(F.col("current_stock").isNull() | (F.col("current_stock") >= 0))
-    df = _trimmed(known, "product_category", "region", "country")
+    df = _kept(keep_latest(_trimmed(df, "warehouse"), *LATEST["inventory"]), "inventory", as_of)
+    df = _trimmed(df, "product_category", "region", "country")
     low = F.col("current_stock") <= F.col("reorder_point")
     return df.withColumn("needs_reorder", F.when(low, True).otherwise(False))
 
@@ -102,8 +142,7 @@ def clean_interactions(df: DataFrame, as_of: Day) -> DataFrame:
 
 
 def clean_employees(df: DataFrame, as_of: Day) -> DataFrame:
-    df = keep_latest(df, ["employee_id"], "hire_date")
-    df = df.filter((F.col("date_of_birth") < F.col("hire_date")) & (F.col("hire_date") <= day(as_of)))
+    df = _kept(keep_latest(df, *LATEST["employee_records"]), "employee_records", as_of)
     df = _trimmed(df, "name", "department", "country", "region")
     df = df.withColumns({"email": F.lower(F.trim("email")), "status": F.upper(F.trim("status"))})
     return df.withColumn("age", year_span("date_of_birth", day(as_of)))

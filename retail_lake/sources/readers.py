@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from retail_lake.sources.ranges import RANGE, delimited_fields, json_elements
 from retail_lake.sources.schemas import FORMATS, SCHEMAS
 
 
@@ -14,15 +15,21 @@ BROKEN = "_broken_line"
 
 
 def read_delimited(
-    spark: SparkSession, path: str, schema: T.StructType, sep: str = ",", multi_line: bool = False
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    sep: str = ",",
+    multi_line: bool = False,
+    range_size: int = RANGE,
 ) -> DataFrame:
     """Delimited text with a header, every field as text, empty fields as NULL.
 
     Columns go by the names in the header, whatever their order and case: those of ``schema``
     first, then what else the file has. A file without a column of the schema is refused, as is
     one whose header differs from that of the first. Quotes inside quoted text are doubled. Line
-    breaks inside quotes need ``multi_line``, with which a file cannot be split over tasks. A line
-    with too few or too many fields is kept whole in the column BROKEN.
+    breaks inside quotes need ``multi_line``, with which a file is read twice, in ranges of
+    ``range_size`` bytes, to find the ends of its records. A line with too few or too many fields is
+    kept whole in the column BROKEN.
     """
     reader = (
         spark.read.option("header", True)
@@ -31,9 +38,8 @@ def read_delimited(
         .option("escape", '"')
         .option("nullValue", "")
         .option("encoding", "UTF-8")
-        .option("multiLine", multi_line)
     )
-    header = reader.csv(path).columns
+    header = reader.option("multiLine", multi_line).csv(path).columns
     by_name = {name.strip().lower(): name for name in header}
     lacking = [f.name for f in schema.fields if f.name.lower() not in by_name]
     if lacking:
@@ -47,6 +53,12 @@ def read_delimited(
         .option("columnNameOfCorruptRecord", BROKEN)
         .csv(path)
     )
+    if multi_line:
+        records, fits = delimited_fields(spark, path, header, sep, range_size), F.size("fields") == len(header)
+        lines = records.select(
+            *[F.when(fits, F.nullif(F.get("fields", F.lit(i)), F.lit(""))).alias(name) for i, name in enumerate(header)],
+            F.when(~fits, F.col("line")).alias(BROKEN),
+        )
     wanted = {by_name[f.name.lower()]: f.name for f in schema.fields}
     surplus = [name for name in header if name not in wanted]
     return lines.select(
@@ -67,34 +79,51 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return read_csv(spark, path, schema, sep="\t")
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Files that each hold one array of objects.
+def json_text(
+    spark: SparkSession, path: str, schema: T.StructType, by_line: bool = False, range_size: int = RANGE
+) -> DataFrame:
+    """The objects of files that each hold one array, every field as text, as ``read_delimited`` gives them.
 
-    Such a file cannot be split, so it is one task; write the result to Parquet before use, or
-    see ``read_json_lines_array``.
+    A field that is not there or null is NULL. An element that is no object, is broken or cut off is
+    kept whole in the column BROKEN. Files are split over tasks: where ``by_line`` says that each
+    object has a line of its own, as any text; else by reading them twice, to find where elements end.
     """
-    return spark.read.schema(schema).option("multiLine", True).option("encoding", "UTF-8").json(path)
+    if by_line:
+        element = F.regexp_replace(F.trim("value"), r"^\[|[,\]]$|,\]$", "")
+        elements = spark.read.text(path).select(F.trim(element).alias("value")).filter("value <> ''")
+    else:
+        elements = json_elements(spark, path, range_size)
+    fields = T.StructType([T.StructField(name, T.StringType()) for name in [*schema.names, BROKEN]])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+    parsed = elements.select("value", F.from_json("value", fields, options).alias("row"))
+    whole = F.col("value").startswith("{") & F.col("value").endswith("}") & F.col(f"row.{BROKEN}").isNull()
+    return parsed.select(
+        *[F.when(whole, F.col("row")[name]).alias(name) for name in schema.names],
+        F.when(~whole, F.col("value")).alias(BROKEN),
+    )
+
+
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The objects of arrays that fit the schema, typed; ``rejects`` of ``json_text`` gives the others."""
+    return typed(json_text(spark, path, schema), schema)
 
 
 def read_json_lines_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Arrays written with one object per line; such files are split over tasks like any text."""
-    element = F.regexp_replace(F.trim("value"), r"^\[|[,\]]$|,\]$", "")
-    lines = spark.read.text(path).select(F.trim(element).alias("value")).filter("value <> ''")
-    return lines.select(F.from_json("value", schema).alias("row")).select("row.*")
+    """The same for arrays written with one object per line."""
+    return typed(json_text(spark, path, schema, by_line=True), schema)
 
 
 def read_raw(spark: SparkSession, table: str, path: str) -> DataFrame:
-    """A raw file of a known table as text columns; JSON arrays come typed by their schema."""
+    """A raw file of a known table as text columns."""
     kind = FORMATS.get(table, "csv")
     if kind == "json":
-        return read_json_array(spark, path, SCHEMAS[table])
+        return json_text(spark, path, SCHEMAS[table])
     return read_delimited(spark, path, SCHEMAS[table], "\t" if kind == "tsv" else ",")
 
 
 def read_table_file(spark: SparkSession, table: str, path: str) -> DataFrame:
     """The typed rows of a raw file of a known table that fit."""
-    raw = read_raw(spark, table, path)
-    return raw if FORMATS.get(table) == "json" else typed(raw, SCHEMAS[table])
+    return typed(read_raw(spark, table, path), SCHEMAS[table])
 
 
 def scan(spark: SparkSession, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from retail_lake.plans import medallion
-from retail_lake.sources import readers, sinks
+from retail_lake.sources import ranges, readers, sinks
 from retail_lake.sources.fixture_spec import AS_OF
 from retail_lake.sources.schemas import FORMATS, SCHEMAS
 from tests.helpers import bag, dec, rows
@@ -189,3 +189,86 @@ def test_scope_and_release_remove_what_was_frozen(spark):
     session.freeze(spark.range(3))
     session.release(spark)
     assert files() == []
+
+
+ELEMENTS = [
+    '{"id": 1, "note": "a, b"}', '{"id":"x"}', '{"id": 2, "note": "brackets ]}[{ and \\"quotes\\" \\\\"}', "7", "null", '"text, too"',
+    "[1, 2]", '{"id": 3, "note": {"deep": [1, {"er": 2}]}}', '{"note": null}', '{"id": 4.5}', '{"id": 5, "note": "é\\n\\\\\\\\"}', "{}",
+]
+NOTES = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("note", T.StringType())])
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1 << 20])
+def test_json_arrays_are_cut_into_elements_at_any_range(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(ranges, "AHEAD", max(size, 5))
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a b%.json").write_text(" [\n" + " ,\n ".join(ELEMENTS) + "\n]\n", encoding="utf-8")
+    (tmp_path / "j" / "none.json").write_text("[]")
+    (tmp_path / "j" / "cut.json").write_text('[{"id": 8}, {"id": 9, "note": "no e')
+    got = [r.value for r in ranges.json_elements(spark, str(tmp_path / "j"), size).collect()]
+    assert sorted(got) == sorted([*ELEMENTS, '{"id": 8}', '{"id": 9, "note": "no e'])
+    raw = readers.json_text(spark, str(tmp_path / "j"), NOTES, range_size=size)
+    assert {(r.id, r.note) for r in readers.typed(raw, NOTES).collect()} == {
+        (1, "a, b"), (2, 'brackets ]}[{ and "quotes" \\'), (3, '{"deep":[1,{"er":2}]}'), (None, None), (5, "é\n\\\\"), (8, None)
+    }
+    bad = {(r.id, r[readers.BROKEN], r.faults) for r in readers.rejects(raw, NOTES).collect()}
+    assert bad == {
+        ("x", None, "id"), ("4.5", None, "id"), (None, "7", "line"), (None, "null", "line"), (None, '"text, too"', "line"),
+        (None, "[1, 2]", "line"), (None, '{"id": 9, "note": "no e', "line"),
+    }
+
+
+def test_what_follows_a_fault_of_structure_is_refused_not_lost(spark, tmp_path):
+    (tmp_path / "x.json").write_text('[{"id": 1}}, {"id": 2}, {"id": 3}] tail')
+    raw = readers.json_text(spark, str(tmp_path / "x.json"), NOTES)
+    seen = " ".join(str(tuple(r)) for r in raw.collect())
+    assert all(part in seen for part in ("1", "2", "3", "tail"))
+
+
+@pytest.mark.parametrize("size", [1, 9, 50, 1 << 20])
+def test_quoted_line_breaks_at_any_range(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(ranges, "AHEAD", max(size, 4))
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "1.csv").write_text('id,text\n1,"a\nb ""q"", \r\n c"\n2,plain\n3,"x"\n4\n5,,6\n\n6,"end\n"', newline="")
+    (tmp_path / "c" / "2.csv").write_text('\ufeffid,text\r\n7,"\n\n"\r\n8,\r\n', encoding="utf-8", newline="")
+    (tmp_path / "c" / "3.csv").write_text("id,text")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    raw = readers.read_delimited(spark, str(tmp_path / "c"), schema, multi_line=True, range_size=size)
+    assert sorted((r.id, r.text) for r in readers.typed(raw, schema).collect()) == [
+        (1, 'a\nb "q", \r\n c'), (2, "plain"), (3, "x"), (6, "end\n"), (7, "\n\n"), (8, None)
+    ]
+    assert sorted(r[readers.BROKEN] for r in readers.rejects(raw, schema).collect()) == ["4", "5,,6"]
+
+
+def test_one_file_of_quoted_line_breaks_is_many_tasks(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("id,text\n" + "".join(f'{i},"a\n{i}"\n' for i in range(3_000)))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    raw = readers.read_delimited(spark, str(tmp_path / "big.csv"), schema, multi_line=True, range_size=2_000)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    parts = raw.select(F.spark_partition_id().alias("p")).distinct().count()
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert parts > 1
+    assert [r.text for r in raw.orderBy(F.col("id").cast("int")).collect()] == [f"a\n{i}" for i in range(3_000)]
+
+
+def test_a_failed_write_leaves_the_old_table(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS sinks")
+    sinks.create_or_replace_table(spark.range(3), "sinks.safe")
+    fails = spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.create_or_replace_table(fails, "sinks.safe")
+    assert sorted(r.id for r in spark.table("sinks.safe").collect()) == [0, 1, 2]
+    sinks.create_or_replace_table(spark.table("sinks.safe").selectExpr("id + 1 as id"), "sinks.safe", bucket_by=(2, ["id"]))
+    assert sorted(r.id for r in spark.table("sinks.safe").collect()) == [1, 2, 3]
+    assert [t.name for t in spark.catalog.listTables("sinks") if t.name.startswith("safe")] == ["safe"]
+
+
+def test_refused_rows_are_what_the_cleaner_drops(lake):
+    from retail_lake.plans import silver
+
+    for table, (keys, _) in silver.LATEST.items():
+        df = lake.bronze(table)
+        kept, gone = silver.CLEANERS[table](df, AS_OF), silver.refused(table, df, AS_OF)
+        names = [F.trim(k).alias(k) if k == "warehouse" else F.col(k) for k in keys]
+        assert bag(kept.select(*names).unionByName(gone.select(*names))) == bag(df.select(*names).distinct())
+        assert gone.filter("refused_by = ''").count() == 0
