@@ -60,7 +60,12 @@ def _ranges(spark: SparkSession, path: str, size: int) -> DataFrame:
     """(path, length, start) of every range of the files."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long")))
-    return files.select("path", "length", starts.alias("start")).repartition("path", "start")
+    return _dealt(files.select("path", "length", starts.alias("start")))
+
+
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """The rows are tiny and the work behind them is not, so their tasks are not to be put together by size."""
+    return ranges.repartition(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
 
 
 def _opened(path: str) -> pa.NativeFile:
@@ -112,7 +117,7 @@ def _states(ranges: DataFrame, size: int, json: bool) -> DataFrame:
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
     opened = told.withColumn("quoted", F.coalesce(F.sum(F.col("odd").cast("long")).over(before), F.lit(0)) % 2 == 1)
     depth = F.coalesce(F.sum(F.when(F.col("quoted"), F.col("inner")).otherwise(F.col("outer"))).over(before), F.lit(0))
-    return opened.withColumn("depth", depth).select("path", "length", "start", "quoted", "escaped", "depth")
+    return _dealt(opened.withColumn("depth", depth).select("path", "length", "start", "quoted", "escaped", "depth"))
 
 
 def _records(ranges: DataFrame, size: int, json: bool, schema: str, rows: Callable) -> DataFrame:
