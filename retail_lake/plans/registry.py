@@ -507,6 +507,11 @@ def _cleaning() -> dict[str, Query]:
         out[f"clean_{table}"] = lambda k, t=table, c=cleaner: c(k.bronze(t), k.as_of)
     for table in SILVER:
         out[f"profile_{table}"] = lambda k, t=table: profiling.profile(k.bronze(t))
+    for table in ("financial_transactions", "product_reviews", "inventory"):
+        out[f"quartiles_{table}"] = lambda k, t=table: profiling.quartiles(profiling.sketches(k.bronze(t)))
+    out["quartiles_merged"] = lambda k: profiling.quartiles(
+        profiling.merged(profiling.sketches(k.bronze("financial_transactions"), "transaction_date"))
+    )
     for table in silver.RULES:
         out[f"quarantine_{table}"] = lambda k, t=table: silver.refused(t, k.bronze(t), k.as_of)
     for table, rules in profiling.FAULTS.items():

@@ -191,3 +191,31 @@ def test_distribution_violations_duplicates_percentiles(spark):
 def test_means_round_exactly(spark, total, n, expected):
     df = spark.createDataFrame([(dec(total), n)], "t decimal(24,2), n long")
     assert df.select(mean(F.col("t"), F.col("n"))).first()[0] == expected
+
+
+def test_sketches_are_within_their_error_also_when_merged(spark, lake):
+    from retail_lake.plans import profiling
+
+    wide = spark.range(40_000).select(
+        (F.col("id") * 7_919 % 40_000).cast("decimal(12,2)").alias("amount"),
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id") % 1_000).alias("k"),
+        F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("day"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("v"), F.col("id") % 9_000)).alias("name"),
+        F.lit(None).cast("int").alias("nothing"),
+    )
+    whole = {r.column_name: r for r in profiling.quartiles(profiling.sketches(wide)).collect()}
+    parts = {r.column_name: r for r in profiling.quartiles(profiling.merged(profiling.sketches(wide, "day"))).collect()}
+    assert set(whole) == set(wide.columns) and set(parts) == set(wide.columns) - {"day"}
+    exact = wide.agg(*[F.count_distinct(c).alias(c) for c in wide.columns]).first()
+    for told in (whole, parts):
+        for name, r in told.items():
+            assert r.row_count == 40_000
+            assert r.null_count == wide.filter(F.col(name).isNull()).count()
+            assert abs(r.distinct_count - exact[name]) <= 0.05 * exact[name]
+        for rank, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+            assert abs(told["amount"][name] / 40_000 - rank) <= 0.02
+            below = wide.filter(F.col("k") < told["k"][name]).count() / 40_000
+            upto = wide.filter(F.col("k") <= told["k"][name]).count() / 40_000
+            assert below - 0.02 <= rank <= upto + 0.02
+        assert told["name"].q50 is None and told["nothing"].q50 is None
+    assert profiling.quartiles(profiling.sketches(wide.limit(0))).count() == len(wide.columns)
