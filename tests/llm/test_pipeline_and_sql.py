@@ -43,3 +43,16 @@ def test_stages_keep_columns_and_follow_each_other(spark, tmp_path):
     assert counts[0] > counts[1] > counts[2] >= counts[3] == counts[4]
     rows = docs.groupBy("sequence_id").agg({"length": "sum"}).collect()
     assert max(r[1] for r in rows) <= 2_048
+
+
+def test_run_leaves_its_result_alone(spark):
+    """Of all that the stages write, only the last result is there after the run."""
+    from pathlib import Path
+
+    from retail_lake.session import release, scratch_dir
+
+    release(spark)
+    out = corpus_pipeline.run(spark, SMALL)
+    assert out.count() > 0
+    folder = Path(scratch_dir(spark).removeprefix("file:"))
+    assert [p.name.rsplit("-", 1)[1] for p in folder.iterdir()] == ["packing"]
