@@ -9,6 +9,11 @@ anchor's bucket; there one suffix array over the different stretches brings equa
 Steps: anchors of all texts, packed per bucket of hashes -> anchors found in two texts or more ->
 stretches around them -> suffix arrays per bucket -> byte spans per document. Equal texts are
 compared as one. Buckets follow from the number of bytes, so their size does not grow.
+
+A passage may stand in a third of all texts. What a task can tell alone it does not send to the
+bucket: an anchor it met in many texts is shared by them, and two of these texts speak for it; a
+stretch it met in a smaller document is gone, and the smallest document speaks for it. Such rows
+take part under a number of their task (below zero), so no group holds all rows of a passage.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +36,8 @@ GRAM = 24
 BUCKET_BYTES, PACKED = 3 << 20, 500_000
 #: Bytes of text a task looks at together; working memory is about a hundred times that.
 SLICE = 1_000_000
+#: Texts of a pack from which an anchor is settled by the task, and stretches a task remembers.
+SEVERAL, REMEMBERED = 8, 200_000
 NO_ID = (1 << 63) - 1  # stands for a null id, after all others
 
 
@@ -169,12 +177,36 @@ def anchors(values: pa.Array, length: int) -> tuple[np.ndarray, ...]:
     return data, ends - sizes, hashes[at[new]], owner[at[new]], start[new], start[last]
 
 
+def _own_bucket() -> int:
+    """The group, below zero, of what this task has settled alone."""
+    context = TaskContext.get()
+    return -1 - (context.partitionId() if context else 0)
+
+
+def _settled(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of different (text, anchor): which are known as shared, and which the bucket must see.
+
+    An anchor of SEVERAL texts is shared by all of them. Two of them go on, so that any other text
+    with that anchor still meets a text that is not its equal.
+    """
+    order = np.lexsort((keys, hashes))
+    head = np.flatnonzero(np.append(True, np.diff(hashes[order]) != 0)) if len(order) else np.zeros(0, int)
+    sizes = np.diff(np.append(head, len(order)))
+    shared = np.zeros(len(order), dtype=bool)
+    shared[order] = np.repeat(sizes >= SEVERAL, sizes)
+    seen = ~shared
+    seen[order[head]] = True
+    seen[order[head + sizes - 1]] = True
+    return shared, seen
+
+
 def _anchor_lists(texts: DataFrame, length: int, bits: int) -> DataFrame:
     """(bucket, texts, counts, hashes): packed anchors, each once per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+        own = _own_bucket()
 
         def packed() -> pa.RecordBatch:
             keys = np.concatenate([h[0] for h in held] or [np.zeros(0, np.int64)])
@@ -184,6 +216,11 @@ def _anchor_lists(texts: DataFrame, length: int, bits: int) -> DataFrame:
             keys, hashes, bucket = keys[order], hashes[order], bucket[order]
             fresh = np.append(True, (np.diff(keys) != 0) | (np.diff(hashes) != 0)) if len(keys) else np.zeros(0, bool)
             keys, hashes, bucket = keys[fresh], hashes[fresh], bucket[fresh]
+            shared, seen = _settled(keys, hashes)
+            by_text = np.flatnonzero(shared)[np.argsort(keys[shared], kind="stable")]
+            row = np.concatenate([by_text, np.flatnonzero(seen)])
+            bucket = np.concatenate([np.full(len(by_text), own), bucket[seen]])
+            keys, hashes = keys[row], hashes[row]
             cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket)) if len(bucket) else np.zeros(1, int)
             rows = ([], [], [], [])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -222,13 +259,14 @@ def _shared(lists: DataFrame) -> DataFrame:
             keys.append(np.repeat(names, counts))
             hashes.append(values)
         keys, hashes = np.concatenate(keys), np.concatenate(hashes)
+        settled = table.column("bucket")[0].as_py() < 0
         order = np.lexsort((keys, hashes))
         keys, hashes = keys[order], hashes[order]
         new_hash = np.append(True, np.diff(hashes) != 0)
         new_pair = new_hash | np.append(True, np.diff(keys) != 0)
         keys, hashes, new_hash = keys[new_pair], hashes[new_pair], new_hash[new_pair]
         size = np.bincount(np.cumsum(new_hash) - 1)
-        many = np.repeat(size, size) > 1
+        many = (np.repeat(size, size) > 1) | settled
         keys, hashes = keys[many], hashes[many]
         order = np.argsort(keys, kind="stable")
         keys, hashes = keys[order], hashes[order]
@@ -243,10 +281,45 @@ def _shared(lists: DataFrame) -> DataFrame:
 # --- stretches and spans -----------------------------------------------------------------------
 
 
+def _names(data: np.ndarray, total: np.ndarray, sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number per stretch; equal stretches of one anchor have equal numbers."""
+    cuts = [*range(0, len(sizes), 10_000), len(sizes)]
+    parts = [hash_spans(data[total[a] : total[b]], total[a:b] - total[a], sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return mix(np.concatenate([np.zeros(0, np.uint64), *parts]) + mix(sizes.astype(np.uint64)) + hashes)
+
+
+class _Smallest:
+    """The smallest document, so far, of stretches that a task met more than once."""
+
+    def __init__(self) -> None:
+        self.names, self.docs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def of(self, names: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        """Per stretch the smallest document known to have it, itself included."""
+        different, kind, count = np.unique(names, return_inverse=True, return_counts=True)
+        least = _group_first(kind, docs, len(different))
+        if len(self.names):
+            at = np.minimum(np.searchsorted(self.names, different), len(self.names) - 1)
+            known = self.names[at] == different
+            least[known] = np.minimum(least[known], self.docs[at[known]])
+            count[known] = 2
+        again = count > 1
+        if len(self.names) + again.sum() > REMEMBERED:
+            self.names, self.docs = self.names[:0], self.docs[:0]
+        joint, where = np.unique(np.concatenate([self.names, different[again]]), return_inverse=True)
+        self.docs = _group_first(where, np.concatenate([self.docs, least[again]]), len(joint))
+        self.names = joint
+        return least[kind]
+
+
 def _stretches(rows: DataFrame, length: int, bits: int) -> DataFrame:
-    """Per bucket, the stretches around shared anchors: packed arrays and their bytes."""
+    """Per bucket, the stretches around shared anchors: packed arrays and their bytes.
+
+    Below zero: stretches, without bytes, that a smaller document of the same task has as well.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, smallest = _own_bucket(), _Smallest()
         for batch in batches:
             done = 0
             for values in slices(batch.column(2), SLICE):
@@ -260,15 +333,18 @@ def _stretches(rows: DataFrame, length: int, bits: int) -> DataFrame:
                 # an anchor is wanted if its hash is in the list of its own text
                 keep = np.isin(mix(hashes + owner.astype(np.uint64)), mix(pairs_h + pairs_o.astype(np.uint64)))
                 hashes, owner, first, last = hashes[keep], owner[keep], first[keep], last[keep]
-                bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                hashes, owner, first, last, bucket = (x[order] for x in (hashes, owner, first, last, bucket))
                 sizes = last - first + length
                 total = np.concatenate([[0], np.cumsum(sizes)])
-                at = np.arange(total[-1]) - np.repeat(total[:-1] - first, sizes)
-                text = data[at]
-                rids = part.column(0).to_numpy(zero_copy_only=False)[owner]
+                text = data[np.arange(total[-1]) - np.repeat(total[:-1] - first, sizes)]
                 docs = part.column(1).to_numpy(zero_copy_only=False)[owner]
+                gone = docs > smallest.of(_names(text, total, sizes, hashes), docs)
+                bucket = np.where(gone, own, (hashes >> np.uint64(64 - bits)).astype(np.int64))
+                order = np.argsort(bucket, kind="stable")
+                hashes, owner, first, sizes, docs, bucket = (x[order] for x in (hashes, owner, first, sizes, docs, bucket))
+                held = np.where(bucket < 0, 0, sizes)  # bytes that go along
+                total = np.concatenate([[0], np.cumsum(held)])
+                text = data[np.arange(total[-1]) - np.repeat(total[:-1] - first, held)]
+                rids = part.column(0).to_numpy(zero_copy_only=False)[owner]
                 place = first - begins[owner]
                 cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket)) if len(bucket) else np.zeros(1, int)
                 out: list[list] = [[] for _ in range(7)]
@@ -296,11 +372,7 @@ def covered(stretches: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray,
     rids, docs, hashes, places, sizes, data = stretches
     total = np.concatenate([[0], np.cumsum(sizes)])
     # equal stretches of one anchor are one text of the suffix array
-    cuts = [*range(0, len(sizes), 10_000), len(sizes)]
-    names = np.concatenate(
-        [hash_spans(data[total[a] : total[b]], total[a:b] - total[a], sizes[a:b]) for a, b in zip(cuts, cuts[1:])]
-    )
-    names = mix(names + mix(sizes.astype(np.uint64)) + hashes)
+    names = _names(data, total, sizes, hashes)
     _, example, kind = np.unique(names, return_index=True, return_inverse=True)
     first_doc = _group_first(kind, docs, len(example))
     # the other stretches of the anchor: only those with several need a suffix array
@@ -348,7 +420,11 @@ def _spans(stretches: DataFrame, length: int) -> DataFrame:
         kinds = (np.int64, np.int64, np.uint64, np.int64, np.uint16, np.uint8)
         columns = [np.frombuffer(b"".join(table.column(j + 1).to_pylist()), kind) for j, kind in enumerate(kinds)]
         columns[4] = columns[4].astype(np.int64)
-        found = covered(tuple(columns), length)
+        if table.column("bucket")[0].as_py() < 0:
+            rids, docs, _, places, sizes, _ = columns
+            found = rids, docs, places, places + sizes
+        else:
+            found = covered(tuple(columns), length)
         return pa.table(dict(zip(("rid", "doc", "start", "stop"), map(pa.array, found), strict=True)))
 
     return stretches.groupBy("bucket").applyInArrow(run, "rid long, doc long, start long, stop long")
@@ -405,9 +481,9 @@ def remove_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, w
     bits = max(1, (size // BUCKET_BYTES).bit_length())
     shared = freeze(_shared(_anchor_lists(base, length, bits)))
     wanted = (
-        shared.join(first.select("same", "rid"), "same")
-        .groupBy("rid")
+        shared.groupBy("same")
         .agg(F.flatten(F.collect_list("hashes")).alias("hashes"))  # bounded by the text's anchors
+        .join(first.select("same", "rid"), "same")
     )
     rows = base.select("rid", "doc", "text")
     # a row that repeats another one whole would be compared with it in vain, but does no harm

@@ -1,10 +1,13 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from retail_lake.llm import suffix_dedup
 from retail_lake.llm.suffix_dedup import equal_windows, remove_repeats, suffix_array, unite
 
 
@@ -75,3 +78,25 @@ def test_empty_table_and_long_text(spark):
     rows = spark.createDataFrame([(1, long), (2, long[1_000_000:1_000_100] + "x")], schema)
     got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(rows, "doc_id", "text").collect()}
     assert got == {1: 0, 2: 100}
+
+
+def test_a_passage_of_half_of_all_texts_makes_no_large_group(spark):
+    """Texts of one task are settled there: a bucket sees each pack's witnesses, not its texts."""
+    rng = random.Random(7)
+    passage = "".join(rng.choices("abcdefghij ", k=300))
+    word = lambda n: "".join(rng.choices("klmnopqrst ", k=n))
+    rows = [(i, word(80) + (passage if i % 2 else "") + word(40)) for i in range(2_000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((tuple(r) for r in remove_repeats(df, "doc_id", "text").collect()), key=str)
+    assert got == brute(rows)
+
+    texts = df.selectExpr("doc_id AS same", "doc_id AS rid", "doc_id AS doc", "text")
+    lists = suffix_dedup._anchor_lists(texts, 50, 1).filter("bucket >= 0").collect()
+    for hashes in Counter(h for r in lists for h in np.frombuffer(r["hashes"], np.uint64).tolist()).values():
+        assert hashes <= 4 * suffix_dedup.SEVERAL
+    shared = suffix_dedup._shared(suffix_dedup._anchor_lists(texts, 50, 1)).groupBy("same").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
+    sent = suffix_dedup._stretches(texts.join(shared, "same"), 50, 1).filter("bucket >= 0").collect()
+    number = sum(len(r["rids"]) // 8 for r in sent)
+    settled = sum(len(r["rids"]) // 8 for r in suffix_dedup._stretches(texts.join(shared, "same"), 50, 1).filter("bucket < 0").collect())
+    assert settled > number
