@@ -221,14 +221,10 @@ def _anchor_lists(texts: DataFrame, length: int, bits: int) -> DataFrame:
             row = np.concatenate([by_text, np.flatnonzero(seen)])
             bucket = np.concatenate([np.full(len(by_text), own), bucket[seen]])
             keys, hashes = keys[row], hashes[row]
-            cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket)) if len(bucket) else np.zeros(1, int)
             rows = ([], [], [], [])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                head = np.flatnonzero(np.append(True, np.diff(keys[a:b]) != 0))
-                rows[0].append(int(bucket[a]))
-                rows[1].append(keys[a:b][head].tobytes())
-                rows[2].append(np.diff(np.append(head, b - a)).astype(np.uint16).tobytes() if (b - a) < 65_536 else np.diff(np.append(head, b - a)).astype(np.uint32).tobytes())
-                rows[3].append(hashes[a:b].tobytes())
+            for a, b in _cuts(bucket):
+                for column, x in zip(rows, (int(bucket[a]), *_pack(keys[a:b], hashes[a:b])), strict=True):
+                    column.append(x)
             arrays = [pa.array(rows[0], pa.int64()), *(pa.array(r, pa.binary()) for r in rows[1:])]
             return pa.RecordBatch.from_arrays(arrays, ["bucket", "texts", "counts", "hashes"])
 
@@ -248,34 +244,86 @@ def _anchor_lists(texts: DataFrame, length: int, bits: int) -> DataFrame:
     return texts.select("same", "text").mapInArrow(run, "bucket long, texts binary, counts binary, hashes binary")
 
 
-def _shared(lists: DataFrame) -> DataFrame:
-    """(same, hashes): the anchors of a text that another text has too."""
+def _unpacked(texts: list[bytes], counts: list[bytes], hashes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(texts, anchors), one entry each per pair."""
+    keys = [np.zeros(0, np.int64)]
+    for a, b in zip(texts, counts, strict=True):
+        names = np.frombuffer(a, np.int64)
+        keys.append(np.repeat(names, np.frombuffer(b, np.uint16 if len(b) == 2 * len(names) else np.uint32)))
+    return np.concatenate(keys), np.frombuffer(b"".join(hashes), np.uint64)
+
+
+def _pack(keys: np.ndarray, hashes: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """The inverse, of pairs in which those of a text stand together."""
+    head = np.flatnonzero(np.append(True, np.diff(keys) != 0)) if len(keys) else np.zeros(0, int)
+    counts = np.diff(np.append(head, len(keys)))
+    kind = np.uint16 if len(keys) < 65_536 else np.uint32
+    return keys[head].tobytes(), counts.astype(kind).tobytes(), hashes.tobytes()
+
+
+def _cuts(groups: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of every run of equal numbers."""
+    edges = np.append(np.flatnonzero(np.append(True, np.diff(groups) != 0)), len(groups)) if len(groups) else np.zeros(1, int)
+    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def _shared(lists: DataFrame, bits: int) -> DataFrame:
+    """(same, hashes): per text the anchors that another text has too.
+
+    A bucket of anchors gives one packed row; tasks deal what these hold out to buckets of texts.
+    """
+    schema = "bucket long, texts binary, counts binary, hashes binary"
 
     def run(table: pa.Table) -> pa.Table:
-        keys, hashes = [], []
-        for a, b, c in zip(*(table.column(n).to_pylist() for n in ("texts", "counts", "hashes")), strict=True):
-            names, values = np.frombuffer(a, np.int64), np.frombuffer(c, np.uint64)
-            counts = np.frombuffer(b, np.uint16 if len(b) == 2 * len(names) else np.uint32)
-            keys.append(np.repeat(names, counts))
-            hashes.append(values)
-        keys, hashes = np.concatenate(keys), np.concatenate(hashes)
-        settled = table.column("bucket")[0].as_py() < 0
+        bucket = table.column("bucket")[0].as_py()
+        keys, hashes = _unpacked(*(table.column(n).to_pylist() for n in ("texts", "counts", "hashes")))
         order = np.lexsort((keys, hashes))
         keys, hashes = keys[order], hashes[order]
-        new_hash = np.append(True, np.diff(hashes) != 0)
-        new_pair = new_hash | np.append(True, np.diff(keys) != 0)
+        new_hash = np.append(True, np.diff(hashes) != 0)[: len(hashes)]
+        new_pair = new_hash | np.append(True, np.diff(keys) != 0)[: len(keys)]
         keys, hashes, new_hash = keys[new_pair], hashes[new_pair], new_hash[new_pair]
-        size = np.bincount(np.cumsum(new_hash) - 1)
-        many = (np.repeat(size, size) > 1) | settled
+        size = np.bincount(np.cumsum(new_hash) - 1) if len(keys) else np.zeros(0, int)
+        many = (np.repeat(size, size) > 1) | (bucket < 0)
         keys, hashes = keys[many], hashes[many]
         order = np.argsort(keys, kind="stable")
+        packed = _pack(keys[order], hashes[order])
+        return pa.table({"bucket": pa.array([bucket], pa.int64()), **{n: pa.array([x], pa.binary()) for n, x in zip(("texts", "counts", "hashes"), packed)}})
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            keys, hashes = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket = (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.lexsort((keys, bucket))
+            keys, hashes, bucket = keys[order], hashes[order], bucket[order]
+            rows = [(int(bucket[a]), *_pack(keys[a:b], hashes[a:b])) for a, b in _cuts(bucket)]
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "texts", "counts", "hashes"])
+
+        for batch in batches:
+            for a, b, c in zip(*(batch.column(j).to_pylist() for j in (1, 2, 3)), strict=True):
+                held.append(_unpacked([a], [b], [c]))
+                if sum(len(h[0]) for h in held) >= PACKED:
+                    yield dealt()
+                    held = []
+        if held:
+            yield dealt()
+
+    def per_text(table: pa.Table) -> pa.Table:
+        keys, hashes = _unpacked(*(table.column(n).to_pylist() for n in ("texts", "counts", "hashes")))
+        order = np.lexsort((hashes, keys))
         keys, hashes = keys[order], hashes[order]
-        head = np.flatnonzero(np.append(True, np.diff(keys) != 0)) if len(keys) else np.zeros(0, int)
-        cuts = pa.array(np.append(head, len(keys)), pa.int32())
-        lists = pa.ListArray.from_arrays(cuts, pa.array(hashes.view(np.int64)))
-        return pa.table({"same": pa.array(keys[head]), "hashes": lists})
+        fresh = np.append(True, (np.diff(keys) != 0) | (np.diff(hashes) != 0))[: len(keys)]
+        keys, hashes = keys[fresh], hashes[fresh]
+        edges = list(_cuts(keys))
+        offsets = pa.array([a for a, _ in edges] + [len(keys)], pa.int32())
+        anchors_of = pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))
+        return pa.table({"same": pa.array([keys[a] for a, _ in edges], pa.int64()), "hashes": anchors_of})
 
-    return lists.groupBy("bucket").applyInArrow(run, "same long, hashes array<long>")
+    packed = lists.groupBy("bucket").applyInArrow(run, schema)
+    return packed.mapInArrow(deal, schema).groupBy("bucket").applyInArrow(per_text, "same long, hashes array<long>")
 
 
 # --- stretches and spans -----------------------------------------------------------------------
@@ -346,9 +394,8 @@ def _stretches(rows: DataFrame, length: int, bits: int) -> DataFrame:
                 text = data[np.arange(total[-1]) - np.repeat(total[:-1] - first, held)]
                 rids = part.column(0).to_numpy(zero_copy_only=False)[owner]
                 place = first - begins[owner]
-                cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket) != 0)), len(bucket)) if len(bucket) else np.zeros(1, int)
                 out: list[list] = [[] for _ in range(7)]
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                for a, b in _cuts(bucket):
                     line = (rids[a:b], docs[a:b], hashes[a:b], place[a:b], sizes[a:b].astype(np.uint16), text[total[a] : total[b]])
                     out[0].append(int(bucket[a]))
                     for j, x in enumerate(line):
@@ -479,12 +526,8 @@ def remove_repeats(docs: DataFrame, key: str, text: str, length: int = LENGTH, w
     first = freeze(first.withColumn("rid", F.xxhash64("first", "digest")))
     size = ids.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(1, (size // BUCKET_BYTES).bit_length())
-    shared = freeze(_shared(_anchor_lists(base, length, bits)))
-    wanted = (
-        shared.groupBy("same")
-        .agg(F.flatten(F.collect_list("hashes")).alias("hashes"))  # bounded by the text's anchors
-        .join(first.select("same", "rid"), "same")
-    )
+    shared = freeze(_shared(_anchor_lists(base, length, bits), max(1, bits - 3)))
+    wanted = shared.join(first.select("same", "rid"), "same").select("rid", "hashes")
     rows = base.select("rid", "doc", "text")
     # a row that repeats another one whole would be compared with it in vain, but does no harm
     spans = _spans(_stretches(rows.join(wanted, "rid"), length, bits), length)

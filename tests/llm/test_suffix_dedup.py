@@ -5,7 +5,6 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from retail_lake.llm import suffix_dedup
 from retail_lake.llm.suffix_dedup import equal_windows, remove_repeats, suffix_array, unite
@@ -95,7 +94,7 @@ def test_a_passage_of_half_of_all_texts_makes_no_large_group(spark):
     lists = suffix_dedup._anchor_lists(texts, 50, 1).filter("bucket >= 0").collect()
     for hashes in Counter(h for r in lists for h in np.frombuffer(r["hashes"], np.uint64).tolist()).values():
         assert hashes <= 4 * suffix_dedup.SEVERAL
-    shared = suffix_dedup._shared(suffix_dedup._anchor_lists(texts, 50, 1)).groupBy("same").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))
+    shared = suffix_dedup._shared(suffix_dedup._anchor_lists(texts, 50, 1), 1)
     sent = suffix_dedup._stretches(texts.join(shared, "same"), 50, 1).filter("bucket >= 0").collect()
     number = sum(len(r["rids"]) // 8 for r in sent)
     settled = sum(len(r["rids"]) // 8 for r in suffix_dedup._stretches(texts.join(shared, "same"), 50, 1).filter("bucket < 0").collect())
