@@ -71,12 +71,10 @@ def op8_token_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licence_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files below source/lang/; a short text that states a licence is a licence file."""
+    """Documents as files below source/lang/part/; one that speaks of a licence is a licence file."""
     docs = read_table(spark, sf_dir, "documents")
-    states = (F.char_length("text") < 1_000) & F.col("text").rlike(licences.SPEAKS)
-    name = F.when(states, F.lit("LICENSE")).otherwise(
-        F.concat(F.col("doc_id"), F.lit(".txt"))
-    )
+    states = F.col("text").rlike("(?i)licen[sc]e")
+    name = F.concat(F.when(states, F.lit("LICENSE-")).otherwise(F.lit("text-")), F.col("doc_id"))
     folder = F.concat(F.lit("part"), F.floor(F.col("doc_id") / 1_000))
     files = docs.select("doc_id", F.concat_ws("/", "source", "lang", folder, name).alias("path"), "text")
     return licences.licences(files, "path", "text", "doc_id")

@@ -1,5 +1,8 @@
 """SQL for DuckDB that gives the rows of the queries by a plain way."""
 
+from retail_lake.llm.licence_texts import TEMPLATES
+from retail_lake.llm.licences import BLOCK, LEAST, LICENCE_FILE, PARAGRAPH, RESERVED
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 WARC = """
@@ -201,6 +204,60 @@ FROM {nested}
 """
 
 
+
+def _licences() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(i, *(x.replace("'", "''") for x in row)) for i, row in enumerate(TEMPLATES))
+    lower, words = _LOWER.format("text"), "list_distinct(regexp_extract_all({}, '[a-z0-9]+'))"
+    return f"""
+WITH t(number, licence, wording) AS (VALUES {rows}), tt AS (
+    SELECT number, licence, unnest({words.format("lower(wording)")}) AS term FROM t
+), k AS (
+    SELECT count(DISTINCT licence) AS k FROM t
+), w AS (
+    SELECT term, power(ln((k + 1) / (count(DISTINCT licence) + 1)) + 1, 2) AS w FROM tt, k GROUP BY term, k
+), tl AS (
+    SELECT number, licence, sum(w) AS t_length FROM tt JOIN w USING (term) GROUP BY ALL
+), f AS (
+    SELECT doc_id, {lower} AS text, concat_ws('/', source, lang, 'part' || CAST(floor(doc_id / 1000) AS BIGINT),
+        CASE WHEN regexp_matches(text, '(?i)licen[sc]e') THEN 'LICENSE-' ELSE 'text-' END || doc_id) AS path
+    FROM documents
+), g AS (
+    SELECT *, regexp_matches(path, '{LICENCE_FILE}') AS is_licence, coalesce(regexp_extract(path, '^(.*)/[^/]*$', 1), '') AS dir FROM f
+), said AS (
+    SELECT doc_id, unnest(string_split(text, chr(10)) || string_split_regex(text, '{PARAGRAPH}') || string_split_regex(text, '{BLOCK}')
+        || CASE WHEN is_licence THEN [text] ELSE [] END) AS statement FROM g
+), sets AS (
+    SELECT DISTINCT doc_id, list_sort({words.format("statement")}) AS terms FROM said
+), s AS (
+    SELECT row_number() OVER () AS sid, terms FROM (SELECT DISTINCT terms FROM sets)
+), x AS (
+    SELECT sid, unnest(terms) AS term FROM s
+), sl AS (
+    SELECT sid, sum(coalesce(w, power(ln(k + 1) + 1, 2))) AS length FROM x LEFT JOIN w USING (term), k GROUP BY sid
+), dots AS (
+    SELECT sid, number, sum(w) AS dot FROM x JOIN w USING (term) JOIN tt USING (term) GROUP BY ALL
+), scored AS (
+    SELECT sid, number, licence, round(dot / sqrt(length * t_length), 6) AS score, t_length
+    FROM dots JOIN sl USING (sid) JOIN tl USING (number)
+), best AS (
+    SELECT sid, licence, score, round(score * sqrt(t_length), 6) AS weight FROM scored WHERE score >= {LEAST}
+    QUALIFY row_number() OVER (PARTITION BY sid ORDER BY score DESC, number) = 1
+), own AS (
+    SELECT doc_id, licence, score FROM sets JOIN s USING (terms) JOIN best USING (sid)
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY licence <> '{RESERVED}' DESC, weight DESC, score DESC, licence DESC) = 1
+), given AS (
+    SELECT dir, licence FROM g JOIN own USING (doc_id) WHERE is_licence QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path) = 1
+), near AS (
+    SELECT d.dir, n.dir AS from_dir, n.licence FROM (SELECT DISTINCT dir FROM g) d
+    JOIN given n ON n.dir = d.dir OR n.dir = '' OR starts_with(d.dir, n.dir || '/')
+    QUALIFY row_number() OVER (PARTITION BY d.dir ORDER BY length(n.dir) DESC) = 1
+)
+SELECT doc_id, path, own.licence AS own_licence, own.score AS own_score, coalesce(own.licence, near.licence) AS licence,
+       CASE WHEN own.licence IS NULL THEN from_dir END AS from_dir
+FROM g LEFT JOIN own USING (doc_id) LEFT JOIN near USING (dir)
+"""
+
+
 ALL = {
     "op3_cross_polytope": VECTORS,
     "op7_suffix_dedup": REPEATS,
@@ -208,4 +265,5 @@ ALL = {
     "op1_warc_capture_index": WARC,
     "op10_positional_decontamination": CONTAMINATION,
     "op12_merkle_manifest": _merkle(),
+    "op9_licence_tfidf": _licences(),
 }
