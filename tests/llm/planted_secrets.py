@@ -1,4 +1,7 @@
-"""Secrets that no rule finds, and harmless texts like them: held out, nothing here is learned from."""
+"""Secrets that no rule finds, and harmless texts like them.
+
+Nothing here is trained on, but features and harmless values were chosen with the first forms in view.
+"""
 
 import base64
 import random
@@ -54,7 +57,7 @@ def harmless(rng):
 
 
 def other_secrets(rng):
-    """Forms that were looked at only once, after all choices were made."""
+    """Forms for which no feature or value was chosen; measured twice."""
     parts = [base64.urlsafe_b64encode(rng.randbytes(k)).decode().rstrip("=") for k in (27, 45, 32)]
     jwt = "eyJ" + ".".join(parts)
     yield "jwt", f"cookie session={jwt}; path", jwt

@@ -119,7 +119,7 @@ def test_rare_secrets_and_long_stretches_are_learned(spark):
 
 
 def test_planted_secrets_outside_the_rules(spark):
-    """Held-out forms and surroundings: the rules find none of them, the field nearly all, and hardly anything else."""
+    """Planted forms in other surroundings: the rules find none of them, the field nearly all, and hardly anything else."""
     field = s.learn(spark.createDataFrame(sample(), SCHEMA), "doc_id", "text")
     assert not field.whole
     assert not any(s.base_spans(text) for text in [t for _, t, _ in planted(10)[0]] + planted(10)[1])
