@@ -141,3 +141,19 @@ def test_scans_read_only_what_a_report_needs(lake):
     assert "ReadSchema: struct<o_totalprice:double,o_orderdate:timestamp_ntz>" in text
     filtered = plan(sales.kpis(lake.transactions("amount", "entity", "region"), "ASIA"))
     assert "EqualTo(r_name,ASIA)" in filtered
+
+
+def test_wide_rows_take_over_what_is_worked_out_once(hot_sales, periods):
+    """The result has a row per sale, promotion and campaign: above the last join there is only copying."""
+    people = hot_sales.select(F.col("entity").alias("customer_id")).distinct().selectExpr(
+        "customer_id", "'n' as name", "30 as age", "'26-35' as age_group", "'F' as gender", "'Single' as marital_status",
+        "cast(1000 as decimal(14,2)) as annual_income", "'k' as country",
+    )
+    ads = periods.selectExpr(
+        "promotion_id as campaign_id", "region", "'c' as campaign_name", "'t' as campaign_type", "'a' as target_audience",
+        "cast(5 as decimal(14,2)) as budget", "7L as reach", "cast(0.1 as decimal(6,4)) as conversion_rate", "start_date", "end_date",
+    )
+    promos = periods.withColumn("promotion_type", F.lit("B"))
+    for wide in (gold.sales_enriched(hot_sales, people, promos, ads), gold.enriched_rows(hot_sales, promos, ads)):
+        above = wide._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+        assert not [word for word in ("cast(", "round(", "trunc(", "year(", " * ", " / ") if word in above]
