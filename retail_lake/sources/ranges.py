@@ -5,7 +5,8 @@ a byte means depends on all bytes before it, but only through a small state: whe
 open and, in JSON, how deep brackets are nested. So a file is read twice. First every range tells what
 it does to the state, for both states of the quotes; these rows, one per range, are put together in
 order. Then each range starts in its true state and gives the records that begin in it, reading on
-into the next ranges until the last of them ends. No task holds more than a range and one record.
+into the next ranges until the last of them ends. A range is gone through in blocks, so no task holds
+more than a block, what it makes of it, and one record.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RANGE = 32 << 20
-#: Bytes read at a time beyond the end of a range, to complete its last record.
+#: Bytes read and looked at together, within a range and beyond its end; working memory is about forty times that.
 AHEAD = 1 << 20
+#: Records handed on together, at most, and the bytes after which fewer are.
+BATCH, BATCH_BYTES = 10_000, 4 << 20
 _BACKSLASH, _QUOTE, _NEWLINE, _COMMA = (ord(c) for c in '\\"\n,')
 _OPENING, _CLOSING = (np.isin(np.arange(256), [ord(c) for c in signs]) for signs in ("[{", "]}"))
 
@@ -95,6 +98,65 @@ def _begins_escaped(file: pa.NativeFile, start: int) -> bool:
     return count % 2 == 1
 
 
+def _change(file: pa.NativeFile, start: int, stop: int, json: bool, escaped: bool, step: int) -> tuple[bool, list[int]]:
+    """Whether the bytes hold an odd number of quotes, and by how much they nest deeper if a quoted text is not and is open before."""
+    quoted, change = [False, True], [0, 0]
+    for place in range(start, stop, step):
+        data = _read(file, place, min(step, stop - place))
+        if not len(data):
+            break
+        for i in (0, 1):
+            signs = Signs(data, quoted[i], json, escaped)
+            quoted[i] = signs.quoted
+            change[i] += int(signs.depth[-1]) if json else 0
+        escaped = signs.escaped_next
+    return quoted[0], change
+
+
+def _cuts(data: np.ndarray, signs: Signs, json: bool, depth: int) -> np.ndarray:
+    """Places of separators; what is between two of them is a record, if it is not blank."""
+    if not json:
+        return np.flatnonzero((data == _NEWLINE) & signs.outside)
+    deep = signs.depth + depth
+    opens = signs.opens & (deep == 1)
+    return np.flatnonzero(((data == _COMMA) & signs.outside & (deep <= 1)) | opens | (signs.closes & (deep <= 0)))
+
+
+def _begun(file: pa.NativeFile, row: dict, size: int, json: bool, step: int) -> Iterator[bytes]:
+    """The records that begin in a range, in order; ``row`` tells its file, place and true state."""
+    place, stop, length = row["start"], row["start"] + size, row["length"]
+    quoted, escaped, depth = row["quoted"], row["escaped"], row["depth"]
+    tail = [] if not json and place == 0 else None  # of the record that is open; None before the first
+    unseen = json and place == 0
+    while place < min(stop, length) or (tail is not None and place < length):
+        data = _read(file, place, min(step, stop - place) if place < stop else step)
+        if not len(data):
+            break
+        signs = Signs(data, quoted, json, escaped)
+        at = _cuts(data, signs, json, depth).tolist()
+        raw = data.tobytes()
+        if unseen:
+            sign = (raw.removeprefix(codecs.BOM_UTF8) if place == 0 else raw).lstrip()[:1]
+            if sign not in (b"[", b""):
+                raise ValueError(f"{row['path']} is not an array")
+            unseen = not sign
+        if place >= stop and at:
+            tail.append(raw[: at[0]])
+            break
+        done = 0
+        for cut in at:
+            if tail is not None:
+                tail.append(raw[done:cut])
+                yield b"".join(tail)
+            tail, done = [], cut + 1
+        if tail is not None:
+            tail.append(raw[done:])
+        place, quoted, escaped = place + len(data), signs.quoted, signs.escaped_next
+        depth += int(signs.depth[-1]) if json else 0
+    if tail is not None:
+        yield b"".join(tail)
+
+
 def _states(ranges: DataFrame, size: int, json: bool) -> DataFrame:
     """Add ``quoted`` and ``depth``: the state in which each range begins."""
 
@@ -102,11 +164,9 @@ def _states(ranges: DataFrame, size: int, json: bool) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 with _opened(row["path"]) as file:
-                    data = _read(file, row["start"], size)
                     escaped = json and _begins_escaped(file, row["start"])
-                both = [Signs(data, quoted, json, escaped) for quoted in (False, True)]
-                change = [int(s.depth[-1]) if json and len(data) else 0 for s in both]
-                columns = [[row["path"]], [row["length"]], [row["start"]], [both[0].quoted], [escaped], [change[0]], [change[1]]]
+                    odd, change = _change(file, row["start"], row["start"] + size, json, escaped, AHEAD)
+                columns = [[row["path"]], [row["length"]], [row["start"]], [odd], [escaped], [change[0]], [change[1]]]
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
                 names = ["path", "length", "start", "odd", "escaped", "outer", "inner"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -127,46 +187,20 @@ def _records(ranges: DataFrame, size: int, json: bool, schema: str, rows: Callab
     JSON a comma or bracket of the outermost array. It belongs to the range its separator lies in.
     """
 
-    def cuts(data: np.ndarray, signs: Signs, depth: int) -> np.ndarray:
-        """Places of separators; what is between two of them is a record, if it is not blank."""
-        if not json:
-            return np.flatnonzero((data == _NEWLINE) & signs.outside)
-        deep = signs.depth + depth
-        opens = signs.opens & (deep == 1)
-        at = np.flatnonzero(((data == _COMMA) & signs.outside & (deep <= 1)) | opens | (signs.closes & (deep <= 0)))
-        return at
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
+                first = row["path"] if row["start"] == 0 else None
+                found, held = [], 0
                 with _opened(row["path"]) as file:
-                    start, length = row["start"], row["length"]
-                    data = _read(file, start, size)
-                    signs = Signs(data, row["quoted"], json, row["escaped"])
-                    at = cuts(data, signs, row["depth"])
-                    raw = data.tobytes()
-                    if json and start == 0 and raw.removeprefix(codecs.BOM_UTF8).lstrip()[:1] not in (b"[", b""):
-                        raise ValueError(f"{row['path']} is not an array")
-                    found = [raw[a + 1 : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                    if not json and start == 0 and len(at):
-                        found.insert(0, raw[: at[0]])
-                    if len(at) or (not json and start == 0):
-                        tail = [raw[at[-1] + 1 :] if len(at) else raw]
-                        place, quoted, escaped = start + len(data), signs.quoted, signs.escaped_next
-                        depth = row["depth"] + (int(signs.depth[-1]) if json and len(data) else 0)
-                        while place < length:
-                            data = _read(file, place, AHEAD)
-                            signs = Signs(data, quoted, json, escaped)
-                            at = cuts(data, signs, depth)
-                            if len(at):
-                                tail.append(data[: at[0]].tobytes())
-                                break
-                            tail.append(data.tobytes())
-                            place, quoted, escaped = place + len(data), signs.quoted, signs.escaped_next
-                            depth += int(signs.depth[-1]) if json and len(data) else 0
-                        found.append(b"".join(tail))
-                for a in range(0, len(found), 10_000):
-                    yield rows(found[a : a + 10_000], row["path"] if start == 0 and a == 0 else None)
+                    for record in _begun(file, row, size, json, AHEAD):
+                        found.append(record)
+                        held += len(record)
+                        if len(found) == BATCH or held >= BATCH_BYTES:
+                            yield rows(found, first)
+                            found, held, first = [], 0, None
+                if found:
+                    yield rows(found, first)
 
     return ranges.mapInArrow(run, schema)
 
