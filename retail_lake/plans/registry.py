@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -476,12 +477,23 @@ def _json_array(k: ParquetLake) -> DataFrame:
     return readers.read_json_lines_array(k.spark, path, schema)
 
 
+def _in_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The objects of a task as the lines of one array, a line per batch."""
+    sign = "["
+    for batch in batches:
+        if batch.num_rows:
+            line = sign + ",\n  ".join(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([line])], ["value"])
+            sign = ","
+    if sign == ",":
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], ["value"])
+
+
 def _json_rejects(k: ParquetLake) -> DataFrame:
     """The rejects of one big array a file, whose objects are not on lines of their own."""
     path = f"{scratch_dir(k.spark)}/json-{uuid4().hex}"
     objects = k.raw_text_transactions().select(F.to_json(F.struct("*")).alias("value"))
-    by_part = objects.groupBy(F.spark_partition_id()).agg(F.array_join(F.collect_list("value"), ",\n  ").alias("value"))
-    by_part.select(F.concat(F.lit("["), "value", F.lit("]"))).write.text(path)
+    objects.mapInArrow(_in_arrays, "value string").write.text(path)
     raw = readers.json_text(k.spark, path, TEXT_TRANSACTIONS)
     return readers.rejects(raw, TEXT_TRANSACTIONS).drop(readers.BROKEN)
 

@@ -1,10 +1,11 @@
+import tracemalloc
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from retail_lake.plans import medallion
+from retail_lake.plans import medallion, registry
 from retail_lake.sources import ranges, readers, sinks
 from retail_lake.sources.fixture_spec import AS_OF
 from retail_lake.sources.schemas import FORMATS, SCHEMAS
@@ -269,3 +270,29 @@ def test_refused_rows_are_what_the_cleaner_drops(lake):
         names = [F.trim(k).alias(k) if k == "warehouse" else F.col(k) for k in keys]
         assert bag(kept.select(*names).unionByName(gone.select(*names))) == bag(df.select(*names).distinct())
         assert gone.filter("refused_by = ''").count() == 0
+
+
+@pytest.mark.parametrize("json", [False, True])
+def test_a_range_is_gone_through_in_blocks(tmp_path, json):
+    """Working memory is that of a block, not of a range: before, 24 MB took some forty times the range."""
+    path = tmp_path / "big"
+    record = '{"id": 1, "note": "a, b"}' if json else '1,"a\nb"'
+    n = (24 << 20) // (len(record) + 1)
+    path.write_text(f"[{','.join([record] * n)}]" if json else f"{record}\n" * n)
+    row = {"path": str(path), "length": path.stat().st_size, "start": 0, "quoted": False, "escaped": False, "depth": 0}
+    tracemalloc.start()
+    with ranges._opened(f"file:{path}") as file:
+        odd, change = ranges._change(file, 0, ranges.RANGE, json, False, ranges.AHEAD)
+        found = sum(bool(r.strip()) for r in ranges._begun(file, row, ranges.RANGE, json, ranges.AHEAD))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (odd, change[0], found) == (False, 0, n)
+    assert peak < 64 << 20
+
+
+def test_array_files_are_written_in_lines_of_a_batch(spark, tmp_path):
+    """No row holds all objects of a task."""
+    objects = spark.range(0, 50_000, 1, 2).selectExpr("""concat('{"id": ', id, '}') as value""")
+    objects.mapInArrow(registry._in_arrays, "value string").write.text(str(tmp_path / "j"))
+    assert spark.read.text(str(tmp_path / "j")).agg(F.max(F.length("value"))).first()[0] < 50_000 * 5
+    assert sorted(r.id for r in readers.read_json_array(spark, str(tmp_path / "j"), NOTES).collect()) == list(range(50_000))
