@@ -465,7 +465,7 @@ def _table_round_trip(k: ParquetLake, **layout) -> DataFrame:
 
 
 def _cleaned_by_discount(k: ParquetLake) -> DataFrame:
-    cleaned = silver.clean_promotions(k.bronze("promotions"), k.as_of)
+    cleaned = silver.clean_promotions(k.bronze("promotions", spread=True), k.as_of)
     return promotions.by_discount(k.transactions(*REGION_DAY), cleaned.select(*PROMO))
 
 
@@ -516,7 +516,7 @@ def _raw_file(k: ParquetLake, table: str) -> DataFrame:
 def _cleaning() -> dict[str, Query]:
     out: dict[str, Query] = {}
     for table, cleaner in silver.CLEANERS.items():
-        out[f"clean_{table}"] = lambda k, t=table, c=cleaner: c(k.bronze(t), k.as_of)
+        out[f"clean_{table}"] = lambda k, t=table, c=cleaner: c(k.bronze(t, spread=True), k.as_of)
     for table in SILVER:
         out[f"profile_{table}"] = lambda k, t=table: profiling.profile(k.bronze(t))
     for table in ("financial_transactions", "product_reviews", "inventory"):
@@ -525,7 +525,7 @@ def _cleaning() -> dict[str, Query]:
         profiling.merged(profiling.sketches(k.bronze("financial_transactions"), "transaction_date"))
     )
     for table in silver.RULES:
-        out[f"quarantine_{table}"] = lambda k, t=table: silver.refused(t, k.bronze(t), k.as_of)
+        out[f"quarantine_{table}"] = lambda k, t=table: silver.refused(t, k.bronze(t, spread=True), k.as_of)
     for table, rules in profiling.FAULTS.items():
         out[f"faults_{table}"] = lambda k, t=table, r=rules: profiling.violations(k.bronze(t), r())
     out |= {

@@ -40,8 +40,16 @@ class ParquetLake:
             df = df.join(self.raw(name), F.expr(left) == F.col(key), "left")
         return df.selectExpr(*[f"{spec.columns[c]} as {c}" for c in wanted])
 
-    def bronze(self, table: str) -> DataFrame:
-        df = self.silver(table).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    def bronze(self, table: str, spread: bool = False) -> DataFrame:
+        """Every row twice, with faults; ``spread`` deals the rows by their key first.
+
+        A file may be a single task however many rows come of it. Those that are to be sorted or grouped by the
+        key are then shared out before, and need no exchange for it afterwards.
+        """
+        rows = self.silver(table)
+        if spread:
+            rows = rows.repartition(next(iter(SILVER[table].columns)))
+        df = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(1))))
         faults = BRONZE[table]
         names = [*SILVER[table].columns, *(c for c in faults if c not in SILVER[table].columns)]
         return df.selectExpr(*[f"{faults.get(c, c)} as {c}" for c in names])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from retail_lake.functions import labels
 from retail_lake.functions.exprs import iso_weekday, lookup, mean, pct, ratio, rnd, season
 from retail_lake.plans import profiling, silver
+from retail_lake.plans.registry import all_queries
 from tests.helpers import day, dec, rows
 
 AS_OF = "2001-12-31"
@@ -219,3 +220,11 @@ def test_sketches_are_within_their_error_also_when_merged(spark, lake):
             assert below - 0.02 <= rank <= upto + 0.02
         assert told["name"].q50 is None and told["nothing"].q50 is None
     assert profiling.quartiles(profiling.sketches(wide.limit(0))).count() == len(wide.columns)
+
+
+def test_rows_are_dealt_before_they_are_sorted_for_the_latest(lake):
+    """One file is one task; its rows must not all be sorted there."""
+    for name in ("clean_inventory", "quarantine_inventory"):
+        text = all_queries()[name](lake)._jdf.queryExecution().executedPlan().toString()
+        assert text.count("Exchange hashpartitioning") == 1
+        assert text.index("partial_max") < text.index("Exchange hashpartitioning")
