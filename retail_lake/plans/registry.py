@@ -134,7 +134,7 @@ def _products() -> dict[str, Query]:
         ),
         "prod_best_rated": lambda k: products.best_rated(k.reviews("product_id", "rating")),
         "prod_category_ratings": lambda k: products.category_ratings(
-            k.reviews("product_category", "rating", "product_id", "reviewer_id")
+            k.reviews("product_category", "rating", "product_id"), k.reviews("product_category", "reviewer_id")
         ),
         "prod_category_stock": lambda k: products.category_stock(
             k.inventory("product_category", "product_id", "current_stock", "warehouse")

@@ -284,3 +284,15 @@ def test_calendar_frame_counts_days(spark):
     by_rows = [r[0] for r in df.select(rolling_mean("v", rolling("d", 7))).collect()]
     by_days = [r[0] for r in df.select(rolling_mean("v", calendar_frame("d", 7))).collect()]
     assert by_rows == [1.0, 2.0] and by_days == [1.0, 3.0]
+
+
+def test_category_ratings_copy_no_row_per_count(spark):
+    reviews = spark.createDataFrame(
+        [("a", 1, 5, 10), ("a", 1, 4, 10), ("a", 2, None, 11), ("a", None, 3, None), (None, 3, 1, 10), (None, 3, 2, 12)],
+        "product_category string, product_id long, rating int, reviewer_id long",
+    )
+    report = products.category_ratings(reviews)
+    assert [tuple(r) for r in report.collect()] == [("a", 4, 4.0, 2, 2), (None, 2, 1.5, 1, 2)]
+    apart = products.category_ratings(reviews.drop("reviewer_id"), reviews.select("product_category", "reviewer_id"))
+    assert bag(apart) == bag(report)
+    assert "Expand" not in report._jdf.queryExecution().executedPlan().toString()
