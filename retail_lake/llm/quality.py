@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_lake.llm.words import SPACED, find, hash_spans, slices
+from retail_lake.llm.words import SLICE, SPACED, find, hash_spans, slices
 
 WORD_ROWS, SHAPE_ROWS, DIMS, NONZERO = 1 << 14, 256, 64, 4
 ROWS = WORD_ROWS + SHAPE_ROWS
@@ -32,6 +32,8 @@ BLOCK = 1_024
 _random = np.random.default_rng(7)
 _PLACES = np.argsort(_random.random((ROWS, DIMS)), axis=1)[:, :NONZERO]
 _SIGNS = np.tile(np.array([1.0, -1.0] * (NONZERO // 2)), (ROWS, 1))
+#: The places, with those of -1 after all of +1.
+_SIGNED_PLACES = (_PLACES + np.where(_SIGNS < 0, DIMS, 0)).astype(np.int32)
 _LETTER, _UPPER, _DIGIT = (np.zeros(256, dtype=bool) for _ in range(3))
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _UPPER[65:91] = True
@@ -88,23 +90,51 @@ def _in_old_line(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.
     return np.repeat(old, np.diff(np.append(new, len(starts))))
 
 
+class Sums:
+    """Sums of the neighbours' index vectors for every row.
+
+    Between words they are added up place by place, the negative ones apart. Shapes are few, so for them
+    the neighbours are only counted; a pair counts both ways, so one table serves words beside shapes and
+    shapes beside words.
+    """
+
+    def __init__(self):
+        self.words = np.zeros(WORD_ROWS * 2 * DIMS, np.int64)
+        self.mixed = np.zeros(WORD_ROWS * SHAPE_ROWS, np.int64)
+        self.shapes = np.zeros(SHAPE_ROWS * SHAPE_ROWS, np.int64)
+
+    def add(self, u: Units) -> None:
+        owner = np.repeat(np.arange(len(u.first) - 1), np.diff(u.first))
+        near = [(at, at + step) for step in range(1, REACH + 1) for at in [np.flatnonzero(owner[step:] == owner[:-step])]]
+        a = np.concatenate([*(x for x, _ in near), *(y for _, y in near)])
+        b = np.concatenate([*(y for _, y in near), *(x for x, _ in near)])
+        shapes = u.shapes - WORD_ROWS
+        at = _SIGNED_PLACES[u.words[b]] + (u.words[a] * (2 * DIMS)).astype(np.int32)[:, None]
+        self.words += np.bincount(at.ravel(), minlength=len(self.words))
+        self.mixed += np.bincount(u.words[a] * SHAPE_ROWS + shapes[b], minlength=len(self.mixed))
+        self.shapes += np.bincount(shapes[a] * SHAPE_ROWS + shapes[b], minlength=len(self.shapes))
+
+    def whole(self) -> np.ndarray:
+        """ROWS x DIMS; products are of whole numbers that a double holds exactly."""
+        signed = self.words.reshape(WORD_ROWS, 2, DIMS)
+        mixed = self.mixed.reshape(WORD_ROWS, SHAPE_ROWS).astype(np.float64)
+        index = np.zeros((ROWS, DIMS))
+        np.put_along_axis(index, _PLACES, _SIGNS, axis=1)
+        of_words, of_shapes = index[:WORD_ROWS], index[WORD_ROWS:]
+        words = signed[:, 0] - signed[:, 1] + (mixed @ of_shapes).astype(np.int64)
+        shapes = self.shapes.reshape(SHAPE_ROWS, SHAPE_ROWS).astype(np.float64) @ of_shapes + mixed.T @ of_words
+        return np.concatenate([words, shapes.astype(np.int64)])
+
+
 def contexts(texts: DataFrame) -> np.ndarray:
     """The vectors of all rows, of length one, from all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(ROWS * DIMS)
+        sums = Sums()
         for batch in batches:
-            for values in slices(batch.column(0)):
-                u = units(values)
-                owner = np.repeat(np.arange(len(u.first) - 1), np.diff(u.first))
-                for step in range(1, REACH + 1):
-                    near = np.flatnonzero(owner[step:] == owner[:-step])
-                    for a, b in ((near, near + step), (near + step, near)):
-                        for own in (u.words, u.shapes):
-                            for side in (u.words, u.shapes):
-                                at = own[a][:, None] * DIMS + _PLACES[side[b]]
-                                total += np.bincount(at.ravel(), _SIGNS[side[b]].ravel(), ROWS * DIMS)
-        whole = total.astype(np.int64).reshape(ROWS, DIMS)  # whole numbers: any order gives one sum
+            for values in slices(batch.column(0), SLICE // 2):
+                sums.add(units(values))
+        whole = sums.whole()  # whole numbers: any order gives one sum
         blocks = [whole[i : i + BLOCK].tobytes() for i in range(0, ROWS, BLOCK)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks)], ["block", "sums"])
 
@@ -128,13 +158,12 @@ def pooled(values: pa.Array, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(values), 2 * DIMS))
     counts = np.diff(u.first)
     filled = np.flatnonzero(counts)
-    for part in np.array_split(filled, max(1, len(u.words) // 200_000)):
-        if len(part):
-            a, b = u.first[part[0]], u.first[part[-1] + 1]
-            begin = u.first[part] - a
-            for j, rows in enumerate((u.words, u.shapes)):
-                sums = np.add.reduceat(vectors[rows[a:b]], begin, axis=0)
-                out[part, j * DIMS : (j + 1) * DIMS] = sums / counts[part][:, None]
+    begin = u.first[:-1][filled]
+    if len(filled):  # a dimension at a time: its column stays in the cache
+        for j, column in enumerate(np.ascontiguousarray(vectors.T)):
+            out[filled, j] = np.add.reduceat(column[u.words], begin)
+            out[filled, DIMS + j] = np.add.reduceat(column[u.shapes], begin)
+        out[filled] /= counts[filled][:, None]
     return out
 
 

@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
+from retail_lake.llm import quality
 from retail_lake.llm.quality import DIMS, classify, fit, keep_good, units
 
 SCHEMA = "doc_id long, text string, score string, x string"
@@ -78,3 +81,33 @@ def test_shapes_tell_repeats():
     u = units(pa.array([b"one two\none two\nthree", b"same same", None], pa.large_binary()))
     assert len(u.words) == 7 and u.first.tolist() == [0, 5, 7, 7]
     assert u.shapes[0] != u.shapes[2] and u.shapes[5] != u.shapes[6] and u.words[0] == u.words[2]
+
+
+def test_sums_are_those_of_all_neighbours():
+    texts = pa.array(["A b, c 7 a b", "", None, "x", "x Y.\nx Y.\n" * 3]).cast(pa.large_binary())
+    u, sums = quality.units(texts), quality.Sums()
+    sums.add(u)
+    index = np.zeros((quality.ROWS, quality.DIMS), int)
+    np.put_along_axis(index, quality._PLACES, quality._SIGNS.astype(int), axis=1)
+    expected = np.zeros_like(index)
+    for lo, hi in zip(u.first[:-1], u.first[1:], strict=True):
+        for i in range(lo, hi):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if lo <= j < hi:
+                    for own in (u.words[i], u.shapes[i]):
+                        expected[own] += index[u.words[j]] + index[u.shapes[j]]
+    assert (sums.whole() == expected).all()
+
+
+def test_pooling_holds_no_vector_per_word(monkeypatch):
+    texts = pa.array(["some words of a text " * 40_000]).cast(pa.large_binary())
+    vectors = np.random.default_rng(2).normal(size=(quality.ROWS, quality.DIMS)).astype(np.float32)
+    u = quality.units(texts)
+    monkeypatch.setattr(quality, "units", lambda values: u)
+    tracemalloc.start()
+    x = quality.pooled(texts, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    expected = [vectors[rows].mean(axis=0, dtype=float) for rows in (u.words, u.shapes)]
+    assert np.allclose(x[0], np.concatenate(expected), atol=1e-2)
+    assert peak < len(u.words) * quality.DIMS
