@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retail_lake.llm.words import SLICE, SPACED, find, hash_spans, slices
+from retail_lake.llm.words import SPACED, find, hash_spans, slices
 
 WORD_ROWS, SHAPE_ROWS, DIMS, NONZERO = 1 << 14, 256, 64, 4
 ROWS = WORD_ROWS + SHAPE_ROWS
@@ -29,6 +29,8 @@ REACH = 2
 #: Labelled rows used for fitting, at most.
 SAMPLE = 8_000
 BLOCK = 1_024
+#: Bytes of text looked at together, in place of the usual slice: half of its working memory.
+PART = 1_000_000
 _random = np.random.default_rng(7)
 _PLACES = np.argsort(_random.random((ROWS, DIMS)), axis=1)[:, :NONZERO]
 _SIGNS = np.tile(np.array([1.0, -1.0] * (NONZERO // 2)), (ROWS, 1))
@@ -132,7 +134,7 @@ def contexts(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
         for batch in batches:
-            for values in slices(batch.column(0), SLICE // 2):
+            for values in slices(batch.column(0), PART):
                 sums.add(units(values))
         whole = sums.whole()  # whole numbers: any order gives one sum
         blocks = [whole[i : i + BLOCK].tobytes() for i in range(0, ROWS, BLOCK)]
@@ -269,7 +271,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for values in slices(batch.column(2)):
+            for values in slices(batch.column(2), PART):
                 part = batch.slice(done, len(values))
                 done += len(values)
                 x = pa.array(list(pooled(values, shared.value)), pa.list_(pa.float64()))
@@ -300,7 +302,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for values in slices(batch.column(2)):
+            for values in slices(batch.column(2), PART):
                 part = batch.slice(done, len(values))
                 done += len(values)
                 score = scores(values, *model.value)
@@ -324,7 +326,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for values in slices(batch.column(place)):
+            for values in slices(batch.column(place), PART):
                 part = batch.slice(done, len(values))
                 done += len(values)
                 yield part.filter(pa.array(scores(values, *model.value) >= 0.5))

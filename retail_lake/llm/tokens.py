@@ -18,9 +18,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Distinct words a worker remembers (about 40 bytes each); beyond it, it starts anew.
-WORDS_KEPT = 2_000_000
+WORDS_KEPT = 500_000
 #: Bytes of text looked at together; working memory is about forty times that.
-SLICE = 2_000_000
+SLICE = 1_000_000
 LONGEST_WORD = 4_096
 _FACTORS = np.random.default_rng(20_11).integers(1, 2**63, LONGEST_WORD, dtype=np.uint64) | np.uint64(1)
 _SPACE = 32
@@ -83,7 +83,7 @@ class Encoder:
         if not len(data):
             return [np.zeros(0, dtype=np.uint32) for _ in sizes]
         slow = np.zeros(len(sizes), dtype=bool)
-        if self.ranked is None or len(data) > 8 * SLICE:
+        if self.ranked is None or len(data) > 16 * SLICE:
             slow[:] = True
         else:
             slow |= self._uncuttable(data, ends)

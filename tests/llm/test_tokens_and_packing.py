@@ -134,3 +134,21 @@ def test_crc_of_little_endian_ids(spark):
     df = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
     row = pack(df, "doc_id", "text", VOCABULARY, RANKS).select("length", F.crc32("ids").alias("c")).first()
     assert row["c"] == zlib.crc32(np.array([*reference("one two"), 1], "<u4").tobytes())
+
+
+def test_working_memory_is_that_of_a_slice():
+    """A worker keeps what it once held, so a pipeline of stages adds up what their slices take."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from retail_lake.llm.common import RANKS, VOCABULARY
+    from retail_lake.llm.tokens import encoder
+
+    texts, known = pa.array([("some words of text " * 1_000)] * 210), encoder(VOCABULARY, RANKS)
+    known.encode(texts.slice(0, 1))
+    tracemalloc.start()
+    known.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 << 20
