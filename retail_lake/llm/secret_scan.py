@@ -34,6 +34,8 @@ SAMPLE, STRETCHES, ROUNDS = 20_000, 6_000, 60
 REWRITES = 40
 #: Tokens of a part of a stretch that is learned from.
 PART = 200
+#: Tokens, with what fills short parts up, that the training looks at together: 9 MB of emissions.
+TOGETHER = 1 << 15
 KINDS = ("assign", "access", "hex", "crf")
 
 # fixed values: the base rules
@@ -222,61 +224,86 @@ class Field:
         return tags
 
 
+def _blocks(examples: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Features, tags and which of them are real, of parts of about equal length; shorter ones are filled up.
+
+    A block has at most TOGETHER tokens, or one part.
+    """
+    examples = sorted(examples, key=lambda e: len(e[1]))
+    out, at = [], 0
+    while at < len(examples):
+        end = at + 1
+        while end < len(examples) and (end + 1 - at) * len(examples[end][1]) <= TOGETHER:
+            end += 1
+        size = (end - at, len(examples[end - 1][1]))
+        x = np.full((*size, examples[at][0].shape[1]), N_FEATURES, dtype=np.min_scalar_type(N_FEATURES))
+        y = np.zeros(size, dtype=np.int8)
+        real = np.zeros(size, dtype=bool)
+        for i, (features, tags) in enumerate(examples[at:end]):
+            x[i, : len(tags)], y[i, : len(tags)], real[i, : len(tags)] = features, tags, True
+        out.append((x, y, real))
+        at = end
+    return out
+
+
+def _gradients(weights: np.ndarray, moves: np.ndarray, x: np.ndarray, y: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the negative log-likelihood of a block, by weights and by transitions."""
+    length, width = x.shape[1:]
+    emit = weights[x].sum(axis=2)
+    alpha = np.empty_like(emit)
+    beta = np.zeros_like(emit)
+    alpha[:, 0] = emit[:, 0] + moves[OUT]
+    for t in range(1, length):
+        new = np.logaddexp.reduce(alpha[:, t - 1, :, None] + moves, axis=1) + emit[:, t]
+        alpha[:, t] = np.where(real[:, t, None], new, alpha[:, t - 1])
+    beta[:, -1] = moves[:, OUT]
+    for t in range(length - 2, -1, -1):
+        new = np.logaddexp.reduce(moves + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
+        beta[:, t] = np.where(real[:, t + 1, None], new, moves[:, OUT])
+    log_z = np.logaddexp.reduce(alpha[:, -1] + moves[:, OUT], axis=1)
+    prob = np.exp(alpha + beta - log_z[:, None, None])
+    truth = np.eye(3)[y]
+    diff = (prob - truth)[real]
+    flat = x[real].ravel()
+    g_weights = np.stack([np.bincount(flat, np.repeat(diff[:, tag], width), N_FEATURES + 1) for tag in range(3)], axis=1)
+    g_moves = np.zeros((3, 3))
+    for t in range(1, length):
+        pair = np.exp(alpha[:, t - 1, :, None] + moves + (emit[:, t] + beta[:, t])[:, None, :] - log_z[:, None, None])
+        g_moves += pair[real[:, t]].sum(axis=0)
+        np.add.at(g_moves, (y[real[:, t], t - 1], y[real[:, t], t]), -1)
+    last = real.sum(axis=1) - 1
+    g_moves[:, OUT] += (prob - truth)[np.arange(len(y)), last].sum(axis=0)
+    g_moves[OUT] += (prob - truth)[:, 0].sum(axis=0)
+    return g_weights, g_moves
+
+
 def train(examples: list[tuple[np.ndarray, np.ndarray]], rounds: int = ROUNDS, bounded: bool = True) -> Field | None:
-    """Maximum likelihood by Adam, all stretches at once; None if no example has a secret.
+    """Maximum likelihood by Adam, all stretches in every round; None if no example has a secret.
 
+    The gradient is added up over blocks, so that the driver holds the emissions of one block only.
     ``bounded`` keeps the weights where plain tokens are provably outside, so that they can be skipped.
     """
     examples = [(x[:200], y[:200]) for x, y in examples if len(y)]  # one stretch cut is one example
     if not any(y.any() for _, y in examples):
         return None
-    length = max(len(y) for _, y in examples)
-    width = examples[0][0].shape[1]
-    x = np.full((len(examples), length, width), N_FEATURES, dtype=np.int32)
-    y = np.zeros((len(examples), length), dtype=np.int64)
-    real = np.zeros((len(examples), length), dtype=bool)
-    for i, (features, tags) in enumerate(examples):
-        x[i, : len(tags)], y[i, : len(tags)], real[i, : len(tags)] = features, tags, True
+    blocks = _blocks(examples)
     weights, moves = np.zeros((N_FEATURES + 1, 3)), np.zeros((3, 3))
     own = REACH * SHAPES
     weights[own : own + SHAPES, OUT] = 2.0  # what is never seen stays outside
     state = [np.zeros_like(p) for p in (weights, moves, weights, moves)]
-    rows = np.arange(len(y))
-    flat = x[real]
     decay = np.full((N_FEATURES + 1, 1), 1e-4)
     first_word = len(_OFFSETS) * SHAPES
     decay[first_word : first_word + (len(_WORDS_AT) << WORD_BITS)] = WORD_DECAY
-    seen = (np.bincount(flat.ravel(), minlength=N_FEATURES + 1) > 0)[:, None]
+    seen = np.zeros((N_FEATURES + 1, 1), dtype=bool)
+    for x, _, real in blocks:
+        seen[x[real].ravel()] = True
     for step in range(1, rounds + 1):
-        emit = weights[x].sum(axis=2)
-        alpha = np.empty_like(emit)
-        beta = np.zeros_like(emit)
-        alpha[:, 0] = emit[:, 0] + moves[OUT]
-        for t in range(1, length):
-            new = np.logaddexp.reduce(alpha[:, t - 1, :, None] + moves, axis=1) + emit[:, t]
-            alpha[:, t] = np.where(real[:, t, None], new, alpha[:, t - 1])
-        beta[:, -1] = moves[:, OUT]
-        for t in range(length - 2, -1, -1):
-            new = np.logaddexp.reduce(moves + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(real[:, t + 1, None], new, moves[:, OUT])
-        log_z = np.logaddexp.reduce(alpha[:, -1] + moves[:, OUT], axis=1)
-        prob = np.exp(alpha + beta - log_z[:, None, None])
-        truth = np.eye(3)[y]
-        diff = (prob - truth)[real]
-        g_weights = np.stack(
-            [np.bincount(flat.ravel(), np.repeat(diff[:, tag], width), N_FEATURES + 1) for tag in range(3)], axis=1
-        )
-        g_moves = np.zeros((3, 3))
-        for t in range(1, length):
-            pair = np.exp(
-                alpha[:, t - 1, :, None] + moves + (emit[:, t] + beta[:, t])[:, None, :] - log_z[:, None, None]
-            )
-            g_moves += pair[real[:, t]].sum(axis=0)
-            np.add.at(g_moves, (y[real[:, t], t - 1], y[real[:, t], t]), -1)
-        last = real.sum(axis=1) - 1
-        g_moves[:, OUT] += (prob - truth)[rows, last].sum(axis=0)
-        g_moves[OUT] += (prob - truth)[:, 0].sum(axis=0)
-        grads = (g_weights / len(y) + decay * weights * seen, g_moves / len(y) + 1e-4 * moves)
+        g_weights, g_moves = np.zeros_like(weights), np.zeros_like(moves)
+        for block in blocks:
+            of_weights, of_moves = _gradients(weights, moves, *block)
+            g_weights += of_weights
+            g_moves += of_moves
+        grads = (g_weights / len(examples) + decay * weights * seen, g_moves / len(examples) + 1e-4 * moves)
         for p, g, m, v in zip((weights, moves), grads, state[:2], state[2:], strict=True):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -133,3 +134,31 @@ def test_uncovered_parts_of_a_field_span_stay(monkeypatch):
     a, b = text.index("abcdef12"), text.index(" and")
     monkeypatch.setattr(s, "field_spans", lambda *_: [(a, b), (b + 1, len(text))])
     assert s.all_spans(text, s.Field(None, None)) == sorted([*s.base_spans(text), (b + 1, 3, text.index("AKIA"))])
+
+
+def long_examples(n, tokens=200):
+    rng = np.random.default_rng(3)
+    features = rng.integers(0, s.N_FEATURES, (n, tokens, s.WIDTH), dtype=np.int32)
+    tags = np.zeros((n, tokens), dtype=np.int64)
+    tags[:, 10], tags[:, 11] = s.BEGIN, s.INSIDE
+    return [(x[: 2 + i % tokens], y[: 2 + i % tokens]) for i, (x, y) in enumerate(zip(features, tags, strict=True))]
+
+
+def test_training_holds_the_emissions_of_one_block_only():
+    examples = long_examples(4_000)
+    tracemalloc.start()
+    try:
+        s.train(examples, rounds=1)
+        assert tracemalloc.get_traced_memory()[1] < 60e6  # all at once: 350 MB
+    finally:
+        tracemalloc.stop()
+
+
+def test_blocks_do_not_change_what_is_learned(monkeypatch):
+    examples = long_examples(60, 40)
+    fields = []
+    for together in (1, 150, 1 << 30):
+        monkeypatch.setattr(s, "TOGETHER", together)
+        fields.append(s.train(examples, rounds=20))
+    for field in fields[1:]:
+        assert np.allclose(field.weights, fields[0].weights, atol=1e-9) and np.allclose(field.moves, fields[0].moves, atol=1e-9)
