@@ -10,8 +10,9 @@ texts with a special token or a huge word go to ``tokenizers`` whole.
 from __future__ import annotations
 
 import base64
+import json
 import os
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,9 @@ class Encoder:
     """Texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, vocabulary: str, ranks: str | None = None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(vocabulary)
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.vocabulary = vocabulary
+        with open(vocabulary, encoding="utf-8") as file:
+            self.special = [t["content"].encode() for t in json.load(file)["added_tokens"]]
         self.ranked = None
         if ranks:
             import public_tokenizers
@@ -56,6 +55,14 @@ class Encoder:
             self.spaced[[rank for token, rank in table.items() if token.startswith(b" ")]] = True
         self._forget()
 
+    @cached_property
+    def whole(self):
+        """The library's own form of the vocabulary, some 45 MB: loaded only once a text needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def _forget(self) -> None:
         """Known words: their hashes in order, and where each one's ids lie in the pool."""
         self.keys = np.zeros(0, dtype=np.uint64)

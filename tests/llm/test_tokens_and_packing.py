@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from retail_lake.llm.common import RANKS, VOCABULARY
 from retail_lake.llm.packing import divide, pack, windows
 from retail_lake.llm.token_output import RoomTree, best_fit, pack_matrix, positions
-from retail_lake.llm.tokens import encoder
+from retail_lake.llm.tokens import Encoder, encoder
 
 SCHEMA = "doc_id long, text string, ids string, offset int, start string"
 TEXTS = [
@@ -40,6 +40,14 @@ def test_encoder_on_white_space_and_special_tokens():
     assert [g.tolist() for g in got] == [reference(t) for t in texts]
 
 
+def test_the_whole_vocabulary_is_loaded_once_a_text_needs_it():
+    tool = Encoder(VOCABULARY, RANKS)
+    assert tool.special == [t.content.encode() for t in encoder(VOCABULARY, RANKS).whole.get_added_tokens_decoder().values()]
+    for text, loaded in (("plain words", False), ("a  b", False), ("x <|endoftext|> y", True)):
+        assert tool.encode(pa.array([text]))[0].tolist() == reference(text)
+        assert ("whole" in vars(tool)) == loaded
+
+
 def test_divide_is_nearly_even():
     sizes = np.array(random.Random(1).choices(range(1, 257), k=400))
     part, sums = divide(sizes, 20)
@@ -143,7 +151,7 @@ def test_working_memory_is_that_of_a_slice():
     import pyarrow as pa
 
     from retail_lake.llm.common import RANKS, VOCABULARY
-    from retail_lake.llm.tokens import encoder
+    from retail_lake.llm.tokens import Encoder, encoder
 
     texts, known = pa.array([("some words of text " * 1_000)] * 210), encoder(VOCABULARY, RANKS)
     known.encode(texts.slice(0, 1))
