@@ -112,19 +112,24 @@ class Sums:
         b = np.concatenate([*(y for _, y in near), *(x for x, _ in near)])
         shapes = u.shapes - WORD_ROWS
         at = _SIGNED_PLACES[u.words[b]] + (u.words[a] * (2 * DIMS)).astype(np.int32)[:, None]
-        self.words += np.bincount(at.ravel(), minlength=len(self.words))
-        self.mixed += np.bincount(u.words[a] * SHAPE_ROWS + shapes[b], minlength=len(self.mixed))
+        # in place: counts of their own would be as large as the sums
+        np.add.at(self.words, at.ravel(), 1)
+        np.add.at(self.mixed, u.words[a] * SHAPE_ROWS + shapes[b], 1)
         self.shapes += np.bincount(shapes[a] * SHAPE_ROWS + shapes[b], minlength=len(self.shapes))
 
     def whole(self) -> np.ndarray:
         """ROWS x DIMS; products are of whole numbers that a double holds exactly."""
         signed = self.words.reshape(WORD_ROWS, 2, DIMS)
-        mixed = self.mixed.reshape(WORD_ROWS, SHAPE_ROWS).astype(np.float64)
+        mixed = self.mixed.reshape(WORD_ROWS, SHAPE_ROWS)
         index = np.zeros((ROWS, DIMS))
         np.put_along_axis(index, _PLACES, _SIGNS, axis=1)
         of_words, of_shapes = index[:WORD_ROWS], index[WORD_ROWS:]
-        words = signed[:, 0] - signed[:, 1] + (mixed @ of_shapes).astype(np.int64)
-        shapes = self.shapes.reshape(SHAPE_ROWS, SHAPE_ROWS).astype(np.float64) @ of_shapes + mixed.T @ of_words
+        words = signed[:, 0] - signed[:, 1]
+        shapes = self.shapes.reshape(SHAPE_ROWS, SHAPE_ROWS).astype(np.float64) @ of_shapes
+        for i in range(0, WORD_ROWS, BLOCK):
+            part = mixed[i : i + BLOCK].astype(np.float64)
+            words[i : i + BLOCK] += (part @ of_shapes).astype(np.int64)
+            shapes += part.T @ of_words[i : i + BLOCK]
         return np.concatenate([words, shapes.astype(np.int64)])
 
 

@@ -111,3 +111,17 @@ def test_pooling_holds_no_vector_per_word(monkeypatch):
     expected = [vectors[rows].mean(axis=0, dtype=float) for rows in (u.words, u.shapes)]
     assert np.allclose(x[0], np.concatenate(expected), atol=1e-2)
     assert peak < len(u.words) * quality.DIMS
+
+
+def test_neighbours_are_counted_in_place():
+    sums = quality.Sums()
+    some = quality.units(pa.array(["a few words, A Few Words\na few words 12"] * 5).cast(pa.large_binary()))
+    tracemalloc.start()
+    try:
+        sums.add(some)
+        added = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        sums.whole()
+        assert added < 2e6 and tracemalloc.get_traced_memory()[1] < 40e6  # the sums themselves are 51 MB
+    finally:
+        tracemalloc.stop()
