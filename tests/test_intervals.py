@@ -10,6 +10,7 @@ from retail_lake.operators.intervals import (
     daily_totals,
     distinct_in_intervals,
     interval_join,
+    interval_joins,
     interval_sums,
 )
 from tests.helpers import bag
@@ -202,3 +203,24 @@ def test_open_ended_periods_make_no_rows_beyond_the_facts(spark):
     assert "Generate explode" in plan and "least" in plan
     counted = distinct_in_intervals(facts, dims, "region", "transaction_date", "who", "start_date", "end_date", "n")
     assert {r["k"]: r["n"] for r in counted.collect()} == {1: 1, 2: 1, 3: 0}
+
+
+def test_joins_with_several_dimensions_match_one_after_the_other(spark):
+    """Hot days, days without any, unknown keys, days and ids, repeated sales, empty and open-ended periods."""
+    fact = spark.sql(
+        "select if(id % 7 = 0, null, id % 400) as transaction_id, if(id % 11 = 0, null, concat('r', id % 3)) as region,"
+        " case when id % 13 = 0 then null when id % 3 = 0 then date '2000-02-01' else date_add(date '2000-01-01', cast(id % 90 as int)) end as transaction_date"
+        " from range(900)"
+    )
+    periods = (
+        "select id as {0}_id, if(id % 9 = 0, null, concat('r', id % 4)) as region, date_add(date '2000-01-10', cast(id * 7 % 50 as int)) as {0}_from,"
+        " case when id % 6 = 0 then null when id % 8 = 0 then date '9999-12-31' else date_add(date '2000-01-09', cast(id * 7 % 50 + id % 5 as int)) end as {0}_to from range({1})"
+    )
+    dims = [(spark.sql(periods.format(name, n)), f"{name}_from", f"{name}_to") for name, n in (("a", 40), ("b", 25), ("c", 0))]
+    expected = fact
+    for dim, start, end in dims:
+        expected = interval_join(expected, dim, ["region"], "transaction_date", start, end)
+    got = interval_joins(fact, dims, ["region"], "transaction_date", "transaction_id")
+    assert got.columns == expected.columns
+    assert bag(got) == bag(expected)
+    assert interval_joins(fact.limit(0), dims, ["region"], "transaction_date", "transaction_id").count() == 0

@@ -157,3 +157,21 @@ def test_wide_rows_take_over_what_is_worked_out_once(hot_sales, periods):
     for wide in (gold.sales_enriched(hot_sales, people, promos, ads), gold.enriched_rows(hot_sales, promos, ads)):
         above = wide._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
         assert not [word for word in ("cast(", "round(", "trunc(", "year(", " * ", " / ") if word in above]
+
+
+@pytest.mark.parametrize("threshold", ["-1", "10MB"])
+def test_rows_of_the_wide_table_are_dealt_evenly(spark, hot_sales, periods, threshold):
+    """A task gets its part of the rows made, not of the sales; a hot day goes to several, and the sales move once."""
+    ads = periods.withColumnRenamed("promotion_id", "campaign_id")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for name in names:
+        spark.conf.set(name, threshold)
+    try:
+        wide = gold.enriched_rows(hot_sales, periods, ads)
+        rows = [r["n"] for r in wide.groupBy(F.spark_partition_id()).agg(F.count("transaction_id").alias("n")).collect()]
+        assert plan(wide).count("REPARTITION_BY_NUM") == 1
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert sum(rows) == gold.enriched_rows(hot_sales, periods, ads, strategy="range").count()
+    assert max(rows) < sum(rows) / 16
