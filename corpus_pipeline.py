@@ -14,31 +14,43 @@ from retail_lake.session import configure, discard, scope, scratch_dir
 ORACLE_SQL = None
 
 
+#: Rows that Spark hands a Python worker together, at most: both sides hold them, beside what is worked out.
+BATCH = 2_000
+
+
+def _set_up(spark: SparkSession) -> SparkSession:
+    """The session's settings, and small batches: texts are long, and a batch is held several times."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+    return configure(spark)
+
+
 def good_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return quality.keep_good(docs, read_table(configure(spark), sf_dir, "labels"))
+    return quality.keep_good(docs, read_table(_set_up(spark), sf_dir, "labels"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose sets of five-word shingles are 80 % alike or more."""
-    configure(spark)
+    _set_up(spark)
     return token_groups.keep_one(docs, k=5, t=80)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no phrase of a benchmark item occurs."""
-    return positional.clean(docs, read_table(configure(spark), sf_dir, "benchmark"))
+    return positional.clean(docs, read_table(_set_up(spark), sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mark."""
-    configure(spark)
+    _set_up(spark)
     return secret_scan.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in windows of nearly equal fill, with their ids."""
-    configure(spark)
+    _set_up(spark)
     return packing.pack(docs, "doc_id", "text", VOCABULARY, RANKS)
 
 
@@ -58,7 +70,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts, repeated rows, empty tables and columns with other names are handled by each
     stage as its operator says; all stages but the last keep the columns of ``documents``.
     """
-    configure(spark)
+    _set_up(spark)
     docs = read_table(spark, sf_dir, "documents")
     base = f"{scratch_dir(spark)}/pipeline-{uuid4().hex}"
     before = None

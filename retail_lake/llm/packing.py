@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from retail_lake.llm.common import keyed_texts
+from retail_lake.llm.memory import lean
 from retail_lake.llm.tokens import encoder
 
 WINDOW = 2048
@@ -148,7 +149,7 @@ def pack(
             rows, serial = settle()
             yield _batch(rows)
 
-    return keyed_texts(docs, key, text).mapInArrow(run, SCHEMA)
+    return keyed_texts(docs, key, text).mapInArrow(lean(run), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retail_lake.llm.memory import lean
 from retail_lake.llm.words import SPACED, find, hash_spans, slices
 
 WORD_ROWS, SHAPE_ROWS, DIMS, NONZERO = 1 << 14, 256, 64, 4
@@ -150,7 +151,7 @@ def contexts(texts: DataFrame) -> np.ndarray:
         return pa.table({"block": table.column("block").slice(0, 1), "sums": pa.array([total.tobytes()])})
 
     schema = "block int, sums binary"
-    rows = texts.mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect()  # 17 rows, 8 MB
+    rows = texts.mapInArrow(lean(run), schema).groupBy("block").applyInArrow(add, schema).collect()  # 17 rows, 8 MB
     sums = np.zeros((ROWS, DIMS))
     for row in rows:
         block = np.frombuffer(row["sums"], dtype=np.int64).reshape(-1, DIMS)
@@ -284,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
 
     # at most ``sample`` ids
     found = rows.join(F.broadcast(chosen.select("learn_id", "label")), "learn_id").select("learn_id", "label", "text")
-    table = found.mapInArrow(run, "learn_id long, label int, x array<double>").orderBy("learn_id").limit(sample).toArrow()
+    table = found.mapInArrow(lean(run), "learn_id long, label int, x array<double>").orderBy("learn_id").limit(sample).toArrow()
     x = np.array(table.column("x").to_pylist(), dtype=float).reshape(-1, 2 * DIMS)
     y = np.array(table.column("label").to_pylist(), dtype=float)
     return fit(x, y), vectors
@@ -319,7 +320,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         F.coalesce(F.crc32(F.col(key).cast("long").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
         F.col(text).cast("string").alias("text"),
     )
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -336,4 +337,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
                 done += len(values)
                 yield part.filter(pa.array(scores(values, *model.value) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retail_lake.llm.memory import lean
+
 #: Texts the field is trained on, stretches taken from them, and rounds of training.
 SAMPLE, STRETCHES, ROUNDS = 20_000, 6_000, 60
 #: Rewritten surroundings made of one value at most.
@@ -583,7 +585,7 @@ def learn(docs: DataFrame, key: str, text: str, sample: int = SAMPLE, bounded: b
         return run
 
     def drawn(texts: DataFrame, secret: bool, most: int) -> pa.Table:
-        found = texts.select("pick", "text").mapInArrow(parts(secret), "pick long, x binary, y binary, around array<string>")
+        found = texts.select("pick", "text").mapInArrow(lean(parts(secret)), "pick long, x binary, y binary, around array<string>")
         return found.orderBy(F.xxhash64("pick", "x"), "x").limit(most).toArrow()
 
     with_secret = drawn(rows.filter("pick is not null"), True, STRETCHES // 4)
@@ -620,7 +622,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, spans array<struct<kind: string, start: long, stop: long>>")
+    return rows.mapInArrow(lean(run), "doc_id long, spans array<struct<kind: string, start: long, stop: long>>")
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
@@ -646,7 +648,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
                 columns[place] = pa.array(new, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(lean(run), docs.schema)
     if length and length in docs.columns:
         kind = docs.schema[length].dataType
         out = out.withColumn(length, F.when(F.col(length).isNotNull(), F.char_length(text).cast(kind)))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from retail_lake.llm.common import likely, settled, without
 from retail_lake.llm.components import components
+from retail_lake.llm.memory import lean
 from retail_lake.llm.words import SPACED, Words, find, mix, slices
 from retail_lake.session import freeze
 
@@ -35,6 +36,8 @@ SHARED = 8
 HOT = 24
 #: A token counts as frequent from this share of all texts on; at most so many are kept (2 MB).
 FREQUENT, FREQUENT_KEPT = 1e-3, 1 << 18
+#: Bytes of text whose sets are made together, in place of the usual slice: half of its working memory.
+PART = 1_000_000
 #: Shingles counted together by a task.
 COUNTED = 4_000_000
 #: Members of a group that one task compares at a time.
@@ -88,7 +91,7 @@ def frequent_tokens(texts: DataFrame, k: int) -> np.ndarray:
                     held, size, seen = [], 0, 0
         yield counted()
 
-    counts = freeze(texts.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
+    counts = freeze(texts.select("text").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")))
     all_texts = counts.filter("token = 0").first()
     if all_texts is None:
         return np.zeros(0, dtype=np.uint64)
@@ -118,7 +121,7 @@ def token_sets(texts: DataFrame, k: int, t: int, frequent: np.ndarray) -> DataFr
         serial = (context.partitionId() if context else 0) << 33
         for batch in batches:
             done = 0
-            for values in slices(batch.column(1)):
+            for values in slices(batch.column(1), PART):
                 hashes, begin = shingles(find(values, SPACED), k)
                 sizes, keys, heads, needs = [], [], [], []
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
@@ -145,7 +148,7 @@ def token_sets(texts: DataFrame, k: int, t: int, frequent: np.ndarray) -> DataFr
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "row long, doc_id long, text_key string, bytes long, n long, key_a long, key_b long, need int, head array<long>"
-    return texts.select("doc_id", "text", "text_key", F.octet_length("text").cast("long")).mapInArrow(run, schema)
+    return texts.select("doc_id", "text", "text_key", F.octet_length("text").cast("long")).mapInArrow(lean(run), schema)
 
 
 def _similar(inter, n_a, n_b, t: int):
